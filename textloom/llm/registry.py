@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate
+from textloom.llm import decontaminate, token_file
 
 
 def queries() -> dict:
-    return {"op9_decontaminate": decontaminate.query}
+    return {"op8_token_file": token_file.query, "op9_decontaminate": decontaminate.query}
 
 
 def oracle_sql() -> dict:
