@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, token_file
+from textloom.llm import decontaminate, exact_dedup, packing, token_file
 
 
 def queries() -> dict:
-    return {"op8_token_file": token_file.query, "op9_decontaminate": decontaminate.query}
+    return {
+        "op4_best_fit_packing": packing.query,
+        "op7_exact_dedup": exact_dedup.query,
+        "op8_token_file": token_file.query,
+        "op9_decontaminate": decontaminate.query,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op9_decontaminate": decontaminate.SQL}
+    return {"op7_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
