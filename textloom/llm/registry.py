@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, exact_dedup, packing, token_file
+from textloom.llm import decontaminate, exact_dedup, html_extract, packing, token_file, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extract.query,
+        "op3_warc_zip": warc_zip.query,
         "op4_best_fit_packing": packing.query,
         "op7_exact_dedup": exact_dedup.query,
         "op8_token_file": token_file.query,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op3_warc_zip": warc_zip.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
