@@ -34,8 +34,7 @@ def count_ids(documents: DataFrame, vocabulary: str, text: str = "text") -> rans
         model = tokens.encoder(vocabulary)
         total = np.zeros(model.size, np.int64)
         for batch in batches:
-            for _, _, ids, _ in model.column(batch.column(0)):
-                total += np.bincount(ids, minlength=model.size)
+            total += model.counts(batch.column(0))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 

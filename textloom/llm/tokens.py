@@ -19,7 +19,7 @@ import pyarrow as pa
 from textloom.llm import textscan as ts
 
 END_ID = 1
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 LIMIT = 0x300
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -83,62 +83,121 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        # sorted hashes with, for each, its place among the learnt pieces: most in one run, the latest in another
+        self.old = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.young = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.learnt = 0
         self.check = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each of these sorted hashes, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, places in (self.old, self.young):
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[k] == hashes, places[k], out)
+        return out
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, hashes: list[int], sums: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, sums: np.ndarray, pieces: list[str]) -> None:
         ids = self.whole(" ".join(pieces))
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(pieces):  # a piece whose own pieces differ: one by one
             each = [self.whole(p) for p in pieces]
             ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
         starts = np.concatenate([[0], stops[:-1]])
-        base = len(self.slots)
-        self.slots.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+        keys, places = np.concatenate([self.young[0], hashes]), np.concatenate([self.young[1], np.arange(self.learnt, self.learnt + len(hashes))])
+        order = np.argsort(keys, kind="stable")
+        self.young = (keys[order], places[order])
+        if len(keys) > 20_000 + len(self.old[0]) // 4:
+            keys, places = np.concatenate([self.old[0], self.young[0]]), np.concatenate([self.old[1], self.young[1]])
+            order = np.argsort(keys, kind="stable")
+            self.old, self.young = (keys[order], places[order]), (keys[:0], places[:0])
+        self.learnt += len(hashes)
         self.check = np.concatenate([self.check, sums])
         self.at = np.concatenate([self.at, starts + len(self.flat)])
         self.length = np.concatenate([self.length, stops - starts])
         self.flat = np.concatenate([self.flat, ids])
 
-    def _simple(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts below U+0300 that stand end to end, and how many each has."""
+    def _places(self, text: str, bounds: np.ndarray):
+        """Of texts below U+0300 that stand end to end: starts of pieces, their sums, distinct pieces' places, and which each piece is."""
         chars = _LOWER[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         start, end = cut(chars, bounds[:-1][bounds[:-1] < len(chars)])
         hashes = ts.mix(ts.span_hash(ts.prefix_sums(chars, _VALUES), start, end) + (end - start).astype(np.uint64))
         total = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum(_SUMS[chars], dtype=np.uint64, out=total[1:])
         sums = total[end] - total[start]
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        get = self.slots.get
-        slot = np.array([get(h, -1) for h in keys], np.int64)
-        new = np.flatnonzero(slot < 0)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        where = order[fresh]
+        distinct = ordered[fresh]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(fresh) - 1
+        place = self._find(distinct)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            if len(self.slots) + len(new) > CACHE_PIECES and self.slots:
+            if self.learnt + len(new) > CACHE_PIECES and self.learnt:
                 self._clear()
-                new = np.arange(len(keys))
-            base = len(self.slots)
+                new = np.arange(len(distinct))
+            base = self.learnt
             a, b = start[where[new]].tolist(), end[where[new]].tolist()
-            self._learn([keys[i] for i in new.tolist()], sums[where[new]], [text[x:y] for x, y in zip(a, b, strict=True)])
-            slot[new] = np.arange(base, base + len(new))
-        by_piece = slot[back]
-        if not np.array_equal(self.check[by_piece], sums):  # two pieces of one hash: the library decides
+            self._learn(distinct[new], sums[where[new]], [text[x:y] for x, y in zip(a, b, strict=True)])
+            place[new] = np.arange(base, base + len(new))
+        return start, np.array_equal(self.check[place][back], sums), place, back
+
+    def _flatten(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        upto = np.cumsum(length)
+        return self.flat[np.repeat(self.at[place] - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
+
+    def _simple(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of such texts, and how many each has."""
+        start, sure, place, back = self._places(text, bounds)
+        if not sure:  # two pieces of one hash: the library decides
             each = [self.whole(text[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
             return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        by_piece = place[back]
         length = self.length[by_piece]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.at[by_piece] - upto[:-1], length) + np.arange(upto[-1])]
-        edge = upto[np.searchsorted(start, bounds)]
-        return ids, np.diff(edge)
+        edge = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, bounds)]
+        return self._flatten(by_piece, length), np.diff(edge)
 
     def column(self, column: pa.Array):
         """Yields, for consecutive runs of texts, (first, last, ids with END_ID after each text, ids per text)."""
+        for i, j, text, bounds, own in self._parts(column):
+            ids, count = self._simple(text, bounds) if text else (np.zeros(0, np.uint32), np.zeros(j - i, np.int64))
+            if own:
+                edge = np.concatenate([[0], np.cumsum(count)])
+                parts = [own[k] if k in own else ids[edge[k] : edge[k + 1]] for k in range(j - i)]
+                ids, count = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            out = np.full(len(ids) + j - i, END_ID, np.uint32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(j - i), count)] = ids
+            yield i, j, out, count + 1
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """How often each id occurs in a column, END_ID after each text included."""
+        total = np.zeros(self.size, np.int64)
+        for i, j, text, bounds, own in self._parts(column):
+            if text:
+                _, sure, place, back = self._places(text, bounds)
+                if sure:
+                    length = self.length[place]
+                    weight = np.repeat(np.bincount(back, minlength=len(place)), length)
+                    total += np.bincount(self._flatten(place, length), weights=weight, minlength=self.size).astype(np.int64)
+                else:
+                    total += np.bincount(self._simple(text, bounds)[0], minlength=self.size)
+            for ids in own.values():
+                total += np.bincount(ids, minlength=self.size)
+            total[END_ID] += j - i
+        return total
+
+    def _parts(self, column: pa.Array):
+        """Yields (first, last, simple texts end to end, where each begins and the last ends, ids of the other texts)."""
         data, offsets = ts.string_buffers(column)
         for i, j in ts.chunks(offsets):
             part = data[offsets[i] : offsets[j]]
@@ -148,29 +207,15 @@ class Encoder:
             odd = np.flatnonzero(part >= 0xCC)
             turkish = np.flatnonzero(part[:-1] == 0xC4) if len(part) else odd
             odd = np.concatenate([odd, turkish[part[turkish + 1] == 0xB0], [m.start() for m in _SPECIAL.finditer(raw)]]).astype(np.int64)
-            whole = np.unique(np.searchsorted(at, odd, side="right") - 1)
-            if len(whole):
-                raw = b"".join(raw[at[k] : at[k + 1]] for k in np.setdiff1d(np.arange(j - i), whole).tolist())
+            others = np.unique(np.searchsorted(at, odd, side="right") - 1)
+            inner = at
+            if len(others):
+                raw = b"".join(raw[at[k] : at[k + 1]] for k in np.setdiff1d(np.arange(j - i), others).tolist())
                 size = np.diff(at)
-                size[whole] = 0
+                size[others] = 0
                 inner = np.concatenate([[0], np.cumsum(size)])
-            else:
-                inner = at
             heads = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-            ids, count = self._simple(raw.decode(), heads[inner]) if raw else (np.zeros(0, np.uint32), np.zeros(j - i, np.int64))
-            if len(whole):
-                own = {k: self.whole(part[at[k] : at[k + 1]].tobytes().decode()) for k in whole.tolist()}
-                edge = np.concatenate([[0], np.cumsum(count)])
-                count = count.copy()
-                parts = []
-                for k in range(j - i):
-                    x = own.get(k)
-                    parts.append(ids[edge[k] : edge[k + 1]] if x is None else x)
-                    count[k] = len(parts[-1])
-                ids = np.concatenate(parts)
-            out = np.full(len(ids) + j - i, END_ID, np.uint32)
-            out[np.arange(len(ids)) + np.repeat(np.arange(j - i), count)] = ids
-            yield i, j, out, count + 1
+            yield i, j, raw.decode(), heads[inner], {k: self.whole(part[at[k] : at[k + 1]].tobytes().decode()) for k in others.tolist()}
 
 
 def encoder(path: str) -> Encoder:
