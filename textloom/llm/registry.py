@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, exact_dedup, html_extract, packing, secret_scan, token_file, warc_zip
+from textloom.llm import decontaminate, exact_dedup, html_extract, packing, quality_knn, secret_scan, token_file, warc_zip
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_exact_dedup": exact_dedup.query,
         "op8_token_file": token_file.query,
         "op9_decontaminate": decontaminate.query,
+        "op10_quality_knn": quality_knn.query,
     }
 
 
