@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, exact_dedup, html_extract, packing, quality_knn, secret_scan, token_file, warc_zip
+from textloom.llm import decontaminate, exact_dedup, html_extract, near_dedup, packing, quality_knn, secret_scan, token_file, warc_zip
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extraction": html_extract.query,
         "op3_warc_zip": warc_zip.query,
         "op4_best_fit_packing": packing.query,
+        "op5_near_dedup": near_dedup.query,
         "op6_secret_scan": secret_scan.query,
         "op7_exact_dedup": exact_dedup.query,
         "op8_token_file": token_file.query,
