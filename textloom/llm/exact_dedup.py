@@ -81,7 +81,7 @@ def _runs(batches):
 
 
 def mark(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row, and chars, the code points of the row that stays."""
     spark = documents.sparkSession
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.char_length(source).cast("long").alias("chars"), F.translate(source, SPACES, "").alias("norm"))
@@ -96,20 +96,21 @@ def mark(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     out = runs.drop("norm").join(F.broadcast(joined), ["part", "edge"], "left")  # two rows a range at most
     keep_id = F.when(F.col("total").isNull(), F.col("best_id")).otherwise(F.col("top.i"))
     kept = F.when(F.col("total").isNull(), (F.col("part") == F.col("best_part")) & (F.col("row") == F.col("best_row"))).otherwise((F.col("part") == F.col("top.p")) & (F.col("row") == F.col("top.r")))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("total", "run_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("total", "run_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce(-F.col("top.c"), F.col("best_chars")).alias("chars"))
 
 
 def keep(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. doc_ids that repeat under different texts are told apart by the text's digest."""
-    marks = mark(documents, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    norm = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), SPACES, "")
-    left = documents.withColumns({"__d": F.unhex(F.sha2(norm, 256)), "__n": F.char_length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))})
-    out = left.join(marks, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left_semi")
-    return out.dropDuplicates([doc_id, "__d", "__n"]).drop("__d", "__n")
+    """The rows that stay, with all their columns. Rows that repeat doc_id and text of a row that stays are put together."""
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))
+    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    stays = mark(documents, doc_id, text).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), F.unhex("text_sha256").alias("__digest"), F.col("chars").alias("__chars"))
+    left = documents.withColumns({"__key": key, "__digest": F.unhex(F.sha2(F.translate(source, SPACES, ""), 256)), "__chars": F.char_length(source).cast("long")})
+    keys = ["__key", "__digest", "__chars"]
+    return left.join(stays, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mark(table(spark, sf_dir, "documents"))
+    return mark(table(spark, sf_dir, "documents")).drop("chars")
 
 
 SQL = """

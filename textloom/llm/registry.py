@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from textloom.llm import decontaminate, exact_dedup, html_extract, near_dedup, packing, quality_knn, repeated_spans, secret_scan, token_file, warc_zip
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_html_extraction": html_extract.query,
         "op2_repeated_spans": repeated_spans.query,
         "op3_warc_zip": warc_zip.query,
