@@ -97,6 +97,8 @@ def _spans(r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _dealt(rows: np.ndarray, bucket: np.ndarray, kind: int):
     """(bucket, kind, packed rows) per bucket."""
+    if not len(rows):
+        return
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
