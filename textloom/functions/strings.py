@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import signatures
 from textloom.functions.breaks import break_line, repeated_keys
 
 
@@ -301,3 +302,15 @@ def blake2b(s: pd.Series) -> pd.Series:
     import hashlib
 
     return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode() if isinstance(x, str) else x).hexdigest())
+
+
+@F.pandas_udf("array<long>")
+def minhash_signature(s: pd.Series) -> pd.Series:
+    """128 least hashes of 5-byte shingles; null for shorter texts."""
+    return s.map(signatures.minhash)
+
+
+@F.pandas_udf("long")
+def simhash_signature(s: pd.Series) -> pd.Series:
+    """64-bit majority signature of 3-byte shingles; null for shorter texts."""
+    return pd.Series([signatures.simhash(x) for x in s], dtype="Int64")

@@ -27,17 +27,18 @@ def _(spark, d):
     return J.common(bench_lines(spark, d), all_lines(spark, d), "line", "doc_id", "pos").select("line", "first.doc_id")
 
 
-@query("contamination_line_overlap", f"SELECT doc_id, count(*) AS n FROM {LINES} WHERE length(line) >= 20 AND line IN (SELECT line FROM {BLINES}) GROUP BY doc_id")
+@query("contamination_line_overlap", f"SELECT doc_id, count(*) AS n FROM {LINES} WHERE line IN (SELECT line FROM {BLINES}) GROUP BY doc_id")
 def _(spark, d):
-    return all_lines(spark, d).filter(F.char_length("line") >= 20).join(bench_lines(spark, d).select("line").distinct(), "line", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return all_lines(spark, d).join(bench_lines(spark, d).select("line").distinct(), "line", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-HALVES = f"a AS (SELECT doc_id // 2 AS k, sha256({T}) AS h, length({T}) AS n FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 + 1 AS k, sha256({T}) AS h, length({T}) AS n FROM documents WHERE doc_id % 2 = 1)"
+HALVES = f"a AS (SELECT doc_id AS k, sha256({T}) AS h, length({T}) AS n FROM documents), b AS (SELECT item_id AS k, sha256({T}) AS h, length({T}) AS n FROM benchmark)"
 
 
 def halves(spark, d):
-    base = docs(spark, d).select((F.floor(F.col("doc_id") / 2)).cast("long").alias("k"), F.pmod("doc_id", F.lit(2)).alias("side"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    return base.filter("side = 0").drop("side"), base.filter("side = 1").drop("side").withColumn("k", F.col("k") + 1)
+    t = F.coalesce("text", F.lit(""))
+    one = lambda df, k: df.select(F.col(k).alias("k"), F.sha2(t, 256).alias("h"), F.char_length(t).cast("long").alias("n"))
+    return one(docs(spark, d), "doc_id"), one(load(spark, d, "benchmark"), "item_id")
 
 
 @query(
@@ -64,11 +65,13 @@ def _(spark, d):
     return a.agg(F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
-@query("join_name_conflict", "SELECT p_brand AS name, count(*) AS cnt FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 25) GROUP BY p_brand HAVING count(*) > 1")
+BWORDS = WORDS.replace("FROM documents", "FROM (SELECT item_id AS doc_id, NULL AS lang, text FROM benchmark)")
+
+
+@query("join_name_conflict", f"SELECT word AS name, count(*) AS cnt FROM {WORDS} WHERE word IN (SELECT word FROM {BWORDS}) GROUP BY word HAVING count(*) > 1")
 def _(spark, d):
-    p = load(spark, d, "part")
-    c = p.groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("cnt")).filter("cnt > 1")
-    return c.join(p.filter("p_size > 25").select(F.col("p_brand").alias("name")).distinct(), "name", "left_semi")
+    c = L.counts(L.words(docs(spark, d)), "word").filter("cnt > 1").withColumnRenamed("word", "name")
+    return c.join(L.words(load(spark, d, "benchmark"), "alpha", "item_id").select(F.col("word").alias("name")).distinct(), "name", "left_semi")
 
 
 @query("join_stem_pair", "SELECT DISTINCT regexp_replace(url, '[?].*$', '') AS stem FROM pages WHERE url LIKE '%?%' AND regexp_replace(url, '[?].*$', '') IN (SELECT url FROM pages)")
@@ -89,10 +92,10 @@ def _(spark, d):
     return per.join(vocab, "word", "left").groupBy("doc_id").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("in") == 1, F.col("c"))), F.lit(0)).alias("known"))
 
 
-@query("join_cache_lookup", "SELECT o_orderkey, c_name, o_custkey IS NOT NULL AND c_custkey IS NOT NULL AS hit FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("join_cache_lookup", "SELECT o_orderkey, s_name, s_suppkey IS NOT NULL AS hit FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey")
 def _(spark, d):
-    cache = load(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return load(spark, d, "orders").select("o_orderkey", "o_custkey").join(cache, "o_custkey", "left").select("o_orderkey", "c_name", F.col("c_name").isNotNull().alias("hit"))
+    cache = load(spark, d, "supplier").select(F.col("s_suppkey").alias("o_custkey"), "s_name")
+    return load(spark, d, "orders").select("o_orderkey", "o_custkey").join(cache, "o_custkey", "left").select("o_orderkey", "s_name", F.col("s_name").isNotNull().alias("hit"))
 
 
 @query("join_defs_vs_uses", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
@@ -131,12 +134,11 @@ def _(spark, d):
     return J.prune_descendants(page_paths(spark, d), "p")
 
 
-MAPS = "a AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 2 = 0)"
+MAPS = "a AS (SELECT c_custkey AS k, c_name AS v FROM customer), b AS (SELECT s_suppkey AS k, s_name AS v FROM supplier)"
 
 
 def maps(spark, d):
-    c = load(spark, d, "customer")
-    return c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
 
 
 @query("join_merge_shallow", f"WITH {MAPS} SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v FROM a FULL JOIN b ON a.k = b.k")
@@ -159,18 +161,15 @@ def _(spark, d):
     return J.conflicts({"a": a, "b": b}, "k", "v")
 
 
-@query("sink_upsert", "WITH u AS (SELECT c_custkey, upper(c_name) AS c_name, 0.0 AS c_acctbal FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey + 1000000, c_name, 1.0 FROM customer WHERE c_custkey % 50 = 0) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT * FROM u")
+@query("sink_upsert", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def _(spark, d):
-    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    u = c.filter("c_custkey % 10 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
-    u = u.unionByName(c.filter("c_custkey % 50 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), "c_name", F.lit(1.0).alias("c_acctbal")))
-    return J.upsert(c, u, "c_custkey")
+    updates = load(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return J.upsert(load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), updates, "c_custkey")
 
 
-@query("sink_insert_or_replace", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'replaced' ELSE p_name END AS p_name FROM part")
+@query("sink_insert_or_replace", "SELECT p_partkey, coalesce(s_name, p_name) AS p_name FROM part LEFT JOIN supplier ON p_partkey = s_suppkey UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part)")
 def _(spark, d):
-    p = load(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    return J.upsert(p.select("p_partkey", "p_name"), p.filter("p_size > 40").select("p_partkey", F.lit("replaced").alias("p_name")), "p_partkey")
+    return J.upsert(load(spark, d, "part").select("p_partkey", "p_name"), load(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_name").alias("p_name")), "p_partkey")
 
 
 # ---- sets ----
@@ -257,10 +256,10 @@ def _(spark, d):
     return D.first_by(x, "digest", "n_chars", "source", "doc_id").select("digest", "doc_id")
 
 
-@query("dedup_incremental_cache", f"SELECT doc_id, sha256({T}) AS digest, doc_id % 2 = 0 AS cached FROM documents")
+@query("dedup_incremental_cache", f"SELECT doc_id, sha256({T}) AS digest, doc_id IN (SELECT doc_id FROM labels) AS cached FROM documents")
 def _(spark, d):
     x = docs(spark, d).select("doc_id", F.col("n_chars").alias("size"), F.coalesce("text", F.lit("")).alias("t"))
-    cache = x.filter("doc_id % 2 = 0").select("doc_id", "size", F.sha2("t", 256).alias("known"))
+    cache = x.join(load(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "size", F.sha2("t", 256).alias("known"))
     return x.join(cache, ["doc_id", "size"], "left").select("doc_id", F.coalesce("known", F.sha2("t", 256)).alias("digest"), F.col("known").isNotNull().alias("cached"))
 
 
