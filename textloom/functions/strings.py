@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import signatures
 from textloom.functions.breaks import break_line, repeated_keys
@@ -70,7 +71,7 @@ def hsv(c: Column) -> Column:
     return F.struct(F.round(hue * 60, 4).alias("h"), F.round(F.when(top == 0, 0.0).otherwise(d / top), 4).alias("s"), F.round(top, 4).alias("v"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_line(s: pd.Series) -> pd.Series:
     """NFKC, printable characters, no punctuation, case folded, words joined by `_`."""
 
@@ -84,13 +85,13 @@ def normalize_line(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def wrap_sentences(s: pd.Series) -> pd.Series:
     """Sentences, those above 120 characters broken at their last sign before it."""
     return s.map(lambda x: [p for y in re.findall(r"[^.!]+[.!]?", x or "") if y.strip() for p in break_line(y.strip(), 120)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunk_chars(s: pd.Series) -> pd.Series:
     """Chunks of at most 4990 characters, cut behind the last sentence end after 4900, else the last space, else hard."""
 
@@ -111,7 +112,7 @@ def chunk_chars(s: pd.Series) -> pd.Series:
 _VOWELS = re.compile("[aeiouyàâäáãåæéèêëíìîïóòôöõøœúùûüýÿ]+")
 
 
-@F.pandas_udf("struct<sentences:long,words:long,syllables:long,flesch:double,smog:double>")
+@F.pandas_udf(T.StructType([*(T.StructField(n, T.LongType()) for n in ("sentences", "words", "syllables")), *(T.StructField(n, T.DoubleType()) for n in ("flesch", "smog"))]))
 def readability(s: pd.Series) -> pd.DataFrame:
     def one(x):
         w = re.findall(r"[^\W\d_]+", (x or "").lower())
@@ -123,7 +124,7 @@ def readability(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in s], columns=["sentences", "words", "syllables", "flesch", "smog"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_hash_comments(s: pd.Series) -> pd.Series:
     """Each line without what follows a # outside quotes."""
 
@@ -141,7 +142,7 @@ def strip_hash_comments(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "\n".join(map(line, x.split("\n"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_python(s: pd.Series) -> pd.Series:
     """Python source without comments and docstrings; what doesn't parse stays as it is."""
     import ast
@@ -159,7 +160,7 @@ def strip_python(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markdown_html(s: pd.Series) -> pd.Series:
     """A small Markdown subset as HTML: headings, emphasis, code, links, lists and paragraphs."""
     import html
@@ -185,13 +186,13 @@ def markdown_html(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_repeated_keys(s: pd.Series) -> pd.Series:
     """Keys that occur twice in one JSON object."""
     return s.map(lambda x: None if x is None else repeated_keys(x))
 
 
-@F.pandas_udf("array<struct<name:string,kind:string,first:int,last:int,digest:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("digest", T.StringType())])))
 def definitions(s: pd.Series) -> pd.Series:
     """Functions, classes and constants of Python source, with a digest of their normalised form."""
     import ast
@@ -215,7 +216,7 @@ def definitions(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def imported_modules(s: pd.Series) -> pd.Series:
     """Top-level modules that Python source imports, sorted."""
     import ast
@@ -236,7 +237,7 @@ def imported_modules(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def remove_elements(s: pd.Series) -> pd.Series:
     """HTML without its script, style, meta and nav elements, nested ones too."""
     from html.parser import HTMLParser
@@ -281,7 +282,7 @@ def remove_elements(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two strings, 0 to 100."""
     from difflib import SequenceMatcher
@@ -289,7 +290,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(100 * SequenceMatcher(None, x or "", y or "", False).ratio(), 4) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh64(s: pd.Series) -> pd.Series:
     """Seed-0 xxh64 as hex."""
     import xxhash
@@ -297,20 +298,20 @@ def xxh64(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else xxhash.xxh64(x.encode() if isinstance(x, str) else x).hexdigest())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b(s: pd.Series) -> pd.Series:
     import hashlib
 
     return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode() if isinstance(x, str) else x).hexdigest())
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash_signature(s: pd.Series) -> pd.Series:
     """128 least hashes of 5-byte shingles; null for shorter texts."""
     return s.map(signatures.minhash)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash_signature(s: pd.Series) -> pd.Series:
     """64-bit majority signature of 3-byte shingles; null for shorter texts."""
     return pd.Series([signatures.simhash(x) for x in s], dtype="Int64")

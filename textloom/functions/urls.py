@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)([?][^#]*)?(#.*)?$"
 
@@ -35,7 +36,7 @@ def classify(url: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_full(s: pd.Series) -> pd.Series:
     """RFC 3986: IDNA host, dot segments, percent-encoding; the query's parameters are sorted."""
     from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
@@ -61,7 +62,7 @@ def normal_full(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def humanize(s: pd.Series) -> pd.Series:
     """Percent-encoding and IDNA undone where that can be encoded back to the same."""
     from urllib.parse import quote, unquote, urlsplit, urlunsplit

@@ -17,8 +17,8 @@ INTEGER, REAL, TEXT = "INTEGER", "REAL", "TEXT"
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Every value a string; the separator follows the extension."""
-    return spark.read.option("header", True).option("sep", sep or ("\t" if path.endswith(".tsv") else ",")).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """Every value a string; the separator follows the extension. A quoted empty cell is the empty string, a missing or bare one null."""
+    return spark.read.option("header", True).option("sep", sep or ("\t" if path.endswith(".tsv") else ",")).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\x00").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
