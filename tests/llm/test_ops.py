@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import components, decontaminate, exact_dedup, html_extract, minhash, near_dedup, packing, quality_knn, rans, repeated_spans, secret_scan, token_file, tokens, warc_zip
+from textloom.llm import bloom, components, decontaminate, exact_dedup, html_extract, minhash, near_dedup, packing, quality_knn, rans, repeated_spans, secret_scan, token_file, tokens, warc_zip
 from textloom.llm.common import new_path
 
 RNG = random.Random(5)
@@ -248,6 +248,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_bloom_filter_loses_nothing(spark):
+    ids = spark.range(0, 3000, 3).toDF("k")
+    left = bloom.thin(spark.range(3000).toDF("id"), "id", ids, "k", 1000)
+    got = {r.id for r in left.collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1200
+
+
 # ---- 6 ----
 
 
