@@ -34,6 +34,8 @@ from textloom.llm.common import partitions, stage, table
 LENGTH = 100
 GRAM = 32
 HOT = 4096
+#: Records that the first pass holds at once, records whose contexts are cut at once, and windows that are checked byte by byte at once.
+HELD, CUT, CHECKED = 250_000, 4096, 8192
 RECORD = np.dtype([("digit", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("low", "u1"), ("high", "u1")])
 WINDOW = np.dtype([("key", "S16"), ("doc", "<i8"), ("start", "<u4")])
 
@@ -115,17 +117,25 @@ def _packed(rows: list) -> pa.RecordBatch:
 
 
 def _first_pass(documents: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    def settled(parts):
+        early, late = _copies(np.concatenate(parts))
+        rows = list(_dealt(early, (early["digit"] % np.uint64(buckets)).astype(np.int64), 0))
+        rows += _dealt(late, (ts.mix(late["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), 1)
+        return _packed(rows)
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             data, offsets = ts.string_buffers(batch.column(1))
             docs = batch.column(0).to_numpy()
-            parts = [records(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], docs[i:j], length, gram) for i, j in ts.chunks(offsets)]
-            if not parts:
-                continue
-            early, late = _copies(np.concatenate(parts))
-            rows = list(_dealt(early, (early["digit"] % np.uint64(buckets)).astype(np.int64), 0))
-            rows += _dealt(late, (ts.mix(late["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), 1)
-            yield _packed(rows)
+            for i, j in ts.chunks(offsets):
+                parts.append(records(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], docs[i:j], length, gram))
+                held += len(parts[-1])
+                if held >= HELD:
+                    yield settled(parts)
+                    parts, held = [], 0
+        if held:
+            yield settled(parts)
 
     return documents.mapInArrow(run, _PACKED)
 
@@ -169,8 +179,8 @@ def _second_pass(length: int, hot: int):
                     yield _found(*_merged(*_spans(r, length)))
                 else:
                     buffers.setdefault(bucket, []).append(r)
-        for parts in buffers.values():
-            early, late = _copies(np.concatenate(parts))
+        while buffers:
+            early, late = _copies(np.concatenate(buffers.popitem()[1]))
             if len(late):
                 yield _found(*_merged(*_spans(late, length)))
             d = early["digit"]
@@ -201,8 +211,8 @@ def _contexts(length: int, buckets: int):
             rows = []
             wide = np.dtype([*RECORD.descr, ("bytes", "u1", 2 * left)])
             plain = np.flatnonzero(~hot)
-            for a in range(0, len(plain), 20_000):
-                k = plain[a : a + 20_000]
+            for a in range(0, len(plain), CUT):
+                k = plain[a : a + CUT]
                 r = np.zeros(len(k), wide)
                 r["digit"], r["doc"], r["pos"], r["low"], r["high"] = digit[k], docs[own[k]], pos[k], low[k], high[k]
                 base = offsets[own[k]] + pos[k]
@@ -236,8 +246,17 @@ def _third_pass(length: int):
     wide = np.dtype([*RECORD.descr, ("bytes", "u1", 2 * left)])
 
     def windows(parts):
-        """Compares all windows of all records of a bucket; gives those that aren't the earliest."""
+        """Compares all windows of whole digits, a few thousand records at a time; gives those that aren't the earliest."""
         r = np.concatenate(parts)
+        r = r[np.argsort(r["digit"], kind="stable")]
+        heads = np.append(np.flatnonzero(np.diff(r["digit"], prepend=~r["digit"][:1])), len(r))
+        at = 0
+        while at < len(heads) - 1:
+            to = max(at + 1, int(np.searchsorted(heads, heads[at] + CUT, side="right")) - 1)
+            yield compared(r[heads[at] : heads[to]])
+            at = to
+
+    def compared(r):
         keys, rows, backs = [], [], []
         for a in range(0, len(r), 4096):
             c = r[a : a + 4096]
@@ -258,8 +277,8 @@ def _third_pass(length: int):
         first[1:] = key[1:] != key[:-1]
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
         late = np.flatnonzero(~first)
-        for a in range(0, len(late), 50_000):
-            k = late[a : a + 50_000]
+        for a in range(0, len(late), CHECKED):
+            k = late[a : a + CHECKED]
             span = (left - back[k])[:, None] + np.arange(length)[None, :]
             same = (r["bytes"][row[k][:, None], span] == r["bytes"][row[head[k]][:, None], (left - back[head[k]])[:, None] + np.arange(length)[None, :]]).all(1)
             if not same.all():
@@ -278,10 +297,11 @@ def _third_pass(length: int):
                     yield _found(*_merged(*_spans(r, length)))
                 else:
                     spread.setdefault(bucket, []).append(np.frombuffer(raw, WINDOW))
-        for parts in plain.values():
-            out = _merged(*windows(parts))
-            if len(out[0]):
-                yield _found(*out)
+        while plain:
+            for late in windows(plain.popitem()[1]):
+                out = _merged(*late)
+                if len(out[0]):
+                    yield _found(*out)
         for parts in spread.values():
             w = np.concatenate(parts)
             w = w[np.lexsort((w["start"], w["doc"], w["key"]))]
