@@ -274,7 +274,6 @@ BLOCK = rf"(SELECT doc_id, unnest(string_split({T}, chr(10) || chr(10))) AS bloc
 
 @query("dedup_block", rf"WITH b AS (SELECT doc_id, a[i] || chr(10) || a[i + 1] AS block FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM (SELECT doc_id, {ARR} AS a FROM documents))) SELECT block, count(DISTINCT doc_id) AS docs FROM b WHERE length(block) >= 10 GROUP BY block HAVING count(DISTINCT doc_id) > 1")
 def _(spark, d):
-    a = L.split_lines(F.col("text"))
-    pairs = F.transform(F.filter(F.transform(a, lambda x, i: F.struct(x.alias("x"), F.get(a, i + 1).alias("y"))), lambda p: p["y"].isNotNull()), lambda p: F.concat_ws("\n", p["x"], p["y"]))
+    pairs = F.transform(F.filter(L.neighbours(L.split_lines(F.col("text"))), lambda p: p["next"].isNotNull()), lambda p: F.concat_ws("\n", p["line"], p["next"]))
     b = docs(spark, d).select("doc_id", F.explode(F.array_distinct(pairs)).alias("block")).filter(F.char_length("block") >= 10)
     return b.groupBy("block").agg(F.count("*").alias("docs")).filter("docs > 1")

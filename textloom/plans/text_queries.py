@@ -264,9 +264,8 @@ def _(spark, d):
 @query("win_lag_equal", f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {LINES}) WHERE line = nxt AND NOT {BLANK.format('line')}")
 def _(spark, d):
     # neighbours are in one array, so no shuffle is needed to see them
-    a = L.split_lines(F.col("text"))
-    found = F.filter(F.transform(a, lambda x, i: F.struct((i + 1).alias("pos"), x.alias("line"), F.get(a, i + 1).alias("nxt"))), lambda x: (x["line"] == x["nxt"]) & ~L.is_blank(x["line"]))
-    return docs(spark, d).select("doc_id", F.inline(found)).drop("nxt")
+    pairs = docs(spark, d).select("doc_id", F.posexplode(L.neighbours(L.split_lines(F.col("text")))).alias("pos", "p"))
+    return pairs.filter((F.col("p.line") == F.col("p.next")) & ~L.is_blank(F.col("p.line"))).select("doc_id", (F.col("pos") + 1).alias("pos"), "p.line")
 
 
 @query("win_prev_blank", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM {LINES}) WHERE prev = '' AND line <> '' GROUP BY doc_id")
