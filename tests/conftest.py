@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{folder}").config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(f"file://{folder}")
     yield s
     s.stop()
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -180,15 +179,15 @@ def infer_type(values) -> str:
 
 def sqlite_bytes(tables: dict[str, list[dict]]) -> bytes:
     """A SQLite file of small tables."""
-    with tempfile.NamedTemporaryFile(suffix=".db") as f:
-        con = sqlite3.connect(f.name)
-        for name, rows in tables.items():
-            cols = list(dict.fromkeys(k for r in rows for k in r))
-            con.execute(f'CREATE TABLE "{name}" (' + ", ".join(f'"{c}" {infer_type([r.get(c) for r in rows])}' for c in cols) + ")")
-            con.executemany(f'INSERT INTO "{name}" VALUES (' + ", ".join("?" * len(cols)) + ")", [[r.get(c) for c in cols] for r in rows])
-        con.commit()
-        con.close()
-        return open(f.name, "rb").read()
+    con = sqlite3.connect(":memory:")
+    for name, rows in tables.items():
+        cols = list(dict.fromkeys(k for r in rows for k in r))
+        con.execute(f'CREATE TABLE "{name}" (' + ", ".join(f'"{c}" {infer_type([r.get(c) for r in rows])}' for c in cols) + ")")
+        con.executemany(f'INSERT INTO "{name}" VALUES (' + ", ".join("?" * len(cols)) + ")", [[r.get(c) for c in cols] for r in rows])
+    con.commit()
+    out = con.serialize()
+    con.close()
+    return out
 
 
 def sqlite_rows(content: bytes) -> Iterator[tuple[str, dict]]:
