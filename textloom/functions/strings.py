@@ -315,3 +315,16 @@ def minhash_signature(s: pd.Series) -> pd.Series:
 def simhash_signature(s: pd.Series) -> pd.Series:
     """64-bit majority signature of 3-byte shingles; null for shorter texts."""
     return pd.Series([signatures.simhash(x) for x in s], dtype="Int64")
+
+
+def _slots(a: Column, b: Column) -> Column:
+    return F.coalesce(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) * 100.0 / signatures.PERMUTATIONS, F.lit(0.0))
+
+
+#: Similarity algorithms by name: (signature of a string, score of two signatures from 0 to 100).
+SIMILARITIES = {
+    "exact": (lambda c: F.sha2(c, 256), lambda a, b: F.when(a == b, 100.0).otherwise(0.0)),
+    "minhash": (minhash_signature, _slots),
+    "simhash": (simhash_signature, lambda a, b: F.coalesce(100 - F.bit_count(a.bitwiseXOR(b)) * 100.0 / 64, F.lit(0.0))),
+    "sequence": (lambda c: c, sequence_ratio),
+}

@@ -236,7 +236,13 @@ def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", (F.datediff(F.lit("1998-12-31").cast("date"), F.to_date("o_orderdate")) < 365).alias("valid"))
 
 
-@query("time_jalali")
+JALALI = """WITH a AS (SELECT o_orderkey, date_diff('day', DATE '1600-01-01', CAST(o_orderdate AS DATE)) - 79 AS n FROM orders),
+b AS (SELECT *, n // 12053 AS c, n % 12053 AS r FROM a), e AS (SELECT *, 979 + 33 * c + 4 * (r // 1461) AS y0, r % 1461 AS q FROM b),
+f AS (SELECT o_orderkey, y0 + CASE WHEN q >= 366 THEN (q - 1) // 365 ELSE 0 END AS y, CASE WHEN q >= 366 THEN (q - 1) % 365 ELSE q END AS k FROM e)
+SELECT o_orderkey, CAST(y AS BIGINT) AS year, CAST(CASE WHEN k < 186 THEN k // 31 + 1 ELSE (k - 186) // 30 + 7 END AS BIGINT) AS month, CAST(CASE WHEN k < 186 THEN k % 31 + 1 ELSE (k - 186) % 30 + 1 END AS BIGINT) AS day FROM f"""
+
+
+@query("time_jalali", JALALI)
 def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", T.jalali(F.to_date("o_orderdate")).alias("j")).select("o_orderkey", "j.*")
 
@@ -325,7 +331,14 @@ def _(spark, d):
     return m.select("source", F.array_join(F.transform("e", lambda x: F.concat_ws("=", x["lang"], x["n"].cast("string"))), ",").alias("sorted"))
 
 
-@query("sort_hue")
+HUE = """WITH c AS (SELECT p_partkey, printf('#%06x', p_partkey * 7919 % 16777216) AS color FROM part),
+v AS (SELECT *, CAST('0x' || substr(color, 2, 2) AS INT) / 255.0::DOUBLE AS r, CAST('0x' || substr(color, 4, 2) AS INT) / 255.0::DOUBLE AS g, CAST('0x' || substr(color, 6, 2) AS INT) / 255.0::DOUBLE AS b FROM c),
+m AS (SELECT *, greatest(r, g, b) AS t, greatest(r, g, b) - least(r, g, b) AS d FROM v),
+x AS (SELECT p_partkey, color, round(60 * CASE WHEN d = 0 THEN 0 WHEN t = r THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN t = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END, 4) AS h, round(CASE WHEN t = 0 THEN 0 ELSE d / t END, 4) AS s, round(t, 4) AS v FROM m)
+SELECT * FROM x ORDER BY h, s, v, p_partkey LIMIT 500"""
+
+
+@query("sort_hue", HUE)
 def _(spark, d):
     color = F.format_string("#%06x", F.pmod(F.col("p_partkey") * 7919, F.lit(16777216)))
     p = load(spark, d, "part").select("p_partkey", color.alias("color")).filter(F.col("color").rlike("^#[0-9a-f]{6}$"))

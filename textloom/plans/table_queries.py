@@ -99,6 +99,18 @@ def _(spark, d):
     return spark.read.schema("o_orderkey long, o_orderstatus string").json(path)
 
 
+@query("udf_registry_loader", "SELECT unnest(['csv', 'json', 'jsonl', 'parquet']) AS format, count(*) AS rows FROM nation GROUP BY 1")
+def _(spark, d):
+    """One table through every registered pair of writer and reader."""
+    n, out = load(spark, d, "nation").select("n_nationkey", "n_name"), None
+    for name, (write, read) in TB.FORMATS.items():
+        path = scratch(spark, name)
+        write(n, path)
+        one = read(spark, path, n.schema).agg(F.count("*").alias("rows")).select(F.lit(name).alias("format"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("scan_jsonl_keyed", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
 def _(spark, d):
     c = load(spark, d, "conversations")
@@ -442,6 +454,24 @@ def _(spark, d):
     return p.select("p_partkey", ST.sequence_ratio("p_name", "p_type").alias("score"))
 
 
+@query("udf_registry_similarity")
+def _(spark, d):
+    """Every registered algorithm's mean score over one pair of columns."""
+    p, out = load(spark, d, "part"), None
+    for name, (sign, compare) in ST.SIMILARITIES.items():
+        one = p.select(sign(F.col("p_name")).alias("a"), sign(F.col("p_type")).alias("b")).agg(F.round(F.avg(compare(F.col("a"), F.col("b"))), 4).alias("score")).select(F.lit(name).alias("algorithm"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("sim_perceptual_hash")
+def _(spark, d):
+    """Average hash of feature vectors, and how far each is from its label's first one."""
+    h = load(spark, d, "embeddings").select("vec_id", "label", S.average_hash(F.col("embedding"), 32).alias("hash"))
+    first = h.groupBy("label").agg(F.min(F.struct("vec_id", "hash")).alias("m"))
+    return h.join(first, "label").select("vec_id", "label", "hash", F.bit_count(F.col("hash").bitwiseXOR(F.col("m.hash"))).alias("distance"))
+
+
 @query("sim_composite", "SELECT p_partkey, CASE WHEN p_name = p_type THEN 100.0 ELSE round((100.0 * p_size / 50 + 50.0) / 2, 4) END AS score FROM part")
 def _(spark, d):
     scores = F.filter(F.array(F.col("p_size") * 100.0 / 50, F.lit(50.0), F.lit(0.0)), lambda x: x > 0)

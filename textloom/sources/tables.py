@@ -243,3 +243,12 @@ class SqliteSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
+
+
+#: Formats by name: (write(df, path), read(spark, path, schema)).
+FORMATS = {
+    "csv": (write_csv, lambda spark, path, schema: read_csv(spark, path)),
+    "json": (lambda df, path: df.write.json(path), lambda spark, path, schema: spark.read.schema(schema).json(path)),
+    "jsonl": (lambda df, path: df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path), lambda spark, path, schema: read_jsonl(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))),
+    "parquet": (lambda df, path: df.write.parquet(path), lambda spark, path, schema: spark.read.schema(schema).parquet(path)),
+}
