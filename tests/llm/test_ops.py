@@ -225,6 +225,36 @@ def test_near_dedup(spark, documents, rows, block):
     assert got == near_dedup.brute_force(rows)
 
 
+def test_near_dedup_in_hot_keys(spark):
+    """Two short texts that are mostly a passage which thousands of longer, unrelated documents carry too."""
+    words = lambda tag, n: [f"{tag}x{k}" for k in range(n)]
+    texts = []
+    for p in range(3):
+        passage = words(f"p{p}", 304)
+        texts += [(2 * p, " ".join(passage + words(f"s{2 * p}", 15))), (2 * p + 1, " ".join(passage + words(f"s{2 * p + 1}", 15)))]
+        texts += [(10000 * (p + 1) + i, " ".join(passage + words(f"l{p}y{i}", 130))) for i in range(2000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(df).collect()}
+    assert got == {i: i - 1 if i in (1, 3, 5) else i for i, _ in texts}
+
+
+@pytest.mark.parametrize("cell", [5, 4096])
+def test_every_pair_of_a_key(spark, rows, cell):
+    """All pairs that share a key are of one family or have a low estimate."""
+    classes = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").filter("set_id is not null")
+    classes = near_dedup.stage(spark, classes.groupBy("set_id").agg(near_dedup.F.min("doc_id").alias("id"), near_dedup.F.first("n_shingles").alias("n_shingles"), near_dedup.F.first("registers").alias("registers")), "classes")
+    shared = near_dedup.stage(spark, near_dedup.keyed(near_dedup.band_rows(classes)), "shared")
+    family = near_dedup.families(near_dedup.likely(near_dedup.ties(shared), classes), shared, classes, cell)
+    label = {r.id: r.label for r in family.collect()}
+    c = {r.id: (r.n_shingles, np.frombuffer(r.registers, np.uint16)) for r in classes.collect()}
+    keys = {i: set(minhash.band_keys(r[None, :])[0].tolist()) for i, (_, r) in c.items()}
+    for a in c:
+        for b in c:
+            if a < b and keys[a] & keys[b] and label.get(a, a) != label.get(b, b):
+                (n, r), (m, s) = c[a], c[b]
+                assert min(n, m) * 100 < near_dedup.SHARE * max(n, m) or minhash.estimate(r, s, n, m) < near_dedup.FLOOR
+
+
 def test_near_dedup_of_nothing(spark, empty):
     assert near_dedup.groups(empty).count() == 0
     one = frame(empty.sparkSession, [(None, "a b c"), (4, None), (4, None)])

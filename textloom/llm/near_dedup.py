@@ -3,7 +3,8 @@
 1. Each text becomes the set of its word shingles; equal sets are one class, named by its smallest doc_id. A class keeps
    its compressed registers.
 2. Bands of registers are keys. A key's members are tied to one of them, chosen afresh per key: linear in the members.
-   Ties whose collision-corrected estimate is far below the threshold go; what stays connected is a family.
+   Ties whose collision-corrected estimate is far below the threshold go; what stays connected is a family. Members of one key
+   that are left in several families are compared with each other by their registers, in blocks, all pairs whose sizes can fit.
 3. Families are cut into blocks of about BLOCK classes. Within a block all pairs are compared exactly, as products of
    incidence matrices of the full shingle sets. That settles every family of one block.
 4. Larger families: the most central classes of their blocks, PIVOTS a family at most, meet every block and are compared exactly.
@@ -12,7 +13,8 @@
    hot families cost in proportion to their size times what stays outside.
 Links are confirmed by 100 * intersection >= 75 * union on full sets; components come by contraction.
 
-Candidates: two texts of similarity s share none of the BANDS keys with chance (1 - s**ROWS)**BANDS, 5e-6 at 0.75.
+Candidates: two texts of similarity s share none of the BANDS keys with chance (1 - s**ROWS)**BANDS, 5e-6 at 0.75. Two that share
+one are compared, whoever else is in it; a true link's estimate is below FLOOR with chance under 1e-6 (58 or more of 128 registers differ).
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing. Fewer words than a shingle are one
 shingle. Rows that repeat a doc_id are members like any other; a null doc_id is in no class, its component is null and it is kept.
@@ -22,6 +24,7 @@ An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,12 @@ from textloom.llm import textscan as ts
 from textloom.llm.bloom import thin
 from textloom.llm.common import stage, table
 from textloom.llm.components import components
+from textloom.operators import cells
 
 SHARE = 75
 FLOOR = 0.55
+#: Base of the size bins: above 100 / SHARE, so that sizes that fit are in one bin or in neighbours.
+STEP = 1.34
 BLOCK = 64
 PIVOTS = 8
 COLUMNS = 1 << 16
@@ -70,11 +76,16 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(run, "key long, id long")
 
 
-def ties(bands: DataFrame) -> DataFrame:
-    """(a, b): every member of a key with the one member that stands for the key."""
+def keyed(bands: DataFrame) -> DataFrame:
+    """(key, id, first, n): every member of a key of n with the one member that stands for the key, but that one itself."""
     first = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("id"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("key", F.col("m.id").alias("first"))
-    return bands.join(first, "key").filter("id != first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    first = first.select("key", F.col("m.id").alias("first"), "n")
+    return bands.join(first, "key").filter("id != first")
+
+
+def ties(shared: DataFrame) -> DataFrame:
+    """(a, b): every member of a key with the one that stands for it."""
+    return shared.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
 
 
 def likely(edges: DataFrame, classes: DataFrame, floor: float = FLOOR) -> DataFrame:
@@ -96,6 +107,59 @@ def likely(edges: DataFrame, classes: DataFrame, floor: float = FLOOR) -> DataFr
     return edges.join(a, "a").join(b, "b").select("a", "b", "n", "m", "r", "s").mapInArrow(run, "a long, b long")
 
 
+def _alike(table_: pa.Table) -> pa.Table:
+    """Families of a cell that some pair of one bucket ties together: pairs of two labels whose sizes fit are all estimated."""
+    label, n, side = (table_.column(k).to_numpy() for k in ("label", "n_shingles", "side"))
+    raw = np.frombuffer(b"".join(table_.column("registers").to_pylist()), np.uint16).reshape(-1, mh.REGISTERS)
+    slots = np.ascontiguousarray(raw.T)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in cells.pairs(table_):
+        open_ = (label[x] != label[y]) & (side[x] + side[y] < 2) & (np.minimum(n[x], n[y]) * 100 >= SHARE * np.maximum(n[x], n[y]))
+        if x.ndim == 1 or open_.mean() < 0.05:
+            x, y = cells.spread(x, y, open_)
+            open_ = np.ones(len(x), bool)
+        # the correction only lowers an estimate
+        x, y = cells.spread(x, y, open_ & (cells.agreeing(slots, x, y) >= FLOOR * mh.REGISTERS))
+        if len(x):
+            ok = mh.estimate(raw[x], raw[y], n[x], n[y]) >= FLOOR
+            u, v = cells.forest(label[x[ok]], label[y[ok]])
+            a.append(np.array(u, np.int64))
+            b.append(np.array(v, np.int64))
+    u, v = cells.forest(np.concatenate(a), np.concatenate(b))
+    return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
+
+
+def untied(shared: DataFrame, family: DataFrame, classes: DataFrame, cell: int = cells.CELL) -> DataFrame:
+    """(a, b): labels of families, or of classes without one, that a pair under one key ties together though no tie with the key's first member does.
+
+    The first member has met its whole key. The others of a key that are not of one family are compared by their registers, all
+    pairs whose sizes can fit: members in one size bin of base STEP, and those of the next bin as visitors (side 1).
+    """
+    spark = shared.sparkSession
+    rest = shared.filter("n > 2").select("key", "id").join(family, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    rest = stage(spark, rest, "rest")
+    apart = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    size = classes.select("id", "n_shingles")
+    k = F.floor(F.log("n_shingles") / math.log(STEP))
+    binned = rest.join(apart, "key").join(size, "id").select("id", "label", "n_shingles", "key", F.explode(F.array(F.struct(k.alias("k"), F.lit(0).alias("side")), F.struct((k - 1).alias("k"), F.lit(1).alias("side")))).alias("s"))
+    binned = stage(spark, binned.select(F.xxhash64("key", "s.k").alias("bucket"), "id", "label", "n_shingles", "s.side"), "binned")
+    open_ = binned.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("side")).filter("lo < hi and side = 0").select("bucket")
+    rows = stage(spark, binned.join(open_, "bucket").join(classes.select("id", "registers"), "id"), "open")
+    return cells.compare(rows, _alike, "a long, b long", cell)
+
+
+def families(candidates: DataFrame, shared: DataFrame, classes: DataFrame, cell: int = cells.CELL) -> DataFrame:
+    """(id, label) of the classes that likely pairs connect."""
+    spark = candidates.sparkSession
+    family = stage(spark, components(candidates), "families")
+    more = stage(spark, untied(shared, family, classes, cell), "untied")
+    if not more.limit(1).count():
+        return family
+    whole = stage(spark, components(more), "wholes").select(F.col("id").alias("label"), F.col("label").alias("whole"))
+    alone = whole.select(F.col("label").alias("id"), "label").join(family.select("id"), "id", "left_anti")
+    return stage(spark, family.unionByName(alone).join(whole, "label", "left").select("id", F.coalesce("whole", "label").alias("label")), "families")
+
+
 # ---- exact comparison within blocks -------------------------------------------------------------------------------------
 
 
@@ -224,8 +288,9 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     spark = documents.sparkSession
     marked = stage(spark, signatures(documents, doc_id, text), "signatures")
     classes = stage(spark, marked.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    candidates = stage(spark, likely(ties(band_rows(classes)), classes), "candidates")
-    family = stage(spark, components(candidates), "families")
+    shared = stage(spark, keyed(band_rows(classes)), "shared")
+    candidates = stage(spark, likely(ties(shared), classes), "candidates")
+    family = families(candidates, shared, classes)
     linked = stage(spark, link_families(family, documents, doc_id, text, block, pivots), "linked")
     label = classes.select("set_id", "id").join(linked, "id", "left").select("set_id", F.coalesce("label", "id").alias("component_id"))
     out = marked.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
