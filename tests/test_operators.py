@@ -1,5 +1,7 @@
 """Edge cases of the library's operators on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from textloom.operators import dedup as D
 from textloom.operators import joins as J
 from textloom.operators import lines as L
 from textloom.operators import similarity as S
+from textloom.plans import all_queries
 from textloom.sources import files as FI
 from textloom.sources import tables as TB
 
@@ -134,6 +137,37 @@ def test_token_pairs_are_exact(spark):
     assert sorted((r.a, r.b) for r in S.token_pairs(df, "i", "t", 0.6).collect()) == want
 
 
+@pytest.mark.parametrize("bits", [3, 19])
+def test_simhash_pairs(spark, bits):
+    """3 bits are a score of 95, 19 bits one of 70."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    sigs = {v - (1 << 64) if v >> 63 else v for i in range(300) for v in [base[i % 4] ^ sum(1 << k for k in rng.sample(range(64), i % 13))]}
+    want = sorted((x, y) for x in sigs for y in sigs if x < y and ((x ^ y) & (2**64 - 1)).bit_count() <= bits)
+    got = S.simhash_pairs(spark.createDataFrame([(x,) for x in sigs], "sig long"), bits)
+    assert want and sorted((r.x, r.y) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize(("name", "sign", "score", "least"), [
+    ("sim_simhash", signatures.simhash, lambda a, b: 100 - round((a ^ b & (2**64 - 1)).bit_count() * 100 / 64), 95),
+])
+def test_similar_texts(spark, tmp_path, name, sign, score, least):
+    """Classes, pairs of classes and members stand for every pair that brute force finds."""
+    rng = random.Random(7)
+    words = [f"w{rng.getrandbits(30)}" for _ in range(400)]
+    base = [rng.choices(words, k=300) for _ in range(3)]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.02 * (i % 4) else w for w in base[i % 3]) for i in range(60)] + [" ".join(base[0])] * 3 + ["", "ab"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.score for r in all_queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    signed = {i: s for i, t in rows if (s := sign(t)) is not None}
+    first = {i: min(j for j in signed if signed[j] == s) for i, s in signed.items()}
+    unsigned = (lambda v: v & (2**64 - 1)) if name == "sim_simhash" else (lambda v: v)
+    pair = lambda i, j: score(unsigned(signed[i]), unsigned(signed[j])) >= least
+    want = {(i, j) for i in signed for j in signed if i < j and first[i] == i and (first[j] == i or first[j] == j and pair(i, j))}
+    assert want and set(got) == want
+
+
 def test_signatures():
     a, b = "the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy cat " * 3
     same = sum(x == y for x, y in zip(signatures.minhash(a), signatures.minhash(b), strict=True))

@@ -429,6 +429,12 @@ def _(spark, d):
     return a.join(b, ["p_brand", "p_type"]).filter("a < b and abs(x - y) <= 2").select("a", "b")
 
 
+def by_doc(pairs, classes, score):
+    """(a, b, score) of pairs of classes (x, y), by the classes' least ids."""
+    x, y = classes.select(F.col("cls").alias("x"), F.col("doc").alias("p"), F.col("sig").alias("s")), classes.select(F.col("cls").alias("y"), F.col("doc").alias("q"), F.col("sig").alias("t"))
+    return pairs.join(x, "x").join(y, "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), score(F.col("s"), F.col("t")).alias("score"))
+
+
 @query("sim_minhash")
 def _(spark, d):
     s = staged(spark, docs(spark, d).select("doc_id", ST.minhash_signature("text").alias("sig")), "minhash")
@@ -439,13 +445,11 @@ def _(spark, d):
 
 @query("sim_simhash")
 def _(spark, d):
-    s = staged(spark, docs(spark, d).select("doc_id", ST.simhash_signature("text").alias("sig")).filter("sig is not null"), "simhash")
-    # two signatures within three bits agree in one of four 16-bit parts
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("sig"), k * 16).bitwiseAND(F.lit(65535)).alias("v"))))
-    p = s.select("doc_id", "sig", part.alias("p")).select("doc_id", "sig", "p.k", "p.v")
-    first = p.groupBy("k", "v").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    pairs = p.join(first, ["k", "v"]).filter("doc_id <> m.doc_id").select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b"), S.simhash_score(F.col("m.sig"), F.col("sig")).alias("score")).distinct()
-    return pairs.filter("score >= 95")
+    """Pairs of classes of equal signatures, and at score 100 each other member with its class: two texts score 95 or more if their classes are one or a pair."""
+    s = staged(spark, docs(spark, d).select("doc_id", ST.simhash_signature("text").alias("sig")).filter("sig is not null").withColumn("cls", F.col("sig")), "simhash")
+    classes, rest = S.members(s, "doc_id")
+    classes = staged(spark, classes, "classes")
+    return by_doc(S.simhash_pairs(classes, 3), classes, S.simhash_score).unionByName(rest)
 
 
 @query("sim_sequence_ratio")
