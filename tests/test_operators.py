@@ -148,8 +148,21 @@ def test_simhash_pairs(spark, bits):
     assert want and sorted((r.x, r.y) for r in got.collect()) == want
 
 
+def test_minhash_pairs(spark):
+    rng = random.Random(6)
+    sigs = {}
+    for i in range(120):  # families around the threshold; every signature has the same first slots
+        keep = rng.sample(range(128), 80 + i % 30)
+        sigs[i] = [k if k < 9 or k in keep and i % 3 else rng.getrandbits(60) for k in range(128)]
+    same = lambda a, b: sum(v == w for v, w in zip(sigs[a], sigs[b], strict=True))
+    want = sorted((a, b) for a in sigs for b in sigs if a < b and same(a, b) >= 64)
+    got = S.minhash_pairs(spark.createDataFrame(list(sigs.items()), "cls long, sig array<long>"), 64)
+    assert 100 < len(want) < 6000 and sorted((r.x, r.y) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize(("name", "sign", "score", "least"), [
     ("sim_simhash", signatures.simhash, lambda a, b: 100 - round((a ^ b & (2**64 - 1)).bit_count() * 100 / 64), 95),
+    ("sim_minhash", signatures.minhash, lambda a, b: sum(v == w for v, w in zip(a, b, strict=True)) * 100 / 128, 50),
 ])
 def test_similar_texts(spark, tmp_path, name, sign, score, least):
     """Classes, pairs of classes and members stand for every pair that brute force finds."""

@@ -437,10 +437,12 @@ def by_doc(pairs, classes, score):
 
 @query("sim_minhash")
 def _(spark, d):
-    s = staged(spark, docs(spark, d).select("doc_id", ST.minhash_signature("text").alias("sig")), "minhash")
-    pairs = S.band_pairs(s, "doc_id", "sig")
-    x, y = s.withColumnsRenamed({"doc_id": "a", "sig": "x"}), s.withColumnsRenamed({"doc_id": "b", "sig": "y"})
-    return pairs.join(x, "a").join(y, "b").select("a", "b", S.minhash_score(F.col("x"), F.col("y")).alias("score")).filter("score >= 50")
+    """Pairs of classes of equal signatures, and at score 100 each other member with its class: two texts score 50 or more if their classes are one or a pair."""
+    s = staged(spark, docs(spark, d).select("doc_id", ST.minhash_signature("text").alias("sig")).filter("sig is not null").withColumn("cls", F.xxhash64("sig")), "minhash")
+    classes, rest = S.members(s, "doc_id")
+    classes = staged(spark, classes, "classes")
+    pairs = S.minhash_pairs(classes, S.PERMUTATIONS // 2, lambda df: staged(spark, df, "keys"))
+    return by_doc(pairs, classes, S.minhash_score).unionByName(rest)
 
 
 @query("sim_simhash")
