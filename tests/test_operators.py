@@ -181,6 +181,30 @@ def test_similar_texts(spark, tmp_path, name, sign, score, least):
     assert want and set(got) == want
 
 
+@pytest.mark.parametrize(("name", "table", "rows", "order"), [
+    ("sort_lines", "documents", 1205, lambda r: (r.line.lower(), r.doc_id, r.pos)),
+    ("sort_lines_by_value_part", "documents", 1202, lambda r: (r.v, r.doc_id, r.pos)),
+    ("sort_count_then_key", "documents", 602, lambda r: (-r.cnt, r.word)),
+    ("sort_csv_numeric", "lineitem", 600, lambda r: (-r.q, r.l_orderkey, r.l_linenumber)),
+    ("sort_csv_score", "customer", 600, lambda r: (-r.c_acctbal, r.c_custkey)),
+    ("sort_hue", "part", 600, lambda r: (r.h, r.s, r.v, r.p_partkey)),
+])
+def test_full_sorts(spark, tmp_path, name, table, rows, order):
+    """Every row comes, in order, past the first 500 or 1000."""
+    letters = lambda k: "".join("abcdefghij"[int(x)] for x in f"{k:03d}")
+    made = {
+        "documents": ([(i, f"{letters(i)}: {i % 7} = x\nB{i}=c{i % 5} ", "en", "s") for i in range(600)] + [(600, "k:v\n\nZeta\nzeta=1\nnone", "en", "s")], "doc_id long, text string, lang string, source string"),
+        "lineitem": ([(i, 1, "N", float(i % 50)) for i in range(600)], "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double"),
+        "customer": ([(i, float(i * 37 % 101)) for i in range(600)], "c_custkey long, c_acctbal double"),
+        "part": ([(i,) for i in range(600)], "p_partkey long"),
+    }[table]
+    spark.createDataFrame(*made).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = all_queries.QUERIES[f"{name}_all"](spark, str(tmp_path)).collect()
+    assert len(got) == rows and got == sorted(got, key=order)
+    if name == "sort_lines_by_value_part":
+        assert (600, "v") in {(r.doc_id, r.v) for r in got}
+
+
 def test_signatures():
     a, b = "the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy cat " * 3
     same = sum(x == y for x, y in zip(signatures.minhash(a), signatures.minhash(b), strict=True))

@@ -87,6 +87,11 @@ def top(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def sort_all(df: DataFrame, *order) -> DataFrame:
+    """Every row, in a full order: ranges, sorted each; partitions follow one another."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def top_per(df: DataFrame, n: int, key: str, *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rn") <= n)
 

@@ -345,6 +345,13 @@ def _(spark, d):
     return L.top(p.withColumn("hsv", S.hsv(F.col("color"))), 500, "hsv", "p_partkey").select("p_partkey", "color", "hsv.*")
 
 
+@query("sort_hue_all", HUE.removesuffix(" ORDER BY h, s, v, p_partkey LIMIT 500"))
+def _(spark, d):
+    color = F.format_string("#%06x", F.pmod(F.col("p_partkey") * 7919, F.lit(16777216)))
+    p = load(spark, d, "part").select("p_partkey", color.alias("color")).filter(F.col("color").rlike("^#[0-9a-f]{6}$"))
+    return L.sort_all(p.withColumn("hsv", S.hsv(F.col("color"))), "hsv", "p_partkey").select("p_partkey", "color", "hsv.*")
+
+
 # ---- languages ----
 
 

@@ -361,6 +361,17 @@ def _(spark, d):
     return L.top(load(spark, d, "customer").select("c_custkey", "c_acctbal"), 500, F.desc("c_acctbal"), "c_custkey")
 
 
+@query("sort_csv_numeric_all", "SELECT l_orderkey, l_linenumber, coalesce(TRY_CAST(l_returnflag AS INT), CAST(l_quantity AS INT)) AS q FROM lineitem")
+def _(spark, d):
+    q = F.coalesce(F.expr("try_cast(l_returnflag as int)"), F.col("l_quantity").cast("int"))
+    return L.sort_all(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q")), F.desc("q"), F.asc("l_orderkey"), F.asc("l_linenumber"))
+
+
+@query("sort_csv_score_all", "SELECT c_custkey, c_acctbal FROM customer")
+def _(spark, d):
+    return L.sort_all(load(spark, d, "customer").select("c_custkey", "c_acctbal"), F.desc("c_acctbal"), F.asc("c_custkey"))
+
+
 # ---- partitioned sinks ----
 
 

@@ -189,6 +189,11 @@ def _(spark, d):
     return L.top(L.counts(L.words(docs(spark, d), "alpha3"), "word"), 500, F.desc("cnt"), "word")
 
 
+@query("sort_count_then_key_all", f"SELECT word, count(*) AS cnt FROM {WORDS3} GROUP BY word")
+def _(spark, d):
+    return L.sort_all(L.counts(L.words(docs(spark, d), "alpha3"), "word"), F.desc("cnt"), F.asc("word"))
+
+
 # ---- line counts ----
 
 
@@ -299,6 +304,11 @@ def _(spark, d):
     return L.top(all_lines(spark, d).filter("line <> ''").select("line", "doc_id", "pos"), 1000, F.lower("line"), "doc_id", "pos")
 
 
+@query("sort_lines_all", f"SELECT line, doc_id, CAST(pos AS INT) AS pos FROM {LINES}")
+def _(spark, d):
+    return L.sort_all(all_lines(spark, d).select("line", "doc_id", "pos"), F.lower("line"), "doc_id", "pos")
+
+
 @query("sort_external", f"SELECT line, count(*) AS cnt FROM {LINES} GROUP BY line")
 def _(spark, d):
     return L.counts(all_lines(spark, d), "line").repartitionByRange("line").sortWithinPartitions("line")
@@ -310,6 +320,16 @@ def _(spark, d):
     return L.top(all_lines(spark, d).filter(F.contains("line", F.lit("="))).select("doc_id", "pos", v.alias("v")), 1000, "v", "doc_id", "pos")
 
 
+VALUE_PART = "CASE WHEN instr(line, ':') > 0 THEN substr(line, instr(line, ':') + 1) ELSE substr(line, instr(line, '=') + 1) END"
+
+
+@query("sort_lines_by_value_part_all", f"SELECT doc_id, CAST(pos AS INT) AS pos, {STRIP.format(VALUE_PART)} AS v FROM {LINES} WHERE instr(line, ':') > 0 OR instr(line, '=') > 0")
+def _(spark, d):
+    colon = F.contains("line", F.lit(":"))
+    v = L.strip(F.when(colon, F.split("line", ":", 2)[1]).otherwise(F.split("line", "=", 2)[1]))
+    return L.sort_all(all_lines(spark, d).filter(colon | F.contains("line", F.lit("="))).select("doc_id", "pos", v.alias("v")), "v", "doc_id", "pos")
+
+
 @query("sample_shuffle")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("place")).sort("place", "doc_id")
