@@ -1,5 +1,7 @@
 """Edge cases of the library's operators on hand-made rows."""
 
+import base64
+import json
 import random
 
 import pytest
@@ -205,6 +207,13 @@ def test_full_sorts(spark, tmp_path, name, table, rows, order):
         assert (600, "v") in {(r.doc_id, r.v) for r in got}
 
 
+def test_blob_of_whole_text(spark, tmp_path):
+    texts = ["", "short", "é/+~" * 500, "line\n" * 400]
+    docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: json.loads(r.value)["__blob_base64"] for r in all_queries.QUERIES["json_blob_encode_whole"](spark, str(tmp_path)).collect()}
+    assert {i: base64.b64decode(v, validate=True).decode() for i, v in got.items()} == dict(enumerate(texts))
+
+
 def test_signatures():
     a, b = "the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy cat " * 3
     same = sum(x == y for x, y in zip(signatures.minhash(a), signatures.minhash(b), strict=True))

@@ -47,6 +47,7 @@ over_text("hash_md5_sha1_blake", f"md5({TX}) || ':' || sha1({TX})", lambda c: F.
 over_text("hash_blake2b", "", S.blake2b)
 over_text("hash_xxh64", "", S.xxh64)
 over_text("json_blob_encode", f"'{{\"__blob_base64\":\"' || base64(encode(substr({TX}, 1, 60))) || '\"}}'", lambda c: F.to_json(F.struct(F.replace(F.base64(F.encode(F.substring(c, 1, 60), "UTF-8")), F.lit("\r\n"), F.lit("")).alias("__blob_base64"))))
+over_text("json_blob_encode_whole", f"'{{\"__blob_base64\":\"' || base64(encode({TX})) || '\"}}'", lambda c: F.to_json(F.struct(F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit("")).alias("__blob_base64"))))
 over_text("math_hex", f"lower(hex(length({TX}))) || '/' || CAST(length({TX}) % 256 AS VARCHAR)", lambda c: F.concat_ws("/", F.lower(F.hex(F.char_length(c))), F.pmod(F.conv(F.hex(F.char_length(c)), 16, 10).cast("int"), F.lit(256)).cast("string")))
 
 
