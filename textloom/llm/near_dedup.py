@@ -14,7 +14,8 @@
 Links are confirmed by 100 * intersection >= 75 * union on full sets; components come by contraction.
 
 Candidates: two texts of similarity s share none of the BANDS keys with chance (1 - s**ROWS)**BANDS, 5e-6 at 0.75. Two that share
-one are compared, whoever else is in it; a true link's estimate is below FLOOR with chance under 1e-6 (58 or more of 128 registers differ).
+one are compared, whoever else is in it; at 0.75 58 or more of 128 independent registers differ, an estimate below FLOOR, with chance
+5e-7. Registers of small sets are borrowed, not independent: their estimates scatter more, and both chances are higher.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing. Fewer words than a shingle are one
 shingle. Rows that repeat a doc_id are members like any other; a null doc_id is in no class, its component is null and it is kept.
