@@ -297,6 +297,25 @@ def test_secrets(spark, documents, rows, empty):
     assert secret_scan.report(secret_scan.scan(empty)).count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    """One candidate of a megabyte, one that a shape's pattern walks, and very many matches: linear, and places stay right beyond a block of matches."""
+    signs = lambda n: "".join(RNG.choice(secret_scan.ALPHABET) for _ in range(n))
+    keys = " ".join(f"AKIA{'Z' * 16}{k}" for k in range(3000))
+    texts = [(0, "é " + signs(1_000_000)), (1, "a-" * 200_000 + "b1"), (2, keys), (3, f"sample/{signs(60)} {signs(40)}example{signs(40)}"), (4, signs(5000))]
+    got = {r.doc_id: tuple(r)[1:] for r in secret_scan.report(secret_scan.scan(frame(spark, texts))).collect()}
+    assert got[0][4].startswith("entropy:2:") and got[0][4].endswith(":1000002") and "entropy" not in got[1][4] and got[2][1] == 3000
+    assert all(got[i] == secret_scan.brute_force(t) for i, t in texts if i)
+
+
+def test_secrets_at_the_threshold(spark):
+    """Windows whose entropy equals the threshold count, and repeated rows each get the same."""
+    half = "0123456701234567" * 2  # eight characters, each in a window of 16 twice: 3 bits exactly
+    rows = [(k, f"x {half} y") for k in range(3)]
+    one = secret_scan.scan(frame(spark, rows), window=16, thresholds={"hex": 3.0, "base64": 3.0, "letters": 3.0}, placeholders=())
+    over = secret_scan.scan(frame(spark, [(0, "a" + half)]), window=16, thresholds={"hex": 3.0, "base64": 3.0, "letters": 3.0}, placeholders=())
+    assert [r.entropy for r in one.collect()] == [[]] * 3 and [[(s.a, s.b) for s in r.entropy] for r in over.collect()] == [[(0, 33)]]
+
+
 def test_secret_scan_is_native(documents):
     plan = secret_scan.report(secret_scan.scan(documents))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
