@@ -84,6 +84,25 @@ def test_repeated_spans(spark, documents, rows, hot):
     assert got == want
 
 
+def test_pieces_of_long_texts_have_the_same_windows():
+    texts = [prose(30).encode(), prose(900).encode(), b"", prose(5).encode()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    docs = np.arange(len(texts))
+    windows = lambda r: {(int(x["doc"]), int(x["pos"]), int(x["pos"]) - b) for x in r for b in range(int(x["low"]), int(x["high"]) + 1)}
+    pieces = list(repeated_spans._pieces(data, offsets, docs, 100, 32, 500))
+    assert len(pieces) > 5 and windows(np.concatenate([r for _, r in pieces])) == windows(repeated_spans.records(data, offsets, docs))
+    assert all((piece[x["at"] : x["at"] + 32] == data[offsets[x["doc"]] + x["pos"] :][:32]).all() for piece, r in pieces for x in r)
+
+
+def test_repeated_spans_of_shared_passages(spark):
+    """A passage in very many documents, each with its own surroundings, and a run of one letter."""
+    passage = prose(40)
+    rows = [(i, prose(RNG.randrange(20)) + passage + prose(RNG.randrange(20))) for i in range(300)] + [(1000 + i, passage) for i in range(200)] + [(5000, "a" * 3000), (5001, "a" * 150)]
+    want = repeated_spans.brute_force(rows)
+    for hot in (4096, 20):
+        assert {r.doc_id: tuple(r)[1:] for r in repeated_spans.remove(frame(spark, rows), hot=hot).collect()} == want
+
+
 def test_repeated_spans_with_repeated_and_null_ids(spark, rows):
     long = prose(60)
     df = frame(spark, [(1, long), (1, long), (2, "x" + long), (None, "y" + long), (2, None)])
@@ -341,6 +360,20 @@ def test_exact_dedup_of_repeated_rows_and_hot_groups(spark):
     assert exact_dedup.keep(df).count() == 3
 
 
+def test_exact_dedup_over_ranges_and_batches(spark):
+    """Texts that agree far beyond a splitter, groups larger than a batch, ties by code points, and columns of any name."""
+    long = "w" * 700
+    texts = [(k, f"{long} {k % 40}" + " " * (k % 3)) for k in range(900)] + [(k, "hot" + " " * (k % 7)) for k in range(1000, 26000)] + [(k, f"t{k % 50}") for k in range(30000, 30300)]
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    want = {i: (min(g)[1], len(g), min(g)[1] == i) for g in groups.values() for _, i in g}
+    df = spark.createDataFrame([(i, t, i, "n") for i, t in texts], "doc_id long, text string, __key long, norm string").repartition(5)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark(df).collect()} == want
+    kept = exact_dedup.keep(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["__key"]) for r in kept.collect()) == sorted((i, i) for i, w in want.items() if w[2])
+
+
 # ---- 9 ----
 
 
