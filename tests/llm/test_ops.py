@@ -261,7 +261,7 @@ def test_near_dedup_in_hot_keys(spark):
 def test_every_pair_of_a_key(spark, rows, cell):
     """All pairs that share a key are of one family or have a low estimate."""
     classes = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").filter("set_id is not null")
-    classes = near_dedup.stage(spark, classes.groupBy("set_id").agg(near_dedup.F.min("doc_id").alias("id"), near_dedup.F.first("n_shingles").alias("n_shingles"), near_dedup.F.first("registers").alias("registers")), "classes")
+    classes = near_dedup.classes_of(near_dedup.stage(spark, classes, "signatures"))
     shared = near_dedup.stage(spark, near_dedup.keyed(near_dedup.band_rows(classes)), "shared")
     family = near_dedup.families(near_dedup.likely(near_dedup.ties(shared), classes), shared, classes, cell)
     label = {r.id: r.label for r in family.collect()}
@@ -274,6 +274,66 @@ def test_every_pair_of_a_key(spark, rows, cell):
                 assert min(n, m) * 100 < near_dedup.SHARE * max(n, m) or minhash.estimate(r, s, n, m) < near_dedup.FLOOR
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows that repeat an id with different texts are each compared by their own text."""
+    a, b = prose(80), prose(80)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(80)), (1, a), (9, None), (9, a + " z")]
+    got = sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in near_dedup.groups(frame(spark, rows)).collect())
+    assert got == [(1, True, 1)] * 3 + [(2, True, 1), (3, True, 1), (4, True, 4), (9, False, 9), (9, True, 1)]
+    odd = frame(spark, rows).withColumn("dropped", F.lit(1)).withColumn("Dropped_", F.lit(2))
+    left = near_dedup.keep(odd)
+    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect()) == [1, 1, 1, 4, 9, 9]
+
+
+def form(k, common, own):
+    """A form that shares `common` words with all others and has `own` of its own."""
+    return " ".join([f"c{i}" for i in range(common)] + [f"o{k}x{i}" for i in range(own)])
+
+
+def test_near_dedup_of_loose_families(spark):
+    """Forms that are loosely alike, with a few that are linked, in chains too: nothing is lost and nothing is added."""
+    rows = [(k, form(k, 200, 60)) for k in range(400)]
+    for k in range(0, 60, 2):
+        rows[k + 1] = (k + 1, rows[k][1] + f" tail{k}")
+    for k in range(100, 120):
+        w = rows[k - 1][1].split() if k > 100 else rows[100][1].split()
+        rows[k] = (k, " ".join(w[: 8 * (k - 100)] + [f"e{k}"] + w[8 * (k - 100) + 1 :]))
+    assert {r.doc_id: tuple(r)[1:] for r in near_dedup.groups(frame(spark, rows)).collect()} == near_dedup.brute_force(rows)
+
+
+def test_across_finds_every_link(spark):
+    """Links between labels of a family against all pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(120)] = f"e{rng.randrange(30)}"
+        texts.append((k, " ".join(w[: 60 + rng.randrange(60)])))
+    classes = near_dedup.classes_of(near_dedup.stage(spark, near_dedup.signatures(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text"), "signatures"))
+    own = {r.doc_id: r.id for r in classes.collect()}
+    rows = [(1, own[i], own[i], t) for i, t in texts if i in own]
+    links = {(r.a, r.b) for r in near_dedup.across(spark.createDataFrame(rows, "family long, id long, label long, text string"), classes, cell=16).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, i, _, t in rows}
+    want = {(min(a, b), max(a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links == want and len(want) > 50
+
+
+@pytest.mark.parametrize("size, lost", [(60, 0.01), (400, 0.002)])
+def test_few_pairs_at_the_threshold_are_lost(size, lost):
+    """Pairs of similarity 0.75: how many share no key, or have an estimate below FLOOR."""
+    rng, missed, tries = np.random.default_rng(6), 0, 3000
+    union = size * 4 // 3
+    for _ in range(tries):
+        every = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(every[: size + (union - size) // 2]), np.sort(np.concatenate([every[:size], every[size + (union - size) // 2 :]]))
+        r, s = minhash.registers(a), minhash.registers(b)
+        keys = minhash.band_keys(np.stack([r, s]))
+        missed += not (set(keys[0].tolist()) & set(keys[1].tolist())) or float(minhash.estimate(r, s, len(a), len(b))) < near_dedup.FLOOR
+    assert missed / tries <= lost
+
+
 def test_near_dedup_of_nothing(spark, empty):
     assert near_dedup.groups(empty).count() == 0
     one = frame(empty.sparkSession, [(None, "a b c"), (4, None), (4, None)])

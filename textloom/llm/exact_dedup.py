@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from textloom.llm import textscan as ts
 from textloom.llm.common import partitions, stage, table
 
-PREFIX = 512
+PREFIX = 128
 SPACES = " \t\n\x0b\x0c\r"
 #: Totals that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000

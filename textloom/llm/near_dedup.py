@@ -1,25 +1,27 @@
 """Near-duplicate groups by HyperMinHash.
 
-1. Each text becomes the set of its word shingles; equal sets are one class, named by its smallest doc_id. A class keeps
-   its compressed registers.
+1. Each text becomes the set of its word shingles; equal sets are one class, with a number of its own and the row of its smallest doc_id to
+   stand for it. A class keeps its compressed registers.
 2. Bands of registers are keys. A key's members are tied to one of them, chosen afresh per key: linear in the members.
    Ties whose collision-corrected estimate is far below the threshold go; what stays connected is a family. Members of one key
    that are left in several families are compared with each other by their registers, in blocks, all pairs whose sizes can fit.
 3. Families are cut into blocks of about BLOCK classes. Within a block all pairs are compared exactly, as products of
    incidence matrices of the full shingle sets. That settles every family of one block.
 4. Larger families: the most central classes of their blocks, PIVOTS a family at most, meet every block and are compared exactly.
-   Classes that are still outside the family's main component then meet every block, in chunks, again exactly.
-   Pairs inside one component are never compared again and no pair is given out but links of a spanning kind, so
-   hot families cost in proportion to their size times what stays outside.
+   Where classes are still outside the family's main component, every pair of two components that can be linked shares one of the rarest
+   quarter of its shingles, those first that only one component has. Pairs that do, whose sizes, shared shingles and registers allow a link, are compared exactly.
+   So loosely alike families, such as filled-in forms, cost in proportion to their shingles, not to their pairs.
 Links are confirmed by 100 * intersection >= 75 * union on full sets; components come by contraction.
 
 Candidates: two texts of similarity s share none of the BANDS keys with chance (1 - s**ROWS)**BANDS, 5e-6 at 0.75. Two that share
 one are compared, whoever else is in it; at 0.75 58 or more of 128 independent registers differ, an estimate below FLOOR, with chance
-5e-7. Registers of small sets are borrowed, not independent: their estimates scatter more, and both chances are higher.
+5e-7. Registers of small sets are borrowed, not independent: their estimates scatter more, and both chances are higher; the tests
+measure how many pairs at the threshold both steps keep, by size.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing. Fewer words than a shingle are one
-shingle. Rows that repeat a doc_id are members like any other; a null doc_id is in no class, its component is null and it is kept.
-An empty table gives no rows. Other columns are not read.
+shingle. A very long text costs what its set does. Rows that repeat a doc_id are members like any other, each by its own text, and name the
+same component where their texts are linked; a null doc_id is in no class, its component is null and it is kept.
+An empty table gives no rows. Other columns are not read; `keep` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from textloom.llm import minhash as mh
 from textloom.llm import textscan as ts
 from textloom.llm.bloom import thin
-from textloom.llm.common import stage, table
+from textloom.llm.common import fresh, stage, table
 from textloom.llm.components import components
 from textloom.operators import cells
 
@@ -49,20 +51,27 @@ COLUMNS = 1 << 16
 
 
 def signatures(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_id, registers): set_id is a 128-bit digest of the full set, null for an empty one."""
+    """(doc_id, name, n_shingles, set_id, registers): name is a hash of the text, set_id a 128-bit digest of the full set, null for an empty one."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = ts.string_buffers(batch.column(1))
+            data, offsets = ts.string_buffers(batch.column(2))
             n, names, rows = [], [], []
             for i, j in ts.chunks(offsets):
                 for s in mh.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     n.append(len(s))
                     names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     rows.append(mh.registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "set_id", "registers"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "name", "n_shingles", "set_id", "registers"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, registers binary")
+    own = F.col(f"`{text}`").cast("string")
+    return documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("name"), own.alias("text")).mapInArrow(run, "doc_id long, name long, n_shingles long, set_id binary, registers binary")
+
+
+def classes_of(marked: DataFrame) -> DataFrame:
+    """(id, set_id, n_shingles, registers, doc_id, name) of every distinct set: id is a number of its own, doc_id and name tell the row that stands for it."""
+    rows = marked.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.min(F.struct("doc_id", "name")).alias("row"))
+    return stage(marked.sparkSession, rows.select(F.monotonically_increasing_id().alias("id"), "set_id", "n_shingles", "registers", "row.doc_id", "row.name"), "classes")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -242,44 +251,102 @@ def _against(table_: pa.Table) -> pa.Table:
 
 
 def _visits(members: DataFrame, visitors: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links between visitors (family, chunk, id, label, text) and the members (family, block, id, label, text) of every block of their family."""
-    chunks = visitors.select("family", "chunk").distinct()
-    here = members.join(chunks, "family").select("family", "block", "chunk", "id", "label", "text", F.lit(0).alias("side"))
-    there = visitors.join(blocks, "family").select("family", "block", "chunk", "id", "label", "text", F.lit(1).alias("side"))
-    return here.unionByName(there).groupBy("family", "block", "chunk").applyInArrow(_against, "a long, b long")
+    """Links between visitors (family, id, label, text), a few a family, and the members (family, block, id, label, text) of every block of their family."""
+    here = members.join(visitors.select("family").distinct(), "family").select("family", "block", "id", "label", "text", F.lit(0).alias("side"))
+    there = visitors.join(blocks, "family").select("family", "block", "id", "label", "text", F.lit(1).alias("side"))
+    return here.unionByName(there).groupBy("family", "block").applyInArrow(_against, "a long, b long")
+
+
+# ---- exact comparison across the components of a family -----------------------------------------------------------------
+
 
+def _shingled(batches):
+    for batch in batches:
+        sets = _sets(batch.column(3))
+        lengths = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        flat = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(lengths)), pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(flat))], names=["family", "id", "label", "n_shingles", "shingles"])
 
-def link_families(family: DataFrame, documents: DataFrame, doc_id: str, text: str, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+
+def _promising(table_: pa.Table) -> pa.Table:
+    """Pairs of classes of a cell that are of two components and whose sizes, open shingles and registers allow a link."""
+    ids, label, n, common = (table_.column(k).to_numpy() for k in ("id", "label", "n_shingles", "open"))
+    raw = np.frombuffer(b"".join(table_.column("registers").to_pylist()), np.uint16).reshape(-1, mh.REGISTERS)
+    slots = np.ascontiguousarray(raw.T)
+    found = [np.zeros((0, 2), np.int64)]
+    for x, y in cells.pairs(table_):
+        most = np.minimum(common[x], common[y])  # what two components can share at most
+        open_ = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= SHARE * np.maximum(n[x], n[y])) & (most * 100 >= SHARE * (n[x] + n[y] - most))
+        x, y = cells.spread(x, y, open_)
+        keep = cells.agreeing(slots, x, y) >= FLOOR * mh.REGISTERS
+        x, y = ids[x[keep]], ids[y[keep]]
+        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _confirmed(batches):
+    for batch in batches:
+        keep = []
+        for s, t in zip(batch.column(2), batch.column(3), strict=True):
+            s, t = s.values.to_numpy(), t.values.to_numpy()
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            keep.append(100 * both >= SHARE * (len(s) + len(t) - both))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def across(labelled: DataFrame, classes: DataFrame, cell: int = cells.CELL) -> DataFrame:
+    """(a, b): all links between classes of one family (family, id, label, text) that have different labels, by a prefix filter on full sets.
+
+    Linked sets of n shingles share one of the first n - ceil(0.75 * n) + 1 in any common order. The order puts shingles that only one label of the
+    family has before the others, which are open, and these by how many classes have them.
+    """
+    spark = labelled.sparkSession
+    sets = stage(spark, labelled.select("family", "id", "label", "text").mapInArrow(_shingled, "family long, id long, label long, n_shingles long, shingles array<long>"), "sets")
+    every = sets.select("family", "id", "label", "n_shingles", F.explode("shingles").alias("shingle"))
+    open_ = every.groupBy("family", "shingle").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("family", "shingle", "f")
+    own = every.join(open_, ["family", "shingle"]).groupBy("family", "id", "label", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("o"))
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SHARE / 100) + 1
+    own = own.withColumn("open", F.size("o").cast("long")).withColumn("take", (prefix - (F.col("n_shingles") - F.col("open"))).cast("int")).filter("take > 0")
+    rows = own.select("family", "id", "label", "n_shingles", "open", F.explode(F.slice("o", F.lit(1), F.col("take"))).alias("x")).select(F.xxhash64("family", "x.shingle").alias("bucket"), "id", "label", "n_shingles", "open")
+    rows = stage(spark, rows, "prefixes")
+    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    rows = stage(spark, rows.join(several, "bucket").join(classes.select("id", "registers"), "id").select("bucket", "id", "label", "n_shingles", "open", "registers"), "prefixes")
+    pairs = cells.compare(rows, _promising, "a long, b long", cell).distinct()
+    a, b = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}s")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "as", "bs").mapInArrow(_confirmed, "a long, b long")
+
+
+def link_families(family: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(id, label) of the classes in families: the least id of the component of exact links."""
     spark = documents.sparkSession
     sizes = family.groupBy("label").agg(F.count("*").alias("n"))
     dealt = family.join(sizes, "label").select(
         F.col("label").alias("family"), "id", F.ceil(F.col("n") / block).alias("blocks"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).alias("block")
     )
-    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = thin(texts, "id", family, "id", family.count())  # else the join would shuffle every text
-    members = stage(spark, texts.join(dealt, "id").groupBy("family", "blocks", "block", "id").agg(F.min("text").alias("text")), "members")
+    dealt = stage(spark, dealt.join(classes.select("id", F.col("doc_id").alias("row"), "name"), "id"), "dealt")
+    own = F.col(f"`{text}`").cast("string")
+    texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("row"), own.alias("text"))
+    texts = thin(texts, "row", dealt, "row", dealt.count()).withColumn("name", F.xxhash64("text"))  # else the join would shuffle every text
+    members = stage(spark, texts.join(dealt, ["row", "name"]).groupBy("family", "blocks", "block", "id").agg(F.min("text").alias("text")), "members")
     local = stage(spark, members.select("family", "block", "id", "text").groupBy("family", "block").applyInArrow(_local, "family long, block long, id long, label long, size long, central double"), "local")
     several = stage(spark, members.filter("blocks > 1").select("family", "block", "id", "text").join(local.select("id", "label", "size", "central"), "id"), "several")
     single = local.select("id", "label")
     if not several.limit(1).count():
         return single
     blocks = several.select("family", "block").distinct()
-    own = several.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    within = several.select(F.col("id").alias("a"), F.col("label").alias("b"))
     # the most central classes of the largest local components
     rank = F.struct("size", "central", "id", "label")
     best = several.groupBy("family", F.pmod(F.xxhash64(F.lit(1), "label"), F.lit(pivots)).alias("slot")).agg(F.max(rank).alias("top")).select("family", F.col("top.id").alias("id"))
-    pivot = several.join(best.select("id"), "id", "left_semi").select("family", F.lit(0).alias("chunk"), "id", "label", "text")
-    links = stage(spark, own.unionByName(_visits(several, pivot, blocks)), "links")
+    pivot = several.join(best.select("id"), "id", "left_semi").select("family", "id", "label", "text")
+    links = stage(spark, within.unionByName(_visits(several, pivot, blocks)), "links")
     joined = stage(spark, components(links), "joined")
-    # what is outside the main component of its family meets every block
     labelled = several.drop("label").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = stage(spark, labelled.select("family", "block", "id", "label", "text"), "labelled")
-    count = labelled.groupBy("family", "label").count()
-    main = count.groupBy("family").agg(F.max(F.struct("count", F.col("label").alias("main"))).alias("top"), F.sum("count").alias("all")).select("family", F.col("top.main").alias("main"), (F.col("all") - F.col("top.count")).alias("outside"))
-    outside = labelled.join(main.filter("outside > 0"), "family").filter("label != main")
-    outside = outside.select("family", F.pmod(F.xxhash64(F.lit(2), "id"), F.ceil(F.col("outside") / block)).alias("chunk"), "id", "label", "text")
-    more = stage(spark, links.unionByName(_visits(labelled, outside, blocks)), "more")
+    labelled = stage(spark, labelled.select("family", "id", "label", "text"), "labelled")
+    apart = labelled.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("family")
+    more = stage(spark, links.unionByName(across(labelled.join(apart, "family"), classes)), "more")
     final = components(more)
     return single.join(final.withColumnRenamed("label", "whole"), "id", "left").select("id", F.coalesce("whole", "label").alias("label"))
 
@@ -288,21 +355,25 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = documents.sparkSession
     marked = stage(spark, signatures(documents, doc_id, text), "signatures")
-    classes = stage(spark, marked.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    classes = classes_of(marked)
     shared = stage(spark, keyed(band_rows(classes)), "shared")
     candidates = stage(spark, likely(ties(shared), classes), "candidates")
     family = families(candidates, shared, classes)
-    linked = stage(spark, link_families(family, documents, doc_id, text, block, pivots), "linked")
-    label = classes.select("set_id", "id").join(linked, "id", "left").select("set_id", F.coalesce("label", "id").alias("component_id"))
-    out = marked.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    linked = stage(spark, link_families(family, classes, documents, doc_id, text, block, pivots), "linked")
+    # a component is named by the smallest doc_id of its classes
+    label = classes.select("set_id", "id", "doc_id").join(linked, "id", "left").select("set_id", "doc_id", F.coalesce("label", "id").alias("label"))
+    least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = marked.select("doc_id", "n_shingles", "set_id").join(label.drop("doc_id").join(least, "label").drop("label"), "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; a null doc_id stays."""
-    drop = groups(documents, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return documents.join(drop, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
+    """One document of each group, with all its columns; a null doc_id stays, and rows that repeat a doc_id stay if one of them does."""
+    marked = groups(documents, doc_id, text)
+    name = fresh(documents, "dropped")
+    drop = marked.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias(name))
+    return documents.join(drop, F.col(f"`{doc_id}`") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
