@@ -9,9 +9,10 @@ with weights that grow with similarity. Scoring is one pass without a shuffle.
 The sample is the `sample` labelled rows, out of those whose crc32(doc_id as text) mod 5 is not 0, that come first by a
 hash of their id; it does not grow with the corpus. Everything else covers all rows.
 
-Cases: a null, empty or blank text has no terms and gets the sample's mean label. Repeated rows each get a row. Null labels and
-ids in `labels` are passed over; without any label every score is 0.5. A null doc_id is not held out. An empty table gives no rows.
-`score` passes the columns in `keep` through.
+Cases: a null, empty or blank text has no terms and gets the sample's mean label. A very long text is scored whole. Repeated rows each get a
+row; of rows that repeat a labelled id, one, by its terms, is in the sample. Neighbours that are as near as the last of the NEIGHBOURS all
+vote, so ties have one result. Null labels and ids in `labels` are passed over; without any label every score is 0.5. A null doc_id is
+not held out. An empty table gives no rows. `score` passes the columns in `keep` through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textscan as ts
-from textloom.llm.common import table
+from textloom.llm.common import fresh, table
 
 SAMPLE = 3000
 DIMS = 48
@@ -134,11 +135,13 @@ class Model:
         k = min(neighbours, len(self.labels))
         for i in range(0, len(shares), block):
             x = shares[i : i + block]
-            cos = _unit(x @ self.project) @ self.vectors.T
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            near = np.maximum(0, np.take_along_axis(cos, top, 1)).astype(np.float64) ** SHARPNESS
-            total = near.sum(1)
-            vote = (near * self.labels[top]).sum(1) / np.maximum(1e-12, total)
+            # rounded, so that equal texts tie however the products are summed up
+            cos = np.round(_unit(x @ self.project) @ self.vectors.T, 5)
+            last = np.partition(cos, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+            row, near = np.nonzero(cos >= last[:, None])
+            weight = np.maximum(0, cos[row, near]).astype(np.float64) ** SHARPNESS
+            total = np.bincount(row, weight, len(x))
+            vote = np.bincount(row, weight * self.labels[near], len(x)) / np.maximum(1e-12, total)
             some = (total > 1e-12) & (x.any(1))
             out[i : i + block][some] = vote[some]
         return np.clip(out, 0, 1)
@@ -158,7 +161,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in terms(batch.column(0))], pa.binary()), batch.column(1), batch.column(2)], names=["shares", "label", "doc_id"])
 
-    got = rows.mapInArrow(run, f"shares binary, label double, doc_id {documents.schema['doc_id'].dataType.simpleString()}").toArrow().to_pylist()
+    marked = rows.mapInArrow(run, f"shares binary, label double, doc_id {documents.schema['doc_id'].dataType.simpleString()}")
+    got = marked.groupBy("doc_id", "label").agg(F.min("shares").alias("shares")).toArrow().to_pylist()  # a row a label, however often an id is repeated
     if not got:
         return None
     got.sort(key=lambda r: (r["doc_id"], r["label"], r["shares"]))
@@ -166,10 +170,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text: s
     return Model(shares, np.array([r["label"] for r in got]), dims)
 
 
-def score(documents: DataFrame, model: Model | None, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """Adds __score to the columns in keep."""
+def score(documents: DataFrame, model: Model | None, text: str = "text", keep: tuple = ("doc_id",), name: str = "score") -> DataFrame:
+    """Adds the score, by that name, to the columns in keep."""
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    source = documents.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    source = documents.select(F.col(f"`{text}`").cast("string").alias(fresh(documents, "scored")), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches):
         own = pickle.loads(shared.value)
@@ -178,21 +182,21 @@ def score(documents: DataFrame, model: Model | None, text: str = "text", keep: t
             for i in range(0, batch.num_rows, 256):
                 column = batch.column(0).slice(i, 256)
                 parts.append(own.score(terms(column)) if own else np.full(len(column), 0.5))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*batch.schema.names[1:], "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*batch.schema.names[1:], name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, kinds + ", __score double")
+    return source.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def report(scored: DataFrame) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= CUT, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    model = fit(documents, labels, text=text)
-    return score(documents, model, text, tuple(documents.columns)).filter(F.col("__score") >= CUT).drop("__score")
+    """The documents that are not rejected, with all their columns, whatever their names."""
+    name = fresh(documents, "score")
+    return score(documents, fit(documents, labels, text=text), text, tuple(documents.columns), name).filter(F.col(name) >= CUT).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,3 +206,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
+
+
+def brute_force(sample: list[tuple], texts: list[str | None], neighbours: int = NEIGHBOURS) -> list[float]:
+    """Scores of texts by plain Python, from a sample of (text, label) and the same projection; ties as in `Model.score`."""
+    shares = terms(pa.array([t for t, _ in sample], pa.string()))
+    model = Model(shares, np.array([float(v) for _, v in sample]))
+    known, out = model.vectors.astype(float).tolist(), []
+    for x in terms(pa.array(texts, pa.string())):
+        if not x.any():
+            out.append(model.mean)
+            continue
+        v = (x @ model.project).astype(float)
+        size = sum(c * c for c in v.tolist()) ** 0.5
+        cos = [round(sum(a * b for a, b in zip(v.tolist(), w, strict=True)) / size, 5) for w in known]
+        last = sorted(cos, reverse=True)[min(neighbours, len(cos)) - 1]
+        votes = [(max(0, c) ** SHARPNESS, label) for c, (_, label) in zip(cos, sample, strict=True) if c >= last]
+        total = sum(w for w, _ in votes)
+        out.append(sum(w * label for w, label in votes) / total if total > 1e-12 else model.mean)
+    return out
