@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, empties, ties, repeats and clashing extra columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -145,6 +146,42 @@ def test_zip64_directory_and_walk(tmp_path):
     assert sorted(gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x for x in found) == sorted(raw * 2)
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Records of other writers: warcinfo, request, urn:uuid, no digest; classic and JSON indexes, compressed ones, and none."""
+    import gzip
+    import zipfile
+
+    def other(kind, block, *more, identity="<urn:uuid:5f2f0a6e-0001-4000-8000-000000000001>"):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {identity}", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    raw = [
+        other("warcinfo", b"software: x\r\n"), other("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a"),
+        other("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello", "WARC-Target-URI: <http://a>", "WARC-Payload-Digest: SHA1:VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N"),
+        other("response", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Target-URI: http://b", "WARC-Payload-Digest: md5:00"), other("resource", b"plain", "WARC-Target-URI: file:x"),
+        other("revisit", b"", "WARC-Target-URI: http://c", "WARC-Refers-To: <urn:uuid:1>"), warc_zip.record(3, "http://d", b"own", "X" * 32, 9, True),
+    ]
+    packed = [gzip.compress(r) for r in raw]
+    at = [sum(len(p) for p in packed[:k]) for k in range(len(packed))]
+    classic = " CDX N b a m s k r M S V g\n" + "".join(f"com,a)/ 2020 http://a text/html 200 - - - {len(p)} {o} data.warc.gz\n" for p, o in zip(packed, at, strict=True))
+    mixed = "!meta {}\n" + "".join(f'com,a)/ 2020 {{"filename": "data.warc.gz", "offset": "{o}", "length": "{len(p)}"}}\n' for p, o in zip(packed, at, strict=True))
+    for name, index in (("a", ("index.cdx", classic.encode())), ("b", ("index.cdxj", mixed.encode())), ("c", ("index.cdx.gz", gzip.compress(classic.encode()))), ("d", None)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("archive/data.warc.gz", b"".join(packed))
+            if index:
+                z.writestr(f"indexes/{index[0]}", index[1])
+            z.writestr("datapackage.json", "{}")
+    archives = spark.createDataFrame([(f"file://{tmp_path}/{k}.zip",) for k in "abcd"], "archive string")
+    got = warc_zip.read(archives, payloads=True).collect()
+    assert len(got) == 28 and sorted({r.record_type for r in got}) == ["request", "resource", "response", "revisit", "warcinfo"]
+    one = {(r.record_type, r.url): r for r in got}
+    assert bytes(one["response", "http://a"].payload) == b"hello" and one["response", "http://b"].payload_bytes == 0 and bytes(one["resource", "file:x"].payload) == b"plain"
+    assert one["revisit", "http://d"].page_id == 3 and one["revisit", "http://d"].refers_to == 9 and one["revisit", "http://c"].page_id is None and one["revisit", "http://c"].refers_to is None
+    assert one["revisit", "http://c"].refers_to_record == "urn:uuid:1" and one["warcinfo", None].record_id.startswith("urn:uuid")
+    with pytest.raises(ValueError):
+        warc_zip.parse(raw[2].replace(b"hello", b"hallo"))
+
+
 # ---- 4 and 8 ----
 
 
@@ -427,7 +464,8 @@ def test_exact_dedup_over_ranges_and_batches(spark):
     groups = {}
     for i, t in texts:
         groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
-    want = {i: (min(g)[1], len(g), min(g)[1] == i) for g in groups.values() for _, i in g}
+    best = {k: min(g)[1] for k, g in groups.items()}
+    want = {i: (best[k], len(g), best[k] == i) for k, g in groups.items() for _, i in g}
     df = spark.createDataFrame([(i, t, i, "n") for i, t in texts], "doc_id long, text string, __key long, norm string").repartition(5)
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark(df).collect()} == want
     kept = exact_dedup.keep(df)
@@ -451,9 +489,51 @@ def test_decontamination(spark, documents, rows, empty, blocks):
     assert not any(r.contaminated for r in decontaminate.report(decontaminate.scan(documents, b.limit(0))).collect())
 
 
+def test_a_worker_keeps_one_block(spark, documents, rows):
+    """Windows come in several blocks, and a walk over them leaves no more than the one that it reads."""
+    bench = [(k, prose(25)) for k in range(40)] + [(None, rows[5][1][:200]), (7, rows[5][1][:200])]
+    shared = decontaminate.broadcast_windows(spark.createDataFrame(bench, "item_id long, text string"), block_windows=100)
+    assert len(shared) > 3
+    most = 0
+    for block in decontaminate._each(shared):
+        most = max(most, sum("_value" in b.__dict__ for b in shared[1:]))
+        assert len(block.item) < 400 and (np.diff(block.hash.astype(object)) >= 0).all()
+    assert sum(len(decontaminate.Block(b.value).hash) for b in shared) == len({t[k : k + 10] for _, x in bench for t in [tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower()))] for k in range(len(t) - 9)})
+
+
+def test_decontamination_of_odd_tables(spark):
+    long = prose(40_000)
+    passage = " ".join(f"item{k}" for k in range(14))
+    df = spark.createDataFrame([(1, f"{long} {passage} {long}", "a"), (1, passage.upper(), "b"), (1, passage.upper(), "b"), (2, None, "c")], "doc_id long, text string, scanned string").withColumnsRenamed({"scanned": "n_hit"}).withColumn("__text", F.lit(0))
+    bench = spark.createDataFrame([(5, passage), (None, passage), (5, passage)], "item_id long, text string")
+    got = decontaminate.report(decontaminate.scan(df, bench)).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 14, 1)] * 3 + [(2, 0, 0)]
+    left = decontaminate.remove_documents(df, bench)
+    assert left.columns == df.columns and [r.doc_id for r in left.collect()] == [2]
+
+
 # ---- 10 ----
 
 
+def test_quality_equals_brute_force():
+    """Votes against plain Python, with repeated texts in the sample (ties) and texts without words."""
+    texts = [prose(RNG.randrange(1, 60)) for _ in range(60)]
+    sample = [(t, k % 3 == 0) for k, t in enumerate(texts)] + [(texts[0], True), (texts[0], False), (texts[1].upper(), True)] * 8
+    model = quality_knn.Model(quality_knn.terms(pa.array([t for t, _ in sample])), np.array([float(v) for _, v in sample]))
+    asked = [*texts[:20], "", None, "  ", "!!!", "x" * 5000, prose(5000), texts[0]]
+    got = model.score(quality_knn.terms(pa.array(asked, pa.string())))
+    assert np.allclose(got, quality_knn.brute_force(sample, asked), atol=1e-3)
+
+
+def test_quality_of_repeated_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(1, prose(30), k, "a") for k in range(3)] * 2 + [(2, prose(40), 1, "b")], "doc_id long, text string, score int, label string").withColumn("__score", F.lit(1)).withColumn("scored", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    left = quality_knn.keep_good(docs, labels)
+    assert left.columns == docs.columns and left.count() <= 7
+    scores = quality_knn.report(quality_knn.score(docs, quality_knn.fit(docs, labels))).collect()
+    assert len(scores) == 7 and len({(r.doc_id, round(r.score, 6)) for r in scores if r.doc_id == 2}) == 1
+
+
 def test_quality_on_held_out_rows(spark, sf):
     got = {r.doc_id: r for r in quality_knn.query(spark, sf.replace("sf0.001", "sf0.01")).collect()}
     labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet").collect()]

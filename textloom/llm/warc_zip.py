@@ -11,7 +11,10 @@ others revisit it. The largest id is found by a pre-aggregated maximum per SHA-1
 a plain one, which adaptive execution splits where one payload holds a great part of the rows. A task writes its
 archive under an attempt's name and moves it into place, so a task that runs again leaves one archive.
 
-Cases: a null page is an empty payload. A null url is written as `urn:none`. Rows that repeat page_id and payload are
+Archives of other writers are read too: any record type, record ids of any form (page_id is null where an id isn't a page's), payloads without a
+SHA-1 digest, bare resources, classic and JSON indexes, plain or compressed, and members without one.
+
+Cases: a null page is an empty payload. A very long page is one record, read in one range. A null url is written as `urn:none`. Rows that repeat page_id and payload are
 all responses. A null page_id is less than all others; a group of null ids alone is all responses. An
 empty table gives archives without records or none. Other columns are not read.
 """
@@ -19,6 +22,7 @@ empty table gives archives without records or none. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -67,21 +71,39 @@ def _headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
+def _plain(value: str | None) -> str | None:
+    return value.strip("<> ") if value is not None else None
+
+
+def _page(identity: str | None) -> int | None:
+    """The page that a record id of this writer names."""
+    number = (identity or "").removeprefix(_PAGE)
+    return int(number) if (identity or "").startswith(_PAGE) and number else None
+
+
 def parse(raw: bytes) -> dict:
-    """One record's page_id, url, payload (None for revisits), payload_bytes, payload_digest, record_type and refers_to; digests are verified."""
+    """One record's type, ids, url, payload (None for revisits), its bytes and digest; SHA-1 digests of payloads are verified."""
     end = raw.index(b"\r\n\r\n")
     head = _headers(raw[:end])
     block = raw[end + 4 : end + 4 + int(head["content-length"])]
-    kind = head["warc-type"]
-    number = lambda v: int(v) if (v := v.strip("<>").removeprefix(_PAGE)) else None
-    cut = block.index(b"\r\n\r\n")
-    digest = head["warc-payload-digest"].removeprefix("sha1:")
-    payload = block[cut + 4 :] if kind == "response" else None
-    if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-        raise ValueError(f"payload of {head['warc-record-id']} differs from its digest")
+    kind, identity, original = head.get("warc-type", "").lower(), _plain(head.get("warc-record-id")), _plain(head.get("warc-refers-to"))
+    if block[:5] == b"HTTP/":
+        cut = block.find(b"\r\n\r\n")
+        http, payload = (_headers(block[:cut]), block[cut + 4 :]) if cut >= 0 else (_headers(block), b"")
+    else:
+        http, payload = {}, block
+    label, _, digest = head.get("warc-payload-digest", "").partition(":")
+    if kind == "revisit":
+        size, payload = http.get("content-length", ""), None
+        size = int(size) if size.isdigit() else None
+    else:
+        size, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if kind == "response" and label.lower() == "sha1" and digest.upper() not in (own, base64.b32decode(own).hex().upper()):
+            raise ValueError(f"payload of {identity} differs from its digest")
+        label, digest = "sha1", own
     return {
-        "page_id": number(head["warc-record-id"]), "url": head["warc-target-uri"], "payload": payload, "payload_bytes": len(payload) if payload is not None else int(_headers(block[:cut])["content-length"]),
-        "payload_digest": digest, "record_type": kind, "refers_to": number(head["warc-refers-to"]) if kind == "revisit" else None,
+        "page_id": _page(identity), "url": _plain(head.get("warc-target-uri")), "payload": payload, "payload_bytes": size, "payload_digest": digest.upper() if label.lower() == "sha1" else None,
+        "record_type": kind, "refers_to": _page(original) if kind == "revisit" else None, "record_id": identity, "refers_to_record": original,
     }
 
 
@@ -162,20 +184,39 @@ def walk(f, at: int, length: int, gzipped: bool):
         base, keep = base + used, keep[used:]
 
 
+def _index_entries(lines: str):
+    """(file name, offset, length) of every line of a JSON or a classic index; its first line tells a classic one's columns."""
+    columns = "N b a m s k r M S V g".split()
+    for line in lines.splitlines():
+        fields = line.split()
+        if not fields or line.startswith("!"):
+            continue
+        if fields[0] == "CDX":
+            columns = fields[1:]
+        elif (cut := line.find("{")) >= 0:
+            entry = json.loads(line[cut:])
+            yield entry["filename"], int(entry["offset"]), int(entry["length"]) if "length" in entry else None
+        else:
+            entry = dict(zip(columns, fields, strict=False))
+            yield entry["g"], int(entry["V"]), int(entry["S"]) if entry.get("S", "-").isdigit() else None
+
+
 def locate(f) -> list[tuple[int, int]]:
-    """(offset, length) of every record of an archive, from its indexes where there are any."""
-    members, out = directory(f), []
-    indexed = set()
+    """(offset, length) of every record of an archive, from its indexes where there are any that give lengths."""
+    members, found = directory(f), {}
     for name, (at, length) in members.items():
-        if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx")):
-            for line in f.read_at(length, at).decode().splitlines():
-                entry = json.loads(line[line.index("{") :])
-                member = f"archive/{entry['filename']}"
-                indexed.add(member)
-                out.append((members[member][0] + int(entry["offset"]), int(entry["length"])))
+        if name.startswith("indexes/") and name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
+            raw = f.read_at(length, at)
+            for member, offset, own in _index_entries((gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()):
+                found.setdefault(f"archive/{member.rpartition('/')[2]}", set()).add((offset, own))
+    out = []
     for name, (at, length) in members.items():
-        if name.startswith("archive/") and name not in indexed:
-            out += walk(f, at, length, name.endswith(".gz"))
+        if name.startswith("archive/"):
+            own = found.get(name)
+            if own and all(n is not None for _, n in own):
+                out += [(at + offset, n) for offset, n in own]
+            else:
+                out += walk(f, at, length, name.endswith(".gz"))
     return sorted(out)
 
 
@@ -255,9 +296,9 @@ def ranges(archives: DataFrame, archive: str = "archive") -> DataFrame:
 
 
 def read(archives: DataFrame, archive: str = "archive", payloads: bool = False) -> DataFrame:
-    """Every record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, and url and payload if asked for."""
+    """Every record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, and url, the records' ids and payload if asked for."""
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-    fields += [("url", pa.string()), ("payload", pa.binary())] * payloads
+    fields += [("url", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload", pa.binary())] * payloads
 
     def fetch(batches):
         for batch in batches:
