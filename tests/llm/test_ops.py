@@ -1,5 +1,6 @@
 """The ten operators against brute force on small tables with nulls, empties, ties, repeats and clashing extra columns."""
 
+import html
 import random
 import re
 import zlib
@@ -63,6 +64,63 @@ def test_main_text(page, text):
     assert got == text or (page == "<<<" and isinstance(got, str))
 
 
+LONG = "Sentences of real prose go on for a good while here, so that whoever counts words sees at once that this is the text and not a menu."
+
+#: Pages with their main text, written by hand; none is of the labelled table.
+GOLD = [
+    # layout wrappers whose names hold a tell-tale word
+    (f"<div class='layout has-sidebar'><article><h1>T</h1><p>{LONG}</p></article></div>", f"T\n{LONG}"),
+    (f"<body class='page sidebar'><div class='page-with-sidebar'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></body>", f"T\n{LONG}\n{LONG}"),
+    (f"<div class='sidebar'><main><h1>T</h1><p>{LONG}</p></main></div><div class='left-sidebar'><p>{LONG}</p></div>", f"T\n{LONG}"),
+    (f"<form action=x><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div><label>Name</label><button>Go</button></div></form>", f"T\n{LONG}\n{LONG}"),
+    # inline elements don't cut, hidden ones go
+    ("<p>He wrote <span hidden>no <span>not</span></span> text</p>", "He wrote text"),
+    (f"<article><p>a<em>b</em> <span class=ad>c</span> <code>d&lt;e</code></p><p>{LONG[:-1]}<sup>2</sup>.</p></article>", f"ab c d<e\n{LONG[:-1]}2."),
+    # reader comments within the article, by heading, by name and as articles of their own
+    (f"<article><h1>T</h1><p>{LONG}</p><h2>Comments</h2><p>{LONG}</p><h4>Bob</h4><p>no</p></article>", f"T\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p><h3>12 responses</h3><p>{LONG}</p><h2>Sources</h2><p>{LONG}</p></article>", f"T\n{LONG}\nSources\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p><section id=comments><article><p>{LONG}</p></article></section></article>", f"T\n{LONG}"),
+    # headings and names that only seem to tell
+    (f"<article><h1>T</h1><p>{LONG}</p><h2>Discussion</h2><p>{LONG}</p></article>", f"T\n{LONG}\nDiscussion\n{LONG}"),
+    (f"<article><h1>T</h1><div class='cookie-baking'><p>{LONG}</p></div></article>", f"T\n{LONG}"),
+    # nothing but words and links
+    (f"<div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div><h1>A title of five words</h1><p>{LONG}</p><p>{LONG}</p><div><a href=d>Imprint</a> <a href=e>Privacy</a></div>", f"A title of five words\n{LONG}\n{LONG}"),
+    (f"<ul><li><a href=a>One</a><li><a href=b>Two</a></ul><p>{LONG} <a href=c>{LONG[:40]}</a></p><p>{LONG}</p><p><a href=d>Next page</a>", f"{LONG} {LONG[:40]}\n{LONG}"),
+    # what elements say
+    (f"<header><nav><a href=a>Menu</a></nav><p>Claim</p></header><main><h1>T</h1><p>{LONG}</p><aside><p>{LONG}</p></aside><p>{LONG}</p><form><p>{LONG}</p></form></main><footer><p>{LONG}</p></footer>", f"T\n{LONG}\n{LONG}"),
+    (f"<article><header><h1>T</h1></header><p>{LONG}</p><table><tr><td>a<td>b c<tr><td>d</table><footer>by me</footer></article><div role=alert>{LONG}</div>", f"T\n{LONG}\na\nb c\nd"),
+    (f"<article><script>if (a < b) document.write('<p>no</p>')</script><style>p {{}}</style><!-- <p>no</p> --><p>{LONG}<br>&eacute;&#233;&nbsp;x</p><![CDATA[1 < 2]]></article>", f"{LONG} éé x\n1 < 2"),
+]
+
+
+@pytest.mark.parametrize("page, text", GOLD)
+def test_gold_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_main_text_of_pages_with_an_article(spark, sf):
+    """Brute force for the plainest pages: one article without anything else in it is its own text."""
+
+    def plain(page):
+        inner = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+        parts = re.split(r"</?(?:article|h1|p|div|ul|li)\b[^>]*>", re.sub("<br>", " ", inner))
+        texts = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in parts)
+        return "\n".join(x for x in texts if x)
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html_extract.query(spark, sf).collect()}
+    assert all(got[r.page_id] == plain(r.html) for r in pages if "<article>" in r.html) and len(got) == len(pages)
+
+
+def test_main_text_of_odd_pages():
+    """Very long, very deep and broken pages: linear, and nothing fails."""
+    assert html_extract.main_text("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>").count("\n") == 19_999
+    assert html_extract.main_text("<div>" * 5000 + f"<p>{LONG}</p>") == LONG
+    assert html_extract.main_text(f"</div></p><article><p>{LONG}<b>") == LONG and html_extract.main_text("<p" * 1000) == ""
+    for page in ("<span hidden>", "<a href='", "<![CDATA[", "<!--", "<head>", "<script>", "<table><li><p hidden>x", "&#0;&bogus;<p>\x00"):
+        assert isinstance(html_extract.main_text(page), str)
+
+
 def test_extract_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", 0), (1, None, None, 0), (None, "u", "<p", 0)], "page_id long, url string, html string, text int")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(df).collect()), key=str)

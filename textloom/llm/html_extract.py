@@ -1,13 +1,17 @@
 """Main-text extraction: flat text blocks, word count and link density of neighbours, and a small decision tree.
 
-A page is cut into flat blocks at block-level tags. Each block is described by its own and its neighbours' word count
-and link density and by a few marks of what encloses it. A tree, grown here on a small labelled table that a rule
-builds from a few dozen hand-labelled blocks, decides which blocks are the article. Each page is one row and one
-unit of work, so no key can gather pages in a task.
+A page is cut into flat blocks at block-level tags; inline elements never cut. Each block is described by its own and its neighbours' word count
+and link density, its tag, where it stands (within the article, beside it, or on a page that doesn't say), and how strongly the elements around
+it say that they are something else: by what they are (nav, aside, footer, form, hidden) or by a token of their class, id or role.
+An element that holds the article, or on a page without one the title or most of the words, is a wrapper, and its marks say nothing.
+No mark decides alone: a tree, grown here on PAGES, blocks labelled by hand on pages most of which have no telling names, does.
+What stands under a heading that opens reader comments or lists of other pages is described so, up to the next heading of that rank.
+Each page is one row and one unit of work, so no key can gather pages in a task.
 
 Cases: a null or empty page has the empty text. Repeated pages each get a row. Broken markup (unclosed or stray tags)
 never fails: a closing tag without an opening one is ignored, an open one ends with the page. A very long page costs
-time in proportion to its length. An empty table gives no rows. Other columns are not read.
+time in proportion to its length. Hidden text is no part of the article. Blocks on which the tree is even stay. An empty table gives no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,64 +31,78 @@ from textloom.llm.common import table
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video head".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg object canvas audio video head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CONTROLS = frozenset("form button select option label fieldset legend datalist output dialog menu".split())
+CONTROLS = frozenset("button select option label fieldset legend datalist output dialog menu".split())
+ASIDES = frozenset("nav aside footer menu dialog header form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-AWAY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden masthead menu menubar modal nav navbar navigation navigations newsletter notice notices notification pagination pager paywall popup privacy promo promotion promoted recommended recommendations related reply replies respond responses share sharing shares sidebar sidenav sidebars skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert alertdialog complementary contentinfo search login signup toc discussion feedback taboola outbrain legal infobar ticker".split()
+#: A whole token of class, id or role that names something beside the article.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense alert alertdialog banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr header infobar legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall popup privacy promo promotion recommended related replies respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola tags ticker toc toolbar topbar widget widgets".split()
 )
-TOWARDS = frozenset("article articlebody body content entry entrycontent main maincontent mainbody post postcontent postbody prose story storybody text".split())
-AWAY_STEMS = ("comment", "sidebar", "cookie", "advert", "newsletter", "breadcrumb", "navbar", "footer", "masthead", "sponsor", "promo", "subscribe", "related", "popup")
+#: Words that say so even as the first or last part of a token.
+STEMS = frozenset("advert adverts advertisement breadcrumb breadcrumbs comment comments disqus footer masthead navbar navigation newsletter pagination popup respond sidebar sponsor sponsored toolbar topbar widget".split())
+#: Parts of tokens that speak of the layout: `has-sidebar` is no sidebar.
+LAYOUT = frozenset("has with without no not is container content grid inner layout outer page row site wrap wrapper".split())
+TOWARDS = frozenset("article articlebody article-body article-content blog-post content entry entry-content main main-content maincontent post post-body post-content prose story story-body".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _ASIDE_HEADINGS = re.compile(
-    r"(?:\d+ )?(?:comments?|responses?|repl(?:y|ies)|discussion|leave a (?:reply|comment)|join the (?:discussion|conversation)|related(?: (?:articles?|posts?|stories))?|read (?:more|next)|you may also like|more from .*|share(?: this)?|recommended(?: .*)?|most (?:read|popular)|subscribe|newsletter|advertisement|kommentare|commentaires|comentarios|tags)\W*",
+    r"(?:\d+ )?(?:(?:reader |user )?comments?|\d+ (?:responses?|replies)|leave a (?:reply|comment)|join the (?:discussion|conversation)|related(?: (?:articles?|posts?|stories|pages|links))?|read (?:more|next)|you may also like|more from .*|share(?: this)?|recommended(?: .*)?|most (?:read|popular)|subscribe|newsletter|advertisement|sponsored|kommentare?|commentaires?|comentarios?|tags)(?: \(?\d+\)?)?\W*",
     re.I,
 )
 
 # block tag classes
 P, HEADING, ITEM, CELL, OTHER = range(5)
-FEATURES = (
-    "words", "links", "words_before", "links_before", "words_after", "links_after", "tag", "away", "towards", "control", "sentence", "after_aside_heading",
-)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tag", "mark", "place", "control", "sentence", "after_aside_heading")
+#: How strongly an element says that it is something else.
+PART, NAME, HIDDEN = 1, 2, 3
+
+
+class Mark:
+    """An element that says that it is beside the article."""
+
+    __slots__ = ("strength", "name", "wraps", "words")
+
+    def __init__(self, strength: int, name: str):
+        self.strength, self.name, self.wraps, self.words = strength, name, False, 0
 
 
 class Block:
-    __slots__ = ("text", "tag", "words", "links", "away", "towards", "control", "aside")
+    __slots__ = ("text", "tag", "level", "words", "links", "marks", "mark", "place", "control", "aside")
+
+    def __init__(self, text, tag, level, words, links, marks, place, control):
+        self.text, self.tag, self.level, self.words, self.links, self.marks = text, tag, level, words, links, marks
+        self.mark, self.place, self.control, self.aside = 0, place, control, False
+
 
-    def __init__(self, text, tag, words, links, away, towards, control):
-        self.text, self.tag, self.words, self.links = text, tag, words, links
-        self.away, self.towards, self.control, self.aside = away, towards, control, False
+def _token(token: str) -> int:
+    parts = [w.lower() for w in _PART.findall(token)]
+    if not parts or "-".join(parts) in NAMES or "".join(parts) in NAMES:
+        return NAME if parts else 0
+    if LAYOUT.intersection(parts):
+        return 0
+    if parts[0] in STEMS or parts[-1] in STEMS:
+        return NAME
+    return PART if parts[0] in NAMES or parts[-1] in NAMES else 0
 
 
-def _marks(attributes: str) -> tuple[int, int]:
-    """(away, towards) by the words of an element's class, id, role and visibility."""
-    away = towards = 0
+def _read(attributes: str) -> tuple[int, bool]:
+    """(strength of the mark, whether it names an article's text) of an element's attributes."""
+    strength, towards = 0, False
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            away = 2
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+            strength = HIDDEN
         elif name in ("class", "id", "role"):
             for token in value.split():
-                words = [w.lower() for w in _PART.findall(token)]
-                flat = "".join(words)
-                if any(w in AWAY for w in words) or flat in AWAY or flat.startswith(AWAY_STEMS) or flat.endswith(AWAY_STEMS):
-                    away = max(away, 1)
-                if flat in TOWARDS or (words and words[-1] in ("content", "body", "article", "story") and not away):
-                    towards = 1
-    return away, towards
-
-
-def _away_tag(name: str, stack: list) -> int:
-    if name in ("nav", "aside", "footer", "menu", "dialog"):
-        return 1
-    if name == "header":  # an article's own header holds its title
-        return 0 if any(x[0] in ("article", "main") for x in stack) else 1
-    return 0
+                strength = max(strength, _token(token))
+                towards = towards or token.lower().replace("_", "-") in TOWARDS
+    return strength, towards
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -92,28 +110,32 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, away, towards, control
+    # name, marks, within an article (2), a main (1) or a text by its name (-1), control
+    stack: list[tuple[str, tuple, int, int]] = [("", (), 0, 0)]
+    every: list[Mark] = []
+    title: tuple | None = None
+    mains = articles = anchors = at = 0
+    size = len(page)
     parts: list[str] = []
     linked: list[str] = []
-    anchors, at, size = 0, 0, len(page)
-    hidden_depth = None
+    skipped, depth = "", 0  # a hidden inline element that is being passed over
 
     def flush():
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                name, away, towards, control = stack[-1]
+                name, marks, place, control = stack[-1]
                 n = len(text.split())
                 inner = len(_SPACE.sub(" ", html.unescape(" ".join(linked))).split())
                 tag = P if name in ("p", "blockquote", "pre") else HEADING if name in HEADINGS else ITEM if name in ("li", "dd", "dt") else CELL if name in ("td", "th", "tr", "table", "caption") else OTHER
-                out.append(Block(text, tag, n, min(1.0, inner / n), away, towards, control))
+                out.append(Block(text, tag, int(name[1]) if tag == HEADING else 0, n, min(1.0, inner / n), marks, place, control))
             parts.clear()
             linked.clear()
 
     while at < size:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else size]
-        if piece:
+        if piece and not depth:
             parts.append(piece)
             if anchors:
                 linked.append(piece)
@@ -122,25 +144,21 @@ def blocks(page: str | None) -> list[Block]:
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not depth:
                 parts.append(html.escape(m[0][9:-3], False))
             continue
         name = name.lower()
         if m[1]:  # closing
-            if name == "a":
+            if name == skipped and depth:
+                depth -= 1
+            elif name == "a":
                 anchors = max(0, anchors - 1)
             elif name in BLOCKS or name in CONTROLS:
-                flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        anchors = 0
-                        break
-            elif hidden_depth is not None:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         flush()
                         del stack[k:]
+                        anchors = depth = 0
                         break
             continue
         if name in RAW:
@@ -152,44 +170,82 @@ def blocks(page: str | None) -> list[Block]:
                     at = end.end()
                 elif name in ("script", "style", "textarea"):
                     at = size
-            flush() if name not in ("svg", "math") else parts.append(" ")
+            if name in ("svg", "noscript", "script", "style", "template"):
+                parts.append(" " if name == "svg" else "")
+            else:
+                flush()
             continue
-        if name == "br":
+        if depth:
+            depth += name == skipped and not m[3].rstrip().endswith("/")
+        elif name in ("br", "img", "input"):
             parts.append(" ")
-            continue
-        if name == "a":
+        elif name == "a":
             anchors += 1
-            continue
-        if name == "img" or name == "input":
-            parts.append(" ")
-            continue
-        if name in BLOCKS or name in CONTROLS:
+        elif name in BLOCKS or name in CONTROLS:
             flush()
             if name in VOID:
                 continue
             _open(stack, name)
-            away, towards = _marks(m[3]) if m[3] else (0, 0)
-            _, a, t, c = stack[-1]
+            _, marks, place, control = stack[-1]
+            strength, towards = _read(m[3]) if m[3] else (0, False)
             if name in ("article", "main"):
-                towards = 1
-            if name in ("body", "html") and away == 1:
-                away = 0
-            control = 1 if name in CONTROLS else 0
-            stack.append((name, max(a, away, _away_tag(name, stack)), 1 if t or towards else 0, max(c, control)))
-        elif m[3] and (found := _marks(m[3]))[0] == 2 and name not in VOID:  # hidden inline
-            flush()
-            hidden_depth = len(stack)
-            _, a, t, c = stack[-1]
-            stack.append((name, 2, t, c))
+                # what holds the first of them is a wrapper
+                if not (articles if name == "article" else mains):
+                    for k in marks:
+                        every[k].wraps = every[k].name not in ("nav", "aside", "footer")
+                if place < 2:
+                    articles, mains, place = articles + (name == "article"), mains + (name == "main"), 2 if name == "article" else 1
+            elif towards and not place:
+                place = -1
+            if name == "h1" and title is None:
+                title = marks
+            if name in ASIDES and strength < HIDDEN and not (name == "header" and place > 0):  # an article's own header holds its title
+                strength = NAME
+            if name in ("body", "html") and strength < HIDDEN:
+                strength = 0
+            if strength:
+                marks = (*marks, len(every))
+                every.append(Mark(strength, name))
+            stack.append((name, marks, place, max(control, int(name in CONTROLS))))
+        elif m[3] and name not in VOID and not m[3].rstrip().endswith("/") and _read(m[3])[0] == HIDDEN:
+            skipped, depth = name, 1
     flush()
-    aside = False
-    for b in out:
-        if b.tag == HEADING:
-            aside = bool(_ASIDE_HEADINGS.fullmatch(b.text))
-        b.aside = aside
+    _settle(out, every, title or (), mains, articles)
     return out
 
 
+def _settle(found: list[Block], every: list[Mark], title: tuple, mains: int, articles: int) -> None:
+    """Takes the marks off wrappers, and tells each block's mark and place."""
+    total = 0.0
+    for b in found:
+        plain = b.words * (1 - b.links)
+        total += plain
+        for k in b.marks:
+            every[k].words += plain
+    if not mains and not articles:
+        for k, m in enumerate(every):
+            if m.name not in ("nav", "aside", "footer") and (k in title or m.words > 0.6 * total):
+                m.wraps = True
+    for b in found:
+        b.mark = max((every[k].strength for k in b.marks if every[k].strength == HIDDEN or not every[k].wraps), default=0)
+        if articles or mains:
+            b.place = -1 if b.place < 1 else 2 if b.place == 2 or not articles else 1
+        else:
+            b.place = 1 if b.place == -1 else 0
+    _settle_headings(found)
+
+
+def _settle_headings(found: list[Block]) -> None:
+    level = 0
+    for b in found:
+        if b.tag == HEADING:
+            if _ASIDE_HEADINGS.fullmatch(b.text):
+                level = b.level if not level else min(level, b.level)
+            elif level and b.level <= level:
+                level = 0
+        b.aside = bool(level)
+
+
 # Elements that an opening tag ends when they are still open.
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -216,112 +272,87 @@ def features(found: list[Block]) -> np.ndarray:
     out = np.zeros((n, len(FEATURES)))
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < n else None
-        letters = b.text[-1:]
         out[i] = (
             b.words, b.links, before.words if before else 0, before.links if before else 0, after.words if after else 0, after.links if after else 0,
-            b.tag, b.away, b.towards, b.control, letters in ".!?…\"”»:;" or b.words >= 12, b.aside,
+            b.tag, b.mark, b.place, b.control, b.text[-1:] in ".!?…\"”»:;" or b.words >= 12, b.aside,
         )
     return out
 
 
 # ---- the labelled table -------------------------------------------------------------------------------------------------
 
-#: Labelled markup: (what it is, 1 if it belongs to the article, pattern). {s}, {m} and {l} stand for short, middle and long runs of words, {t} for a sentence.
-LABELLED = (
-    ("title", 1, "<h1>{s}</h1>"),
-    ("title in a header of the article", 1, "<header><h1>{s}</h1></header>"),
-    ("subheading", 1, "<h2>{s}</h2>"),
-    ("subheading", 1, "<h3>{s}</h3>"),
-    ("paragraph", 1, "<p>{l}</p>"),
-    ("paragraph", 1, "<p>{m}</p>"),
-    ("short paragraph", 1, "<p>{t}</p>"),
-    ("very short paragraph", 1, "<p>{s}</p>"),
-    ("paragraph of bold text", 1, "<p><b>{l}<br>"),
-    ("paragraph with a link", 1, "<p>{m} <a href='/x'>{s}</a> {m}</p>"),
-    ("paragraph that is a link", 1, "<p><a href='/x'>{s}</a> {t}</p>"),
-    ("list", 1, "<ul><li>{t}</li><li>{t}</li></ul>"),
-    ("list of short points", 1, "<ul><li>{s}</li><li>{s}</li></ul>"),
-    ("quotation", 1, "<blockquote>{m}</blockquote>"),
-    ("code", 1, "<pre>{s}</pre>"),
-    ("cells", 1, "<table><tr><td>{s}</td><td>{t}</td></tr></table>"),
-    ("caption", 1, "<figure><figcaption>{t}</figcaption></figure>"),
-    ("plain div", 1, "<div>{l}</div>"),
-    ("plain div", 1, "<div>{t}</div>"),
-    ("menu", 0, "<nav><ul><li><a href='/a'>{w}</a></li><li><a href='/b'>{w}</a></li><li><a href='/c'>{s}</a></li></ul></nav>"),
-    ("menu without nav", 0, "<ul><li><a href='/a'>{w}</a></li><li><a href='/b'>{s}</a></li><li><a href='/c'>{w}</a></li></ul>"),
-    ("menu in a div", 0, "<div class='menu'><a href='/a'>{w}</a> | <a href='/b'>{w}</a></div>"),
-    ("site header", 0, "<header><div>{s}</div><p>{t}</p></header>"),
-    ("footer", 0, "<footer>&copy; {s} &middot; {t}</footer>"),
-    ("footer", 0, "<footer><p>{m}</p><a href='/a'>{s}</a></footer>"),
-    ("footer in a div", 0, "<div id='footer'><p>{t}</p></div>"),
-    ("sidebar", 0, "<aside><h3>{s}</h3><p>{m}</p></aside>"),
-    ("sidebar", 0, "<div class='sidebar'><h3>{s}</h3><p>{l}</p></div>"),
-    ("notice", 0, "<div class='cookie-notice'><p>{m}</p><button>{w}</button></div>"),
-    ("notice", 0, "<div role='alert'>{t}</div>"),
-    ("advert", 0, "<div class='ad'>{t}</div>"),
-    ("advert", 0, "<div class='advert'><p>{m}</p></div>"),
-    ("form", 0, "<form><label>{s}</label><p>{t}</p><button>{w}</button></form>"),
-    ("comments", 0, "<section class='comments'><h2>{s}</h2><div class='comment'><p>{l}</p></div><div><p>{m}</p></div></section>"),
-    ("comments by their heading", 0, "<section><h3>Comments</h3><div><p>{l}</p></div><div><p>{t}</p></div></section>"),
-    ("related pages", 0, "<div class='related'><h3>{s}</h3><ul><li><a href='/a'>{t}</a></li><li><a href='/b'>{t}</a></li></ul></div>"),
-    ("share links", 0, "<div class='share'><a href='/a'>{w}</a> <a href='/b'>{w}</a></div>"),
-    ("hidden text", 0, "<div hidden><p>{m}</p></div>"),
-    ("links without a mark", 0, "<div><a href='/a'>{s}</a> <a href='/b'>{s}</a> <a href='/c'>{w}</a></div>"),
-    ("stray words without a mark", 0, "<div>{w}</div>"),
+#: Pages whose blocks are labelled by hand: a block begins with + if it belongs to the article and with - if not. {n} stands for about n words.
+PAGES = (
+    # no names at all: a news page
+    "<body><div><a href=1>-{1}</a> <a href=2>{2}</a> <a href=3>{1}</a> <a href=4>{1}</a></div><div>-{2}</div><h1>+{9}</h1><p>+{4}</p><p>+{48}.</p><p>+{35}.</p><h2>+{4}</h2><p>+{60}.</p><p>+{12}.</p><p>+{41} <a href=5>{3}</a> {20}.</p>"
+    "<ul><li><a href=6>-{7}</a></li><li><a href=7>-{6}</a></li><li><a href=8>-{8}</a></li></ul><div>-{3} <a href=9>{1}</a> <a href=10>{2}</a></div><div>-{4}</div></body>",
+    # no names: a blog page in plain divs
+    "<div><div><div><a href=1>-{3}</a></div></div><div><div><a href=1>-{1}</a></div><div><a href=2>-{1}</a></div><div><a href=3>-{2}</a></div></div></div><div><div><h1>+{6}</h1><div>+{70}.</div><div>+{55}.</div><div>+{18}.</div><div>+{40}.</div></div></div>"
+    "<div><div><a href=4>-{5}</a></div><div><a href=5>-{6}</a></div><div>-{6}</div></div>",
+    # tables for layout
+    "<table><tr><td><a href=1>-{2}</a><br><a href=2>{2}</a><br><a href=3>{1}</a></td><td><h2>+{5}</h2><p>+{80}.</p><p>+{64}.</p><blockquote>+{30}.</blockquote><p>+{50}.</p></td></tr><tr><td>-{1}</td><td>-{5} <a href=4>{2}</a></td></tr></table>",
+    # a recipe: lists and short lines within main
+    "<div><a href=1>-{1}</a><a href=2>{1}</a></div><main><h1>+{4}</h1><p>+{30}.</p><h2>+{1}</h2><ul><li>+{4}</li><li>+{3}</li><li>+{5}</li></ul><h2>+{1}</h2><ol><li>+{16}.</li><li>+{11}.</li><li>+{21}.</li></ol><p>+{2}</p><table><tr><th>+{1}</th><td>+{2}</td></tr><tr><th>+{1}</th><td>+{2}</td></tr></table></main><div>-{30}.</div><div>-{3}</div>",
+    # an article, and prose beside it
+    "<div>-{14}.</div><article><h1>+{7}</h1><p>+{5}</p><p>+{50}.</p><p><a href=1>+{4}</a></p><p>+{3}.</p><figure><figcaption>+{9}.</figcaption></figure><pre>+{20}</pre><p>+{33}.</p><ul><li><a href=2>+{5}</a></li><li><a href=3>+{4}</a></li></ul><p>+{1}</p></article><div>-{40}.</div><section><h3>-{2}</h3><p>-{35}.</p></section>",
+    # an article with its own header, and elements that say what they are
+    "<header><p>-{3}</p><nav><ul><li><a href=1>-{1}</a></li><li><a href=2>-{2}</a></li></ul></nav></header><aside><h2>-{2}</h2><p>-{45}.</p></aside><article><header><h1>+{8}</h1><p>+{4}</p></header><p>+{42}.</p><p>+{58}.</p><aside><p>-{26}.</p></aside><p>+{23}.</p><footer>-{7}</footer></article>"
+    "<form><label>-{2}</label><p>-{10}.</p><button>-{1}</button></form><footer><p>-{25}.</p><p>-{4}</p></footer>",
+    # reader comments by their heading, within the article and after it
+    "<article><h1>+{6}</h1><p>+{44}.</p><h2>+{3}</h2><p>+{38}.</p><p>+{9}.</p><h2>-Comments</h2><div><p>-{30}.</p><p>-{4}</p></div><div><h4>-{2}</h4><p>-{62}.</p></div><p>-{12}.</p></article>",
+    "<div><h1>+{6}</h1><p>+{44}.</p><p>+{38}.</p><h3>-3 comments</h3><p>-{2}</p><p>-{40}.</p><p>-{2}</p><p>-{18}.</p></div><h3>-Related articles</h3><ul><li><a href=1>-{8}</a></li><li><a href=2>-{6}</a></li></ul>",
+    # names that tell
+    "<div class=menu><a href=1>-{1}</a> | <a href=2>{2}</a></div><div class=sidebar><h3>-{2}</h3><p>-{50}.</p></div><div class=post-content><h1>+{5}</h1><p>+{61}.</p><div class=ad>-{12}.</div><p>+{37}.</p><p>+{6}.</p></div><div id=comments><p>-{33}.</p><p>-{2}</p><p>-{80}.</p></div><div class=cookie-notice><p>-{15}.</p><button>-{1}</button></div><div id=footer><p>-{20}.</p></div>",
+    "<div class=banner><p>-{20}.</p></div><article><h1>+{5}</h1><p>+{50}.</p><div class=newsletter><p>-{25}.</p></div><p>+{40}.</p><section class=comments><h2>-{2}</h2><p>-{45}.</p><p>-{20}.</p></section><div class=share><a href=1>-{1}</a> <a href=2>{1}</a></div><div class='comment-list'><p>-{55}.</p></div></article><div role=alert>-{9}.</div>",
+    "<div class=notice><p>-{40}.</p></div><div><h1>+{5}</h1><p>+{50}.</p><p>+{47}.</p><div class=promo><p>-{36}.</p></div><p>+{29}.</p><div class=related><p>-{14}</p><p>-{16}.</p></div></div><div class=disclaimer>-{60}.</div>",
+    # names that only seem to tell: the text is about these things
+    "<div class=layout><div class=cookie-recipe><h1>+{5}</h1><p>+{55}.</p><p>+{48}.</p></div><div class=share-prices><p>+{45}.</p><p>+{60}.</p></div></div><div class=social-links><a href=1>-{1}</a> <a href=2>{1}</a></div>",
+    "<article><h1>+{7}</h1><section class=privacy-law><p>+{52}.</p><p>+{31}.</p></section><section class=menu-design><h2>+{3}</h2><p>+{44}.</p></section><p>+{38}.</p><div class=share-buttons>-{1} <a href=1>{1}</a></div><div class=ad-slot>-{2}</div><div class=tags-list><a href=1>-{1}</a> <a href=2>{1}</a></div></article>",
+    "<div><div class=search-theory><p>+{40}.</p><p>+{62}.</p><p>+{25}.</p></div><div class=login-box><p>-{3}</p><a href=1>-{2}</a></div><div class=promo-strip>-{5} <a href=2>{2}</a></div></div>",
+    # hidden text
+    "<div hidden><p>-{30}.</p></div><article><h1>+{5}</h1><p>+{45}.</p><div style='display:none'><p>-{25}.</p></div><p>+{33}.</p><p aria-hidden=true>-{20}.</p></article>",
+    # a short note, and a page of one paragraph
+    "<nav><a href=1>-{1}</a></nav><main><p>+{7}.</p></main><footer>-{3}</footer>",
+    "<p>+{30}.</p>",
+    "<div>+{25}.</div><div>+{28}.</div>",
+    "<h1>+{4}</h1><p>+{9}.</p><p>+{14}.</p>",
+    "<div><a href=1>-{2}</a></div><h1>+{3}</h1><p>+{15}.</p><div><a href=2>-{3}</a> <a href=3>{2}</a></div>",
+    # no names: paragraphs with many links, right behind a menu too
+    "<div><a href=1>-{1}</a> <a href=2>{1}</a> <a href=3>{2}</a></div><p>+{45}.</p><p>+{20} <a href=4>{8}</a> {12} <a href=5>{6}</a> {9}.</p><p>+{15} <a href=6>{9}</a> {14} <a href=7>{5}</a>.</p><p>+{38}.</p><p>+{8} <a href=8>{5}</a> {4}.</p>",
+    "<ul><li><a href=1>-{1}</a></li><li><a href=2>-{2}</a></li></ul><div><p>+{33} <a href=3>{10}</a>.</p><p>+{26}.</p><p>+{10} <a href=4>{7}</a> {8}.</p></div><div><a href=5>-{2}</a></div><div>-{2} <a href=6>{3}</a></div>",
+    "<h1>+{3}</h1><p>+{25} <a href=1>{12}</a> {9}.</p><p><a href=2>+{2}</a> {30}.</p><h2>+{2}</h2><p>+{40} <a href=3>{6}</a>.</p><ul><li>+{4} <a href=4>{1}</a> {5}</li><li>+{6} <a href=5>{2}</a> {3}</li></ul><p>+{50}.</p><div><a href=6>-{1}</a> <a href=7>{2}</a></div>",
+    "<div><a href=1>-{2}</a><a href=2>{1}</a></div><h2>+{4}</h2><p>+{30}.</p><p>+{18} <a href=3>{11}</a> {13}.</p><h2>+{3}</h2><p>+{22} <a href=4>{7}</a>.</p><p>+{64}.</p>",
+    "<div><a href=1>-{1}</a> <a href=2>{2}</a></div><p>+{55}.</p><div>-{2}</div>",
+    "<ul><li><a href=1>-{2}</a></li><li><a href=2>-{1}</a></li></ul><div>+{40}.</div><p>-{3} <a href=3>{2}</a></p>",
+    # no names: teasers of other pages behind the text
+    "<h1>+{6}</h1><p>+{52}.</p><p>+{47}.</p><div><h3><a href=1>-{6}</a></h3><p>-{14}.</p><h3><a href=2>-{7}</a></h3><p>-{15}.</p><h3><a href=3>-{5}</a></h3><p>-{12}.</p></div><div><a href=4>-{2}</a></div>",
+    # main with a list of other pages beside the article
+    "<main><article><h1>+{8}</h1><p>+{47}.</p><p>+{52}.</p></article><div><h2>-{2}</h2><a href=1>-{9}</a><div><a href=2>-{8}</a></div></div><div><p>-{22}.</p></div></main><div>-{5}</div>",
 )
+REPEATS = 10
 
 
-def labelled_pages(pages: int = 240, seed: int = 11):
-    """Pages put together by rule from LABELLED, as (html, label of every block's text)."""
+def labelled_table(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of PAGES, each page REPEATS times with other lengths."""
     rng = np.random.default_rng(seed)
-    good, bad = [x for x in LABELLED if x[1]], [x for x in LABELLED if not x[1]]
-    serial = 0
-
-    def fill(pattern: str, label: int, labels: dict) -> str:
-        nonlocal serial
-
-        def words(m):
-            nonlocal serial
-            low, high = {"w": (1, 1), "s": (1, 5), "t": (5, 14), "m": (12, 40), "l": (40, 160)}[m[1]]
-            serial += 1
-            n = int(rng.integers(low, high + 1))
-            key = f"q{serial}"
-            labels[key] = label
-            return " ".join([key] + ["abcde"[: int(rng.integers(2, 6))]] * (n - 1)) + ("." if m[1] in "tml" else "")
-
-        return re.sub(r"\{(\w)\}", words, pattern)
-
-    for _ in range(pages):
-        labels: dict[str, int] = {}
-        above = "".join(fill(bad[int(rng.integers(len(bad)))][2], 0, labels) for _ in range(int(rng.integers(0, 4))))
-        below = "".join(fill(bad[int(rng.integers(len(bad)))][2], 0, labels) for _ in range(int(rng.integers(0, 5))))
-        wrap = ("<article>{}</article>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<div id='content'>{}</div>", "<div>{}</div>", "{}")[int(rng.choice(6, p=[0.35, 0.2, 0.15, 0.1, 0.1, 0.1]))]
-        inner = [fill(good[0][2], 1, labels)] if rng.random() < 0.8 else []
-        for _ in range(int(rng.integers(1, 9))):
-            kind = good[int(rng.integers(1, len(good)))] if rng.random() < 0.5 else good[4 + int(rng.integers(0, 2))]
-            if not (wrap in ("{}", "<div>{}</div>") and "{s}" in kind[2] and kind[0] not in ("subheading", "paragraph with a link")):
-                inner.append(fill(kind[2], 1, labels))
-            if rng.random() < 0.12:
-                marked = [x for x in bad if "without" not in x[0] and x[0] not in ("comments by their heading", "site header")]
-                inner.append(fill(marked[int(rng.integers(len(marked)))][2], 0, labels))
-        yield f"<html><head><title>x</title></head><body>{above}{wrap.format(''.join(inner))}{below}</body></html>", labels
-
-
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of all blocks of the labelled pages."""
     xs, ys = [], []
-    for page, labels in labelled_pages():
-        found = blocks(page)
-        keys = [next((k for k in (re.findall(r"q\d+", b.text))), None) for b in found]
-        x = features(found)
-        for i, k in enumerate(keys):
-            if k:
-                xs.append(x[i])
-                ys.append(labels[k])
-    return np.array(xs), np.array(ys)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4):
+
+    def words(m):
+        n = int(m[1])
+        return " ".join(["word"] * (n if n < 4 else int(rng.integers(int(n * 0.6) + 1, int(n * 1.6) + 1))))
+
+    for page in PAGES * REPEATS:
+        found = blocks(re.sub(r"\{(\d+)\}", words, page))
+        for b in found:
+            ys.append("-+".index(b.text[0]))
+            if _ASIDE_HEADINGS.fullmatch(b.text[1:]) and b.tag == HEADING:
+                b.text = b.text[1:]
+        _settle_headings(found)
+        xs.append(features(found))
+    return np.concatenate(xs), np.array(ys, float)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = REPEATS + 2):
     """A binary tree by Gini impurity: (feature, threshold, below, above) or the share of label 1."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return float(y.mean())
