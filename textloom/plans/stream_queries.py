@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.plans.catalog import load, query
-from textloom.plans.table_queries import scratch
+from textloom.staging import new_path as scratch
 from textloom.streaming import streams as S
 
 

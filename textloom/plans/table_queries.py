@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,29 +13,12 @@ from textloom.sources import files as FI
 from textloom.sources import tables as TB
 from textloom.plans.catalog import load, query
 from textloom.plans.text_queries import ARR, LINES, WORDS, all_lines, docs
+from textloom.staging import new_path as scratch
+from textloom.staging import stage as staged
 
 TX = "coalesce(text, '')"
 
 
-def scratch(spark, label: str) -> str:
-    """A new path in the folder that all executors share, or in a temporary one in local runs."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(spark, df, label):
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---- containers ----
 
 
