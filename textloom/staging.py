@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _paths: ContextVar[list] = ContextVar("paths")
 _all: list[str] = []
+_local: dict[str, str] = {}
 
 
 def _own() -> list:
@@ -24,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="textloom-")
+        _local[app] = path
     return path.rstrip("/")
 
 
