@@ -315,6 +315,24 @@ def test_token_file(spark, documents, rows, empty):
     assert token_file.digest(spark, path).count() == 0
 
 
+def test_tokens_of_repeated_and_long_rows(spark, tmp_path):
+    """Equal rows side by side, ties of length, a text beyond a block, and a row of the file that was changed."""
+    model = tokens.encoder(tokens.vocabulary_path())
+    rows = [(3, "same words"), (3, "same words"), (1, "a b"), (2, "c d"), (2, None), (None, "x"), (7, prose(4000))]
+    path = new_path(spark, "t")
+    token_file.write(frame(spark, rows), path, tokens.vocabulary_path(), block_tokens=500)
+    got = sorted(((r.doc_id, bytes(r.ids)) for r in token_file.read(spark, path).collect()), key=str)
+    assert got == sorted(((i, plain_ids(model, t).tobytes()) for i, t in rows), key=str)
+    packed = packing.pack(frame(spark, rows), tokens.vocabulary_path(), capacity=512).collect()
+    assert len(packed) == sum(-(-len(plain_ids(model, t)) // 512) for _, t in rows)
+    other = new_path(spark, "t")
+    bad = spark.read.parquet(f"{path}/blocks").withColumn("doc_ids", F.transform("doc_ids", lambda x: x + 1))
+    bad.write.parquet(f"{other}/blocks")
+    spark.read.parquet(f"{path}/table").write.parquet(f"{other}/table")
+    with pytest.raises(Exception, match="checksum"):
+        token_file.read(spark, other).collect()
+
+
 def test_rans_segments_and_checksums():
     rng = np.random.default_rng(3)
     ids = (rng.zipf(1.3, 600_000) % 40_000).astype(np.uint32)

@@ -1,52 +1,19 @@
-"""Session, staging and file helpers that the operators share."""
+"""Helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_staged: list[str] = []
+from textloom.staging import clear_staged, drop, new_path, passing, shared_dir, stage
+
+__all__ = ["clear_staged", "drop", "fresh", "new_path", "partitions", "passing", "shared_dir", "stage", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _staged.append(path)
-    return path
-
-
-def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and no later stage depends on an executor's disk."""
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Deletes what this process has staged. Results that still read it must have been written or collected before."""
-    jvm = spark.sparkContext._jvm
-    while _staged:
-        p = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in either case."""
     have = {c.lower() for c in df.columns}

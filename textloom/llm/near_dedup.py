@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from textloom.llm import minhash as mh
 from textloom.llm import textscan as ts
 from textloom.llm.bloom import thin
-from textloom.llm.common import fresh, stage, table
+from textloom.llm.common import fresh, passing, stage, table
 from textloom.llm.components import components
 from textloom.operators import cells
 
@@ -354,12 +354,14 @@ def link_families(family: DataFrame, classes: DataFrame, documents: DataFrame, d
 def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = documents.sparkSession
-    marked = stage(spark, signatures(documents, doc_id, text), "signatures")
-    classes = classes_of(marked)
-    shared = stage(spark, keyed(band_rows(classes)), "shared")
-    candidates = stage(spark, likely(ties(shared), classes), "candidates")
-    family = families(candidates, shared, classes)
-    linked = stage(spark, link_families(family, classes, documents, doc_id, text, block, pivots), "linked")
+    with passing(spark) as kept:
+        marked = stage(spark, signatures(documents, doc_id, text), "signatures")
+        classes = classes_of(marked)
+        shared = stage(spark, keyed(band_rows(classes)), "shared")
+        candidates = stage(spark, likely(ties(shared), classes), "candidates")
+        family = families(candidates, shared, classes)
+        linked = stage(spark, link_families(family, classes, documents, doc_id, text, block, pivots), "linked")
+        kept += [marked, classes, linked]
     # a component is named by the smallest doc_id of its classes
     label = classes.select("set_id", "id", "doc_id").join(linked, "id", "left").select("set_id", "doc_id", F.coalesce("label", "id").alias("label"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -8,7 +8,8 @@ of every sequence. The plan is a list of runs (length, first rank, count, first
 of a length finds its place by bisection. Runs are bounded by lengths and distinct gaps, not by documents.
 
 Cases: a null or empty text has its end id alone, one piece of length 1. Texts above the capacity are cut into full
-pieces and a rest; only they are cut. Repeated doc_ids each keep their own pieces. An empty table gives no rows.
+pieces and a rest; only they are cut, however long. Repeated rows each keep their own pieces; pieces of equal length are placed in the order of
+their tasks, so ties change the places but not the number of sequences. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

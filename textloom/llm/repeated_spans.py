@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textscan as ts
-from textloom.llm.common import partitions, stage, table
+from textloom.llm.common import partitions, passing, stage, table
 
 LENGTH = 100
 GRAM = 32
@@ -409,15 +409,17 @@ def intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """(doc, spans) of (doc, text) rows with distinct, non-null doc: byte intervals, not yet merged, that repeat something earlier."""
     spark = documents.sparkSession
     n = partitions(spark)
-    marks = documents.mapInArrow(_first_digits(length, gram), _MARKS).repartition(n, "digit").sortWithinPartitions("digit")
-    several = stage(spark, marks.mapInArrow(_several, _MARKS).drop("digit"), "several")
-    asks = several.filter("pos >= 0").groupBy("doc").agg(F.collect_list(F.struct("pos", "low", "high")).alias("asks"))
-    suffixes = stage(spark, documents.join(asks, "doc").select("doc", "text", "asks").mapInArrow(_suffix_rows(length, gram), _SUFFIXES), "suffixes")
-    key = ["suffix", "low", "high", "doc", "pos"]
-    ordered = stage(spark, suffixes.repartitionByRange(n, *key).sortWithinPartitions(*key).select(*key).mapInArrow(_ordered(length, gram, hot), _FOUND), "ordered")
-    key = ["window", "doc", "start"]
-    windows = ordered.filter("window is not null").select(*key)
-    last = stage(spark, windows.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(_neighbours(length), _EDGES), "windows")
+    with passing(spark) as kept:
+        marks = documents.mapInArrow(_first_digits(length, gram), _MARKS).repartition(n, "digit").sortWithinPartitions("digit")
+        several = stage(spark, marks.mapInArrow(_several, _MARKS).drop("digit"), "several")
+        asks = several.filter("pos >= 0").groupBy("doc").agg(F.collect_list(F.struct("pos", "low", "high")).alias("asks"))
+        suffixes = stage(spark, documents.join(asks, "doc").select("doc", "text", "asks").mapInArrow(_suffix_rows(length, gram), _SUFFIXES), "suffixes")
+        key = ["suffix", "low", "high", "doc", "pos"]
+        ordered = stage(spark, suffixes.repartitionByRange(n, *key).sortWithinPartitions(*key).select(*key).mapInArrow(_ordered(length, gram, hot), _FOUND), "ordered")
+        key = ["window", "doc", "start"]
+        windows = ordered.filter("window is not null").select(*key)
+        last = stage(spark, windows.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(_neighbours(length), _EDGES), "windows")
+        kept += [several, ordered, last]
     # at most two rows a range: a range's first window is repeated if an earlier range ends with its equal
     edges = last.filter("window is not null").groupBy("window").agg(F.min(F.struct("doc", "start")).alias("least"), F.collect_set(F.when(F.col("pending"), F.struct("doc", "start", "stop"))).alias("x"))
     edges = edges.select("least", F.explode("x").alias("x")).filter("struct(x.doc, x.start) != least").select("x.doc", "x.start", "x.stop")

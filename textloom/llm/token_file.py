@@ -3,10 +3,10 @@
 A first scan counts every id of every document; the table of at most one entry per vocabulary id is all the driver
 holds. A range exchange by doc_id then deals documents into shards, each task tokenises and encodes its own, and
 Spark's writer commits the blocks, so a lost executor only repeats its shard. A block is one row of the container:
-(shard, block, start, doc_ids, lengths, n_tokens, payload); payload is the self-describing block of `rans`.
-Readers need only the table, the block's row and the shard totals.
+(shard, block, start, doc_ids, lengths, n_tokens, payload, crc); payload is the self-describing block of `rans`, with checkpoints and
+checksums of its own, and crc covers the row's other columns. Readers need only the table, the block's row and the shard totals.
 
-Cases: a null or empty text is its end id alone. Documents of one doc_id stand side by side in text order; null
+Cases: a null or empty text is its end id alone. A very long text is a block of its own, of as many ids as it has. Documents of one doc_id stand side by side in text order; null
 doc_ids come first. An empty table makes no block and reads back as no rows. Other columns are not read.
 """
 
@@ -24,7 +24,15 @@ from textloom.llm import rans, tokens
 from textloom.llm.common import new_path, partitions, table
 
 BLOCK_TOKENS = 1 << 20
-BLOCKS = "shard int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary"
+BLOCKS = "shard int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary, crc long"
+
+
+def _crc(shard: int, block: int, start: int, names: list, lengths: list) -> int:
+    """Checksum of what stands beside a block's payload."""
+    ids = np.array([-1 if i is None else i for i in names], np.int64)
+    null = np.array([i is None for i in names], np.uint8)
+    head = np.array([shard, block, start, len(names)], np.int64)
+    return zlib.crc32(b"".join(x.tobytes() for x in (head, ids, null, np.array(lengths, np.int64))))
 
 
 def count_ids(documents: DataFrame, vocabulary: str, text: str = "text") -> rans.Table:
@@ -56,8 +64,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_i
         def row():
             flat = np.concatenate(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([rans.encode(codec, flat)], pa.binary())],
-                names=["shard", "block", "start", "n_tokens", "doc_ids", "lengths", "payload"],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([rans.encode(codec, flat)], pa.binary()), pa.array([_crc(shard, block, start, names, lengths)], pa.int64())],
+                names=["shard", "block", "start", "n_tokens", "doc_ids", "lengths", "payload", "crc"],
             ), len(flat)
 
         for batch in batches:
@@ -103,14 +111,14 @@ def read_table(spark: SparkSession, path: str) -> rans.Table:
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks with the global place of their first id. Only the totals of shards, one row each, pass through a single task."""
+    """Blocks with the place of their shard's first id, base. Only the totals of shards, one row each, pass through a single task."""
     from pyspark.sql import Window
 
     df = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = df.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return df.join(F.broadcast(base), "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")
+    return df.join(F.broadcast(base), "shard")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +137,9 @@ def _decoded(spark: SparkSession, path: str, crc: bool) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for start, names, lengths, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            for shard, block, start, base, names, lengths, check, payload in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7), strict=True):
+                if _crc(shard, block, start, names, lengths) != check:
+                    raise ValueError("a block's row differs from its checksum")
                 flat = rans.decode(shared.value, payload.as_py()).astype("<u4")
                 at = np.concatenate([[0], np.cumsum(lengths)])
                 if at[-1] != len(flat):
@@ -137,11 +147,11 @@ def _decoded(spark: SparkSession, path: str, crc: bool) -> DataFrame:
                 raw = memoryview(flat.tobytes())
                 each = [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(start + at[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) if crc else bytes(x) for x in each], last[1])],
+                    [pa.array(names, pa.int64()), pa.array(base + start + at[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) if crc else bytes(x) for x in each], last[1])],
                     names=["doc_id", "start", "n_tokens", last[0]],
                 )
 
-    return blocks(spark, path).select("start", "doc_ids", "lengths", "payload").mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if crc else 'ids binary'}")
+    return blocks(spark, path).select("shard", "block", "start", "base", "doc_ids", "lengths", "crc", "payload").mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if crc else 'ids binary'}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
