@@ -18,11 +18,16 @@ SMALL = 64
 TILE = 512
 
 
-def compare(rows: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str, cell: int = CELL) -> DataFrame:
-    """function over cells of rows (bucket long, id long, more); it gets bucket, chunk, i and j with them. rows should be staged: they are counted first."""
-    n = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    packs = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // cell + 1)
-    chunks = F.ceil(F.col("n") / cell)
+def compare(rows: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str, cell: int = CELL, weight: str | None = None) -> DataFrame:
+    """function over cells of rows (bucket long, id long, more); it gets bucket, chunk, i and j with them. rows should be staged: they are counted first.
+
+    A chunk holds about `cell` rows, or rows whose column `weight` adds up to that.
+    """
+    own = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    n = rows.groupBy("bucket").agg(F.count("*").alias("bucket_rows"), F.sum(own).alias("bucket_weight")).filter("bucket_rows > 1")
+    total = rows.agg(F.sum(own)).first()[0] or 0
+    packs = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // cell + 1)
+    chunks = F.ceil(F.col("bucket_weight") / cell)
     dealt = rows.join(n, "bucket").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("chunks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("i"), F.greatest(F.col("chunk"), o).alias("j")))
     sub = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.col("bucket"), F.lit(packs)))
