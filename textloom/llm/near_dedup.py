@@ -8,9 +8,10 @@
 3. Families are cut into blocks of about BLOCK classes. Within a block all pairs are compared exactly, as products of
    incidence matrices of the full shingle sets. That settles every family of one block.
 4. Larger families: the most central classes of their blocks, PIVOTS a family at most, meet every block and are compared exactly.
-   Where classes are still outside the family's main component, every pair of two components that can be linked shares one of the rarest
-   quarter of its shingles, those first that only one component has. Pairs that do, whose sizes, shared shingles and registers allow a link, are compared exactly.
-   So loosely alike families, such as filled-in forms, cost in proportion to their shingles, not to their pairs.
+   Where that leaves several components, the family's sets meet in cells of two chunks of about SHINGLES shingles. Of a pair of two components
+   only the shingles that another component has too can be shared; pairs for which these, the sizes and the registers allow a
+   link are compared exactly, and once two components are linked they are not compared again. So loosely alike families, such as
+   filled-in forms, ship each set once per chunk, and few of their pairs are looked at; cells give out no pairs but links that connect.
 Links are confirmed by 100 * intersection >= 75 * union on full sets; components come by contraction.
 
 Candidates: two texts of similarity s share none of the BANDS keys with chance (1 - s**ROWS)**BANDS, 5e-6 at 0.75. Two that share
@@ -48,6 +49,7 @@ STEP = 1.34
 BLOCK = 64
 PIVOTS = 8
 COLUMNS = 1 << 16
+SHINGLES = 1 << 20
 
 
 def signatures(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -263,59 +265,67 @@ def _visits(members: DataFrame, visitors: DataFrame, blocks: DataFrame) -> DataF
 def _shingled(batches):
     for batch in batches:
         sets = _sets(batch.column(3))
-        lengths = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        flat = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(lengths)), pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(flat))], names=["family", "id", "label", "n_shingles", "shingles"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["bucket", "id", "label", "n_shingles", "shingles"])
 
 
-def _promising(table_: pa.Table) -> pa.Table:
-    """Pairs of classes of a cell that are of two components and whose sizes, open shingles and registers allow a link."""
-    ids, label, n, common = (table_.column(k).to_numpy() for k in ("id", "label", "n_shingles", "open"))
+def _open(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """How many shingles of each set another label of the cell has too."""
+    flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    of = label[own[order]]
+    several = np.minimum.reduceat(of, head) < np.maximum.reduceat(of, head)
+    return np.bincount(own[order][np.repeat(several, np.diff(np.append(head, len(flat))))], minlength=len(sets))
+
+
+def _across(table_: pa.Table) -> pa.Table:
+    """Links of a cell between components of one family, as many as connect what is linked. Pairs whose sizes, open shingles and registers allow a link are compared exactly."""
+    ids, label, n = (table_.column(k).to_numpy() for k in ("id", "label", "n_shingles"))
     raw = np.frombuffer(b"".join(table_.column("registers").to_pylist()), np.uint16).reshape(-1, mh.REGISTERS)
     slots = np.ascontiguousarray(raw.T)
-    found = [np.zeros((0, 2), np.int64)]
+    sets = [np.frombuffer(x, np.uint64) for x in table_.column("shingles").to_pylist()]
+    common = _open(sets, label)
+    parent = {v: v for v in np.unique(label).tolist()}
+
+    def find(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    a, b = [], []
     for x, y in cells.pairs(table_):
         most = np.minimum(common[x], common[y])  # what two components can share at most
         open_ = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= SHARE * np.maximum(n[x], n[y])) & (most * 100 >= SHARE * (n[x] + n[y] - most))
         x, y = cells.spread(x, y, open_)
         keep = cells.agreeing(slots, x, y) >= FLOOR * mh.REGISTERS
-        x, y = ids[x[keep]], ids[y[keep]]
-        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-
-def _confirmed(batches):
-    for batch in batches:
-        keep = []
-        for s, t in zip(batch.column(2), batch.column(3), strict=True):
-            s, t = s.values.to_numpy(), t.values.to_numpy()
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= SHARE * (len(s) + len(t) - both))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
+        x, y = x[keep], y[keep]
+        if not len(x):
+            continue
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        starts = np.flatnonzero(np.diff(x, prepend=-1))
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            i, root = int(x[lo]), find(int(label[x[lo]]))
+            others = [j for j in y[lo:hi].tolist() if find(int(label[j])) != root]
+            if not others:
+                continue
+            every = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            both = np.bincount(np.repeat(np.arange(len(others)), n[others])[sets[i][at] == every], minlength=len(others))
+            for k in np.flatnonzero(both * 100 >= SHARE * (n[i] + n[others] - both)).tolist():
+                p, q = find(int(label[i])), find(int(label[others[k]]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(int(ids[i]))
+                    b.append(int(ids[others[k]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def across(labelled: DataFrame, classes: DataFrame, cell: int = cells.CELL) -> DataFrame:
-    """(a, b): all links between classes of one family (family, id, label, text) that have different labels, by a prefix filter on full sets.
 
-    Linked sets of n shingles share one of the first n - ceil(0.75 * n) + 1 in any common order. The order puts shingles that only one label of the
-    family has before the others, which are open, and these by how many classes have them.
-    """
-    spark = labelled.sparkSession
-    sets = stage(spark, labelled.select("family", "id", "label", "text").mapInArrow(_shingled, "family long, id long, label long, n_shingles long, shingles array<long>"), "sets")
-    every = sets.select("family", "id", "label", "n_shingles", F.explode("shingles").alias("shingle"))
-    open_ = every.groupBy("family", "shingle").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("family", "shingle", "f")
-    own = every.join(open_, ["family", "shingle"]).groupBy("family", "id", "label", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("o"))
-    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SHARE / 100) + 1
-    own = own.withColumn("open", F.size("o").cast("long")).withColumn("take", (prefix - (F.col("n_shingles") - F.col("open"))).cast("int")).filter("take > 0")
-    rows = own.select("family", "id", "label", "n_shingles", "open", F.explode(F.slice("o", F.lit(1), F.col("take"))).alias("x")).select(F.xxhash64("family", "x.shingle").alias("bucket"), "id", "label", "n_shingles", "open")
-    rows = stage(spark, rows, "prefixes")
-    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    rows = stage(spark, rows.join(several, "bucket").join(classes.select("id", "registers"), "id").select("bucket", "id", "label", "n_shingles", "open", "registers"), "prefixes")
-    pairs = cells.compare(rows, _promising, "a long, b long", cell).distinct()
-    a, b = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}s")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "as", "bs").mapInArrow(_confirmed, "a long, b long")
+def across(labelled: DataFrame, classes: DataFrame, cell: int = SHINGLES) -> DataFrame:
+    """(a, b): links between classes of one family (family, id, label, text) that connect all labels between which there is a link."""
+    sets = labelled.select("family", "id", "label", "text").mapInArrow(_shingled, "bucket long, id long, label long, n_shingles long, shingles binary")
+    rows = stage(labelled.sparkSession, sets.join(classes.select("id", "registers"), "id"), "sets")
+    return cells.compare(rows, _across, "a long, b long", cell, "n_shingles")
 
 
 def link_families(family: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
