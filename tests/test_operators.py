@@ -1,13 +1,16 @@
 """Edge cases of the library's operators on hand-made rows."""
 
 import base64
+import difflib
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import breaks, signatures
+from textloom import staging
+from textloom.functions import breaks, documents, fuzzy, signatures
 from textloom.functions import strings as ST
 from textloom.functions import times as TM
 from textloom.functions import urls as U
@@ -201,7 +204,7 @@ def test_full_sorts(spark, tmp_path, name, table, rows, order):
         "part": ([(i,) for i in range(600)], "p_partkey long"),
     }[table]
     spark.createDataFrame(*made).write.parquet(f"{tmp_path}/{table}.parquet")
-    got = all_queries.QUERIES[f"{name}_all"](spark, str(tmp_path)).collect()
+    got = all_queries.QUERIES[name](spark, str(tmp_path)).collect()
     assert len(got) == rows and got == sorted(got, key=order)
     if name == "sort_lines_by_value_part":
         assert (600, "v") in {(r.doc_id, r.v) for r in got}
@@ -210,7 +213,7 @@ def test_full_sorts(spark, tmp_path, name, table, rows, order):
 def test_blob_of_whole_text(spark, tmp_path):
     texts = ["", "short", "é/+~" * 500, "line\n" * 400]
     docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: json.loads(r.value)["__blob_base64"] for r in all_queries.QUERIES["json_blob_encode_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: json.loads(r.value)["__blob_base64"] for r in all_queries.QUERIES["json_blob_encode"](spark, str(tmp_path)).collect()}
     assert {i: base64.b64decode(v, validate=True).decode() for i, v in got.items()} == dict(enumerate(texts))
 
 
@@ -242,3 +245,114 @@ def test_entry_works_without_the_subpackage(spark):
     import os
 
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_piecewise_hashes():
+    """The digests and the score of two published strings."""
+    a = fuzzy.ctph("Also called fuzzy hashes, Ctph can match inputs that have homologies.")
+    b = fuzzy.ctph("Also called fuzzy hashes, CTPH can match inputs that have homologies.")
+    assert (a, b) == ("3:AXGBicFlgVNhBGcL6wCrFQEv:AXGHsNhxLsr2C", "3:AXGBicFlIHBGcL6wCrFQEv:AXGH6xLsr2C") and fuzzy.ctph_score(a, b) == 22
+    assert fuzzy.ctph("") == "3::" and fuzzy.ctph(None) is None and fuzzy.ctph_score(a, None) == 0 and fuzzy.ctph_score(a, a) == 100
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ijkl") for _ in range(9000))
+    other = "".join(rng.choice("abcdefgh ijkl") for _ in range(9000))
+    assert fuzzy.ctph_score(fuzzy.ctph(text), fuzzy.ctph(text[:4000] + "changed" + text[4100:])) > 80
+    assert fuzzy.ctph_score(fuzzy.ctph(text), fuzzy.ctph(other)) < 30
+
+
+def test_bucket_hashes():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ijkl") for _ in range(3000))
+    near, far = text[:1500] + "some other words" + text[1510:], "".join(rng.choice("MNOPQ rstuvw.") for _ in range(3000))
+    h = [fuzzy.bucket_hash(t) for t in (text, near, far)]
+    assert fuzzy.bucket_distance(h[0], h[0]) == 0 and fuzzy.bucket_distance(h[0], h[1]) < 40 < 100 < fuzzy.bucket_distance(h[0], h[2])
+    assert fuzzy.bucket_hash("short") is None and fuzzy.bucket_hash("a" * 500) is None and fuzzy.bucket_distance(None, h[0]) is None
+    assert len(fuzzy.bucket_hash(text)) == 4 + 128 and fuzzy.bucket_hash(text, fuzzy.table(9)) != h[0]
+
+
+def test_piece_pairs(spark):
+    """Pairs by keys against all pairs."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh ijkl") for _ in range(2000)) for _ in range(4)]
+    texts = [b[: rng.randrange(1200, 2000)] + "x" * rng.randrange(3) + b[rng.randrange(300) :] for b in base for _ in range(8)]
+    digests = sorted({fuzzy.ctph(t) for t in texts})
+    classes = spark.createDataFrame(list(enumerate(digests)), "cls long, sig string")
+    got = {(r.x, r.y): r.score for r in S.piece_pairs(classes, 40).collect()}
+    every = {(i, j): fuzzy.ctph_score(digests[i], digests[j]) for i in range(len(digests)) for j in range(i + 1, len(digests))}
+    assert got == {k: v for k, v in every.items() if v >= 40} and len(got) > 10
+
+
+def test_lexrank():
+    text = "Cats sleep on warm roofs. Dogs bark at the gate. Cats sleep on warm stones. Cats sleep on cold roofs too. Rain fell. A train left the old station late. Cats like warm roofs to sleep on."
+    got = documents.lexrank(text, 3)
+    assert got.count("Cats") >= 2 and len(documents.sentences(got)) == 3 and documents.lexrank("One two three. Four five six.") == "One two three. Four five six." and documents.lexrank(None) == ""
+    p = documents.ranks(documents.sentences(text))
+    assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
+
+
+def test_flat_json():
+    shared, loop = ["x", 1, None], {"name": "loop"}
+    loop["self"] = loop
+    for value in ({"a": shared, "b": {"c": "x", "d": []}, "e": True}, [shared, [1.5, "é"]], "text", 7, None, {}):
+        assert documents.unflatten(documents.flatten(value)) == value
+    back = documents.unflatten(documents.flatten({"p": shared, "q": shared}))
+    assert back["p"] is back["q"] and documents.unflatten(documents.flatten(loop))["self"]["self"]["name"] == "loop"
+    assert documents.flatten({"a": ["x"], "b": "x"}) == '[{"a":"1","b":"2"},["2"],"x"]'
+
+
+def test_sizes_are_dealt_as_one_balance():
+    rng = random.Random(4)
+    for n, most, bins in ((1, 5, 3), (500, 50, 8), (300, 3, 7), (40, 1000, 6), (10, 1, 4)):
+        sizes = [(k, rng.randrange(most + 1)) for k in range(n)]
+        want = [0] * bins
+        for i, b in FI.balanced_bins(sizes, bins):
+            want[b] += sizes[i][1]
+        counts = Counter(x for _, x in sizes)
+        got, seen = [0] * bins, Counter()
+        for size, first, until, turn in FI.dealt_sizes(list(counts.items()), bins):
+            for r in range(first, until):
+                got[turn[(r - first) % len(turn)]] += size
+                seen[size] += 1
+        assert sorted(got) == sorted(want) and seen == counts
+
+
+def test_composite_scores(spark):
+    rows = [("same", "same"), ("green tea pot", "green tea cup"), ("abc", "xyz"), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] for r in df.select(ST.composite(ST.sequence_ratio("a", "b"), ST.token_share(F.col("a"), F.col("b")), ST.ctph_score(ST.ctph("a"), ST.ctph("b")), always=2)).collect()]
+    def want(a, b):
+        x, y = set(a.split()), set(b.split())
+        first = [round(100 * difflib.SequenceMatcher(None, a, b, False).ratio(), 4), round(100 * len(x & y) / len(x | y), 2) if x | y else 0.0]
+        third = fuzzy.ctph_score(fuzzy.ctph(a), fuzzy.ctph(b))
+        return round(sum([*first, *[third] * (third > 0)]) / (2 + (third > 0)), 2)
+
+    assert got == pytest.approx([want(*r) for r in rows], abs=0.01)
+
+
+def test_chunks_of_characters(spark):
+    rng = random.Random(5)
+
+    def want(x):
+        out, at = [], 0
+        while len(x) - at > 50:
+            part = x[at : at + 50]
+            cut = max((part.rfind(c, 40) for c in ".!?"), default=-1) + 1
+            cut = cut or part.rfind(" ", 1) + 1 or 50
+            out.append(part[:cut])
+            at += cut
+        return [*out, x[at:]] if x[at:] else out
+
+    texts = ["", "short", "a" * 120, " " * 60, "é" * 51] + ["".join(rng.choice("ab é\n. ") for _ in range(rng.randrange(400))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string").orderBy("i")
+    assert [r[0] for r in df.select(ST.chunk_chars(F.col("s"), 50, 40)).collect()] == [want(t) for t in texts]
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with staging.passing(spark) as kept:
+        a, b = (staging.stage(spark, spark.range(3), k) for k in "ab")
+        kept.append(b)
+    assert b.count() == 3 and b.staged_at in staging._all
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(a.staged_at)
+    staging.drop(spark, b)
+    assert b.staged_at not in staging._all

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions import signatures
+from textloom.functions import documents, fuzzy, signatures
 from textloom.functions.breaks import break_line, repeated_keys
 
 
@@ -91,22 +91,11 @@ def wrap_sentences(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [p for y in re.findall(r"[^.!]+[.!]?", x or "") if y.strip() for p in break_line(y.strip(), 120)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunk_chars(s: pd.Series) -> pd.Series:
-    """Chunks of at most 4990 characters, cut behind the last sentence end after 4900, else the last space, else hard."""
-
-    def one(x):
-        out, at = [], 0
-        x = x or ""
-        while len(x) - at > 4990:
-            part = x[at : at + 4990]
-            cut = max((part.rfind(c, 4900) for c in ".!?"), default=-1) + 1
-            cut = cut or part.rfind(" ", 1) + 1 or 4990
-            out.append(part[:cut])
-            at += cut
-        return [*out, x[at:]] if x[at:] else out
-
-    return s.map(one)
+def chunk_chars(c: Column, most: int = 4990, late: int = 4900) -> Column:
+    """Chunks of at most `most` characters, cut behind the last sentence end after `late`, else the last space, else hard."""
+    # each chunk is the longest of the first shape that fits where the one before ended
+    shapes = rf"(?s).{{1,{most}}}\z|.{{{late},{most - 1}}}[.!?]|.{{1,{most - 1}}} |.{{1,{most}}}"
+    return F.regexp_extract_all(c, F.lit(shapes), F.lit(0))
 
 
 _VOWELS = re.compile("[aeiouyàâäáãåæéèêëíìîïóòôöõøœúùûüýÿ]+")
@@ -317,6 +306,63 @@ def simhash_signature(s: pd.Series) -> pd.Series:
     return pd.Series([signatures.simhash(x) for x in s], dtype="Int64")
 
 
+@F.pandas_udf(T.StringType())
+def ctph(s: pd.Series) -> pd.Series:
+    """Context-triggered piecewise hash."""
+    return s.map(fuzzy.ctph)
+
+
+@F.pandas_udf(T.DoubleType())
+def ctph_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([float(fuzzy.ctph_score(x, y)) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def bucket_hash(s: pd.Series) -> pd.Series:
+    """Locality-sensitive bucket hash; null for texts under 50 bytes or of few byte triplets."""
+    return s.map(fuzzy.bucket_hash)
+
+
+@F.pandas_udf(T.LongType())
+def bucket_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([fuzzy.bucket_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(T.StringType())
+def lexrank(s: pd.Series) -> pd.Series:
+    """The five sentences that most others resemble."""
+    return s.map(documents.lexrank)
+
+
+@F.pandas_udf(T.StringType())
+def flat_json(s: pd.Series) -> pd.Series:
+    """JSON as a flat list of parts, each named once."""
+    import json
+
+    return s.map(lambda x: None if x is None else documents.flatten(json.loads(x)))
+
+
+@F.pandas_udf(T.StringType())
+def nested_json(s: pd.Series) -> pd.Series:
+    """The JSON that a flat list of parts stands for."""
+    import json
+
+    return s.map(lambda x: None if x is None else json.dumps(documents.unflatten(x), ensure_ascii=False, separators=(",", ":")))
+
+
+def composite(*scores: Column, always: int) -> Column:
+    """Mean of scores from 0 to 100: the first `always` count in any case, the others where they are above 0."""
+    kept = F.concat(F.array(*scores[:always]), F.filter(F.array(*scores[always:]), lambda x: x > 0))
+    return F.round(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept), 2)
+
+
+def token_share(a: Column, b: Column) -> Column:
+    """Jaccard similarity of word sets, 0 to 100."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    inner = F.size(F.array_intersect(words(a), words(b)))
+    return F.round(F.coalesce(F.try_divide(inner * 100.0, F.size(words(a)) + F.size(words(b)) - inner), F.lit(0.0)), 2)
+
+
 def _slots(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) * 100.0 / signatures.PERMUTATIONS, F.lit(0.0))
 
@@ -327,4 +373,6 @@ SIMILARITIES = {
     "minhash": (minhash_signature, _slots),
     "simhash": (simhash_signature, lambda a, b: F.coalesce(100 - F.bit_count(a.bitwiseXOR(b)) * 100.0 / 64, F.lit(0.0))),
     "sequence": (lambda c: c, sequence_ratio),
+    "pieces": (ctph, ctph_score),
+    "buckets": (bucket_hash, lambda a, b: F.coalesce(F.greatest(F.lit(0.0), 100 - bucket_distance(a, b) / 2.0), F.lit(0.0))),
 }

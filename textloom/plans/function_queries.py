@@ -46,8 +46,7 @@ over_text("hash_sha256", f"sha256({TX})", lambda c: F.sha2(c, 256))
 over_text("hash_md5_sha1_blake", f"md5({TX}) || ':' || sha1({TX})", lambda c: F.concat_ws(":", F.md5(c), F.sha1(c)))
 over_text("hash_blake2b", "", S.blake2b)
 over_text("hash_xxh64", "", S.xxh64)
-over_text("json_blob_encode", f"'{{\"__blob_base64\":\"' || base64(encode(substr({TX}, 1, 60))) || '\"}}'", lambda c: F.to_json(F.struct(F.replace(F.base64(F.encode(F.substring(c, 1, 60), "UTF-8")), F.lit("\r\n"), F.lit("")).alias("__blob_base64"))))
-over_text("json_blob_encode_whole", f"'{{\"__blob_base64\":\"' || base64(encode({TX})) || '\"}}'", lambda c: F.to_json(F.struct(F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit("")).alias("__blob_base64"))))
+over_text("json_blob_encode", f"'{{\"__blob_base64\":\"' || base64(encode({TX})) || '\"}}'", lambda c: F.to_json(F.struct(F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit("")).alias("__blob_base64"))))
 over_text("math_hex", f"lower(hex(length({TX}))) || '/' || CAST(length({TX}) % 256 AS VARCHAR)", lambda c: F.concat_ws("/", F.lower(F.hex(F.char_length(c))), F.pmod(F.conv(F.hex(F.char_length(c)), 16, 10).cast("int"), F.lit(256)).cast("string")))
 
 
@@ -83,20 +82,42 @@ def _(spark, d):
     return w.join(known, "word", "left_anti").select("doc_id", "pos", "word")
 
 
-@query("str_summarize_freq")
+#: English function words, which don't count.
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+PLAIN_TEXT = f"trim(regexp_replace({TX}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+FREQ = f"""WITH t AS (SELECT doc_id, {PLAIN_TEXT} AS t FROM documents),
+a AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(string_split(x, ' ')) > 2) AS a FROM t),
+s AS (SELECT doc_id, len(a) AS n, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS sentence FROM a WHERE len(a) > 1),
+w AS (SELECT doc_id, pos, word FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS word FROM s) WHERE word NOT IN ({', '.join(repr(w) for w in STOP)})),
+f AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY doc_id, word),
+r AS (SELECT doc_id, pos, CAST(sum(c) AS DOUBLE) / count(*) AS score FROM w JOIN f USING (doc_id, word) GROUP BY doc_id, pos),
+k AS (SELECT doc_id, pos, sentence, n, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, pos) AS rn FROM s LEFT JOIN r USING (doc_id, pos)),
+b AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM k WHERE rn <= greatest(1, floor(n * CAST(0.3 AS DOUBLE))) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(a) > 1 THEN summary ELSE t END AS summary FROM a LEFT JOIN b USING (doc_id)"""
+
+
+@query("str_summarize_freq", FREQ)
 def _(spark, d):
-    """Sentences whose mean normalised word frequency within the document is highest, in their order: one expression per document."""
-    sentence = F.posexplode(S.sentences(text())).alias("pos", "sentence")
-    s = docs(spark, d).select("doc_id", sentence)
-    w = s.select("doc_id", "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word"))
+    """The three tenths of the sentences whose words, but for function words, are most frequent in the document, in their order; a text of one sentence or none stays."""
     from pyspark.sql import Window
 
-    per = w.groupBy("doc_id", "word").agg(F.count("*").alias("c"))
-    norm = per.withColumn("f", F.col("c") / F.max("c").over(Window.partitionBy("doc_id"))).drop("c")
-    score = w.join(norm, ["doc_id", "word"]).groupBy("doc_id", "pos").agg(F.round(F.avg("f"), 9).alias("score"))
-    ranked = score.join(s, ["doc_id", "pos"]).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
-    kept = ranked.filter(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.2)))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: F.trim(x["sentence"])), " ").alias("summary"))
+    plain = F.trim(F.regexp_replace(text(), r"[\x20\x09-\x0D]+", " "))
+    found = F.filter(F.split(F.regexp_replace(plain, "([.!?]) ", "$1\x01"), "\x01"), lambda x: F.size(F.split(x, " ")) > 2)
+    t = docs(spark, d).select("doc_id", plain.alias("t"), found.alias("a"))
+    s = t.filter(F.size("a") > 1).select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("pos", "sentence"))
+    w = s.select("doc_id", "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).filter(~F.col("word").isin(*STOP))
+    score = w.join(L.counts(w, "doc_id", "word"), ["doc_id", "word"]).groupBy("doc_id", "pos").agg((F.sum("cnt").cast("double") / F.count("*")).alias("score"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "pos")
+    kept = s.join(score, ["doc_id", "pos"], "left").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.3)))
+    best = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    return t.join(best, "doc_id", "left").select("doc_id", F.when(F.size("a") > 1, F.col("summary")).otherwise(F.col("t")).alias("summary"))
+
+
+over_text("str_summarize_lexrank", "", S.lexrank)
 
 
 # ---- html and urls ----
@@ -336,17 +357,10 @@ HUE = """WITH c AS (SELECT p_partkey, printf('#%06x', p_partkey * 7919 % 1677721
 v AS (SELECT *, CAST('0x' || substr(color, 2, 2) AS INT) / 255.0::DOUBLE AS r, CAST('0x' || substr(color, 4, 2) AS INT) / 255.0::DOUBLE AS g, CAST('0x' || substr(color, 6, 2) AS INT) / 255.0::DOUBLE AS b FROM c),
 m AS (SELECT *, greatest(r, g, b) AS t, greatest(r, g, b) - least(r, g, b) AS d FROM v),
 x AS (SELECT p_partkey, color, round(60 * CASE WHEN d = 0 THEN 0 WHEN t = r THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN t = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END, 4) AS h, round(CASE WHEN t = 0 THEN 0 ELSE d / t END, 4) AS s, round(t, 4) AS v FROM m)
-SELECT * FROM x ORDER BY h, s, v, p_partkey LIMIT 500"""
+SELECT * FROM x"""
 
 
 @query("sort_hue", HUE)
-def _(spark, d):
-    color = F.format_string("#%06x", F.pmod(F.col("p_partkey") * 7919, F.lit(16777216)))
-    p = load(spark, d, "part").select("p_partkey", color.alias("color")).filter(F.col("color").rlike("^#[0-9a-f]{6}$"))
-    return L.top(p.withColumn("hsv", S.hsv(F.col("color"))), 500, "hsv", "p_partkey").select("p_partkey", "color", "hsv.*")
-
-
-@query("sort_hue_all", HUE.removesuffix(" ORDER BY h, s, v, p_partkey LIMIT 500"))
 def _(spark, d):
     color = F.format_string("#%06x", F.pmod(F.col("p_partkey") * 7919, F.lit(16777216)))
     p = load(spark, d, "part").select("p_partkey", color.alias("color")).filter(F.col("color").rlike("^#[0-9a-f]{6}$"))

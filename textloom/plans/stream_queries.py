@@ -30,15 +30,28 @@ def _(spark, d):
     return drained(spark, S.watch(spark, *fed(spark, d)).select("event_id", "event_type"))
 
 
-@query("stream_backfill_then_tail", "SELECT event_id FROM events")
+@query("stream_backfill_then_tail", "SELECT event_id, event_id % 2 AS drained FROM events")
 def _(spark, d):
-    src, schema = fed(spark, d)
+    """Half of the events are there when the stream starts, the others come later; drained tells in which run each was read."""
+    src = scratch(spark, "feed")
+    events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    halves = [events.filter(F.pmod("event_id", F.lit(2)) == k) for k in (0, 1)]
     out, mark = scratch(spark, "sink"), scratch(spark, "checkpoint")
-    s = S.watch(spark, src, schema).select("event_id")
-    S.drain(s, out, mark)  # what is there
-    load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).limit(0).write.mode("append").parquet(src)
-    S.drain(s, out, mark)  # what came since
-    return spark.read.schema(s.schema).parquet(out)
+    for k, half in enumerate(halves):
+        half.write.mode("append").parquet(src)
+        S.drain(S.watch(spark, src, events.schema).select("event_id", F.lit(k).cast("long").alias("drained")), out, mark)
+    return spark.read.schema("event_id long, drained long").parquet(out)
+
+
+@query("stream_log_tail", "SELECT CAST(event_id AS VARCHAR) || ' ' || event_type AS line FROM events")
+def _(spark, d):
+    """Lines that are appended to a folder of logs, each taken over once."""
+    src, out, mark = (scratch(spark, k) for k in ("logs", "sink", "checkpoint"))
+    rows = load(spark, d, "events").select(F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value"), F.pmod("event_id", F.lit(3)).alias("k"))
+    for k in range(3):
+        rows.filter(F.col("k") == k).select("value").write.mode("append").text(src)
+        S.drain(S.watch(spark, src, "value string", "text").select(F.col("value").alias("line")), out, mark)
+    return spark.read.schema("line string").parquet(out)
 
 
 @query("stream_checkpoint_resume", "SELECT count(*) AS n FROM events")

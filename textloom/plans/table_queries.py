@@ -235,14 +235,19 @@ def _(spark, d):
     return f.join(F.broadcast(base)).select("name", (F.col("depth") - F.col("base")).alias("depth"), "length").filter("depth <= 2")
 
 
-@query("scan_text_nonbinary")
+@query("scan_text_nonbinary", "SELECT 'csv' AS ext, CAST(sum(strlen(CAST(n_nationkey AS VARCHAR)) + strlen(n_name) + 2) AS BIGINT) AS bytes FROM nation")
 def _(spark, d):
-    return FI.contents(spark, d, "re*.parquet").filter(~FI.has_nul(F.col("content"))).select("path", "length")
+    path = scratch(spark, "mixed")
+    n = load(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1)
+    n.write.csv(path)
+    n.write.mode("append").parquet(path)
+    f = FI.contents(spark, path, "part-*").filter(~FI.has_nul(F.col("content")))
+    return f.groupBy(F.element_at(F.split("path", r"\."), -1).alias("ext")).agg(F.sum("length").alias("bytes"))
 
 
 @query("filter_is_binary")
 def _(spark, d):
-    return FI.contents(spark, d, "[nr]*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), FI.has_nul(F.col("content")).alias("binary"))
+    return FI.contents(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("name"), FI.has_nul(F.col("content")).alias("binary"))
 
 
 @query("filter_size_gt0_nodot")
@@ -272,10 +277,11 @@ def _(spark, d):
     return FI.top_with_other(c, "source", "n", 5)
 
 
-@query("agg_group_by_size", f"SELECT strlen({TX}) AS size, count(*) AS cnt, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("agg_group_by_size", f"SELECT strlen({TX}) AS size, doc_id, count(*) OVER (PARTITION BY strlen({TX})) AS cnt FROM documents QUALIFY cnt > 1")
 def _(spark, d):
-    x = docs(spark, d).groupBy(F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).agg(F.count("*").alias("cnt"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",").alias("ids"))
-    return x.filter("cnt > 1")
+    """Rows of the sizes that several documents have: a row each, so that no size gathers its documents."""
+    x = docs(spark, d).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    return x.join(x.groupBy("size").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "size").select("size", "doc_id", "cnt")
 
 
 @query("agg_extension_set", "SELECT DISTINCT p_brand AS ext FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 2)")
@@ -313,12 +319,13 @@ def _(spark, d):
 
 @query("agg_balanced_bins")
 def _(spark, d):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(FI.balanced_bins(list(zip(pdf.p_partkey.tolist(), pdf.p_size.tolist(), strict=True)), 8), columns=["p_partkey", "bin"])
-
-    # dealt first, so that no task sees the whole table: each share is balanced on its own
-    p = load(spark, d, "part").select("p_partkey", "p_size", F.pmod(F.xxhash64("p_partkey"), F.lit(32)).alias("share"))
-    return p.groupBy("share").applyInPandas(pack, "p_partkey long, bin int")
+    """One balance of the whole table: the driver sees how many rows each size has, and deals the sizes; rows find their bin by their rank within their size."""
+    p = load(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"))
+    dealt = FI.dealt_sizes([tuple(r) for r in p.groupBy("size").count().collect()], 8)
+    plan = spark.createDataFrame(dealt, "size int, first long, until long, bins array<int>")
+    ranked = p.withColumn("r", F.row_number().over(Window.partitionBy("size").orderBy("p_partkey")) - 1)
+    hit = ranked.join(F.broadcast(plan), "size").filter("r >= first and r < until")  # a few rows a distinct size
+    return hit.select("p_partkey", F.expr("bins[cast((r - first) % size(bins) as int)]").alias("bin"))
 
 
 @query("topk_newest", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 20")
@@ -331,24 +338,13 @@ def _(spark, d):
     return L.top(docs(spark, d).select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")), 11, F.desc("n"), "doc_id")
 
 
-@query("sort_csv_numeric", "SELECT l_orderkey, l_linenumber, coalesce(TRY_CAST(l_returnflag AS INT), CAST(l_quantity AS INT)) AS q FROM lineitem ORDER BY q DESC, l_orderkey, l_linenumber LIMIT 500")
-def _(spark, d):
-    q = F.coalesce(F.expr("try_cast(l_returnflag as int)"), F.col("l_quantity").cast("int"))
-    return L.top(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q")), 500, F.desc("q"), "l_orderkey", "l_linenumber")
-
-
-@query("sort_csv_score", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 500")
-def _(spark, d):
-    return L.top(load(spark, d, "customer").select("c_custkey", "c_acctbal"), 500, F.desc("c_acctbal"), "c_custkey")
-
-
-@query("sort_csv_numeric_all", "SELECT l_orderkey, l_linenumber, coalesce(TRY_CAST(l_returnflag AS INT), CAST(l_quantity AS INT)) AS q FROM lineitem")
+@query("sort_csv_numeric", "SELECT l_orderkey, l_linenumber, coalesce(TRY_CAST(l_returnflag AS INT), CAST(l_quantity AS INT)) AS q FROM lineitem")
 def _(spark, d):
     q = F.coalesce(F.expr("try_cast(l_returnflag as int)"), F.col("l_quantity").cast("int"))
     return L.sort_all(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q")), F.desc("q"), F.asc("l_orderkey"), F.asc("l_linenumber"))
 
 
-@query("sort_csv_score_all", "SELECT c_custkey, c_acctbal FROM customer")
+@query("sort_csv_score", "SELECT c_custkey, c_acctbal FROM customer")
 def _(spark, d):
     return L.sort_all(load(spark, d, "customer").select("c_custkey", "c_acctbal"), F.desc("c_acctbal"), F.asc("c_custkey"))
 
@@ -462,25 +458,50 @@ def _(spark, d):
     return out
 
 
-@query("sim_perceptual_hash")
+@query("sim_ssdeep")
+def _(spark, d):
+    """Pairs of classes of equal piecewise hashes, and at score 100 each other member with its class: two texts score 70 or more if their classes are one or a pair."""
+    s = staged(spark, docs(spark, d).select("doc_id", ST.ctph("text").alias("sig")).filter("sig is not null").withColumn("cls", F.xxhash64("sig")), "pieces")
+    classes, rest = S.members(s, "doc_id")
+    classes = staged(spark, classes, "classes")
+    x, y = classes.select(F.col("cls").alias("x"), F.col("doc").alias("p")), classes.select(F.col("cls").alias("y"), F.col("doc").alias("q"))
+    pairs = S.piece_pairs(classes, 70).join(x, "x").join(y, "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "score")
+    return pairs.unionByName(rest)
+
+
+@query("sim_tlsh")
+def _(spark, d):
+    """Every document's distance from the first one of its source, and the score 100 - distance, 0 at least; texts without a hash have neither."""
+    h = staged(spark, docs(spark, d).select("doc_id", "source", ST.bucket_hash("text").alias("h")), "buckets")
+    first = h.filter("h is not null").groupBy("source").agg(F.min(F.struct("doc_id", "h")).alias("m"))
+    far = h.join(first, "source").select("doc_id", ST.bucket_distance("h", "m.h").alias("distance"))
+    return far.select("doc_id", "distance", F.greatest(F.lit(0), 100 - F.col("distance")).alias("score"))
+
+
+BITS = "list_transform(embedding, lambda z: CAST(z AS DOUBLE) > list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) / len(embedding))"
+
+
+@query("sim_perceptual_hash", f"WITH h AS (SELECT vec_id, label, {BITS} AS b FROM embeddings), f AS (SELECT label, arg_min(b, vec_id) AS m FROM h GROUP BY label) SELECT vec_id, h.label, array_to_string(list_transform(b, lambda z: CAST(CAST(z AS INT) AS VARCHAR)), '') AS hash, CAST(len(list_filter(list_zip(b, m), lambda z: z[1] <> z[2])) AS INT) AS distance FROM h JOIN f ON h.label = f.label")
 def _(spark, d):
-    """Average hash of feature vectors, and how far each is from its label's first one."""
-    h = load(spark, d, "embeddings").select("vec_id", "label", S.average_hash(F.col("embedding"), 32).alias("hash"))
+    """Average hash of all elements of feature vectors, and how far each is from its label's first one."""
+    h = load(spark, d, "embeddings").select("vec_id", "label", S.average_hash(F.col("embedding")).alias("hash"))
     first = h.groupBy("label").agg(F.min(F.struct("vec_id", "hash")).alias("m"))
-    return h.join(first, "label").select("vec_id", "label", "hash", F.bit_count(F.col("hash").bitwiseXOR(F.col("m.hash"))).alias("distance"))
+    return h.join(first, "label").select("vec_id", "label", "hash", S.hamming(F.col("hash"), F.col("m.hash")).alias("distance"))
 
 
-@query("sim_composite", "SELECT p_partkey, CASE WHEN p_name = p_type THEN 100.0 ELSE round((100.0 * p_size / 50 + 50.0) / 2, 4) END AS score FROM part")
+@query("sim_composite")
 def _(spark, d):
-    scores = F.filter(F.array(F.col("p_size") * 100.0 / 50, F.lit(50.0), F.lit(0.0)), lambda x: x > 0)
-    mean = F.round(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores), 4)
-    return load(spark, d, "part").select("p_partkey", F.when(F.col("p_name") == F.col("p_type"), 100.0).otherwise(mean).alias("score"))
+    """Mean of the sequence ratio and the token share, and of the piece and bucket scores where they are above 0; 100 for equal texts."""
+    p = load(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat_ws(" ", F.split("p_name", " ")[0], "p_type").alias("b"))
+    kinds = [sign_score for name, sign_score in ST.SIMILARITIES.items() if name in ("pieces", "buckets")]
+    mean = ST.composite(F.round(ST.sequence_ratio("a", "b"), 2), ST.token_share(F.col("a"), F.col("b")), *(score(sign(F.col("a")), sign(F.col("b"))) for sign, score in kinds), always=2)
+    return p.select("p_partkey", F.when(F.col("a") == F.col("b"), 100.0).otherwise(mean).alias("score"))
 
 
-@query("sim_levenshtein_bounded", "SELECT p_partkey, CAST(least(levenshtein(p_brand, 'Brand#11'), 4) AS INT) AS dist FROM part")
+@query("sim_levenshtein_bounded", "SELECT p_partkey, CAST(least(levenshtein(p_name, p_type), 13) AS INT) AS dist FROM part")
 def _(spark, d):
-    near = F.levenshtein("p_brand", F.lit("Brand#11"), 3)
-    return load(spark, d, "part").select("p_partkey", F.when(near == -1, 4).otherwise(near).alias("dist"))
+    near = F.levenshtein("p_name", "p_type", 12)
+    return load(spark, d, "part").select("p_partkey", F.when(near == -1, 13).otherwise(near).alias("dist"))
 
 
 @query("sim_nearest_topn", f"WITH t AS (SELECT t FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE doc_id = (SELECT min(doc_id) FROM documents)) SELECT d.doc_id, round(len(list_intersect(d.t, t.t)) * 100.0 / (len(d.t) + len(t.t) - len(list_intersect(d.t, t.t))), 2) AS score FROM (SELECT doc_id, {TOKENS} AS t FROM documents) d, t WHERE len(d.t) + len(t.t) > 0 ORDER BY score DESC, doc_id LIMIT 20")
@@ -511,13 +532,16 @@ def _(spark, d):
     """Leader clusters of equal brands by price: the first unassigned leads, those within 5 % join. Groups are dealt by (brand, size)."""
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        import bisect
+
         pdf = pdf.sort_values("p_partkey")
-        leaders, out = [], []
+        prices, leaders, out = [], {}, []  # leaders by price; an older one wins among those that are near enough
         for i, x in zip(pdf.p_partkey, pdf.p_retailprice, strict=True):
-            hit = next((a for a, y in leaders if abs(x - y) <= 0.05 * y), None)
+            near = prices[bisect.bisect_left(prices, x / 1.0500001) : bisect.bisect_right(prices, x / 0.9499999)]
+            hit = min((leaders[y] for y in near if abs(x - y) <= 0.05 * y), default=None)
             if hit is None:
-                leaders.append((i, x))
-                hit = i
+                bisect.insort(prices, x)
+                leaders[x] = hit = i
             out.append((i, hit))
         return pd.DataFrame(out, columns=["p_partkey", "leader"])
 
@@ -571,9 +595,25 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", "text").mapInPandas(apply, "doc_id long, value long, error string")
 
 
+FLAT = "'[{\"brand\":\"1\",\"name\":\"2\",\"size\":' || p_size || '},\"' || p_brand || '\",\"' || p_name || '\"]'"
+
+
+@query("json_flat_codec", f"SELECT p_partkey, {FLAT} AS flat, true AS back FROM part")
+def _(spark, d):
+    whole = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_size").alias("size")))
+    p = load(spark, d, "part").select("p_partkey", whole.alias("whole"))
+    return p.select("p_partkey", "whole", ST.flat_json("whole").alias("flat")).select("p_partkey", "flat", (ST.nested_json("flat") == F.col("whole")).alias("back"))
+
+
 # ---- languages ----
 
-PROFILES = {"en": ("the", "and", "that", "with"), "de": ("der", "und", "die", "das"), "fr": ("les", "une", "des", "pour"), "es": ("que", "los", "las", "una")}
+#: Frequent words of each language; words that two of them share are in neither list.
+PROFILES = {
+    "en": "the and that with for this have from they will would there their what about which when your them been has were who".split(),
+    "de": "der und die das nicht ist mit auf sich dem auch wie wird bei einer eine einen sind noch werden durch aber oder nach".split(),
+    "fr": "les une des pour dans qui sur pas plus avec est sont cette vous nous ils leur aux mais ont comme par tout fait".split(),
+    "es": "que los las una del por para con como pero sus este esta entre cuando muy sin sobre ser tiene desde todo hay donde".split(),
+}
 
 
 def detected(spark, words, *keys):
@@ -596,9 +636,9 @@ def _(spark, d):
     return detected(spark, L.words(rows.withColumnRenamed("pos", "line_no"), "alpha", "doc_id", "line", "line_no").select("doc_id", "line_no", "word"), "doc_id", "line_no")
 
 
-@query("lang_strict_english", f"SELECT w.doc_id, avg(CAST(word IN ('the', 'and', 'that', 'with', 'for', 'this') AS INT)) >= 0.05 AS english FROM {WORDS} w GROUP BY w.doc_id")
+@query("lang_strict_english", f"SELECT w.doc_id, avg(CAST(word IN ({', '.join(repr(w) for w in PROFILES['en'])}) AS INT)) >= 0.05 AS english FROM {WORDS} w GROUP BY w.doc_id")
 def _(spark, d):
-    known = F.col("word").isin("the", "and", "that", "with", "for", "this")
+    known = F.col("word").isin(*PROFILES["en"])
     return L.words(docs(spark, d)).groupBy("doc_id").agg((F.count_if(known) / F.count("*") >= 0.05).alias("english"))
 
 

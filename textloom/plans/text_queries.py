@@ -160,8 +160,12 @@ def word_rank(spark, d):
 
 @query("win_rank", f"SELECT lang, word, cnt, CAST(rank() OVER (PARTITION BY lang ORDER BY cnt DESC) AS INT) AS rk FROM (SELECT lang, word, count(*) AS cnt FROM {WORDS} GROUP BY lang, word)")
 def _(spark, d):
+    """A word's rank is one more than the words of its language that are counted more often: the window runs over distinct counts, not over words."""
     c = L.counts(L.words(docs(spark, d), "alpha", "doc_id", "text", "lang"), "lang", "word")
-    return c.select("lang", "word", "cnt", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("cnt"))).alias("rk"))
+    same = c.groupBy("lang", "cnt").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("lang").orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = same.select("lang", "cnt", (F.coalesce(F.sum("k").over(w), F.lit(0)) + 1).cast("int").alias("rk"))
+    return c.join(ranks, ["lang", "cnt"]).select("lang", "word", "cnt", "rk")
 
 
 @query("agg_vocabulary", f"SELECT DISTINCT word FROM {UNI}")
@@ -184,12 +188,7 @@ def _(spark, d):
     return L.top(c, 100, F.desc("cnt"), "first").select("word", "cnt", F.col("first.doc_id").alias("first_doc"))
 
 
-@query("sort_count_then_key", f"SELECT word, count(*) AS cnt FROM {WORDS3} GROUP BY word ORDER BY cnt DESC, word LIMIT 500")
-def _(spark, d):
-    return L.top(L.counts(L.words(docs(spark, d), "alpha3"), "word"), 500, F.desc("cnt"), "word")
-
-
-@query("sort_count_then_key_all", f"SELECT word, count(*) AS cnt FROM {WORDS3} GROUP BY word")
+@query("sort_count_then_key", f"SELECT word, count(*) AS cnt FROM {WORDS3} GROUP BY word")
 def _(spark, d):
     return L.sort_all(L.counts(L.words(docs(spark, d), "alpha3"), "word"), F.desc("cnt"), F.asc("word"))
 
@@ -299,12 +298,7 @@ def _(spark, d):
 # ---- sorts ----
 
 
-@query("sort_lines", f"SELECT line, doc_id, CAST(pos AS INT) AS pos FROM {LINES} WHERE line <> '' ORDER BY lower(line), doc_id, pos LIMIT 1000")
-def _(spark, d):
-    return L.top(all_lines(spark, d).filter("line <> ''").select("line", "doc_id", "pos"), 1000, F.lower("line"), "doc_id", "pos")
-
-
-@query("sort_lines_all", f"SELECT line, doc_id, CAST(pos AS INT) AS pos FROM {LINES}")
+@query("sort_lines", f"SELECT line, doc_id, CAST(pos AS INT) AS pos FROM {LINES}")
 def _(spark, d):
     return L.sort_all(all_lines(spark, d).select("line", "doc_id", "pos"), F.lower("line"), "doc_id", "pos")
 
@@ -314,16 +308,10 @@ def _(spark, d):
     return L.counts(all_lines(spark, d), "line").repartitionByRange("line").sortWithinPartitions("line")
 
 
-@query("sort_lines_by_value_part", f"SELECT doc_id, CAST(pos AS INT) AS pos, trim(substr(line, instr(line, '=') + 1)) AS v FROM {LINES} WHERE instr(line, '=') > 0 ORDER BY 3, 1, 2 LIMIT 1000")
-def _(spark, d):
-    v = F.trim(F.split("line", "=", 2)[1])
-    return L.top(all_lines(spark, d).filter(F.contains("line", F.lit("="))).select("doc_id", "pos", v.alias("v")), 1000, "v", "doc_id", "pos")
-
-
 VALUE_PART = "CASE WHEN instr(line, ':') > 0 THEN substr(line, instr(line, ':') + 1) ELSE substr(line, instr(line, '=') + 1) END"
 
 
-@query("sort_lines_by_value_part_all", f"SELECT doc_id, CAST(pos AS INT) AS pos, {STRIP.format(VALUE_PART)} AS v FROM {LINES} WHERE instr(line, ':') > 0 OR instr(line, '=') > 0")
+@query("sort_lines_by_value_part", f"SELECT doc_id, CAST(pos AS INT) AS pos, {STRIP.format(VALUE_PART)} AS v FROM {LINES} WHERE instr(line, ':') > 0 OR instr(line, '=') > 0")
 def _(spark, d):
     colon = F.contains("line", F.lit(":"))
     v = L.strip(F.when(colon, F.split("line", ":", 2)[1]).otherwise(F.split("line", "=", 2)[1]))

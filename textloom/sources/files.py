@@ -20,6 +20,7 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length, content) of all files below a folder; Spark reads files of up to 2 GB so."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "content")
 
 
@@ -84,3 +85,30 @@ def balanced_bins(sizes: list[tuple], bins: int) -> list[tuple]:
         out.append((i, k))
         heapq.heappush(heap, (load + n, k))
     return out
+
+
+def dealt_sizes(counts: list[tuple[int, int]], bins: int) -> list[tuple]:
+    """(size, first rank, end, bins in turn): `balanced_bins` of `count` items of each (size, count), without the items.
+
+    Once loads lie within one size of each other, equal items go round the bins in the order of their loads.
+    """
+    loads, out = [(0, k) for k in range(bins)], []
+    for size, count in sorted(counts, reverse=True):
+        at = 0
+        while at < count:
+            loads.sort()
+            if size <= 0:
+                out.append((size, at, count, [loads[0][1]]))
+                break
+            if loads[-1][0] - loads[0][0] < size or all(x[0] == loads[0][0] for x in loads):
+                turns = (count - at) // bins
+                if turns:
+                    out.append((size, at, at + turns * bins, [k for _, k in loads]))
+                    loads = [(n + turns * size, k) for n, k in loads]
+                    at += turns * bins
+                    continue
+            n, k = loads[0]
+            out.append((size, at, at + 1, [k]))
+            loads[0] = (n + size, k)
+            at += 1
+    return out
