@@ -101,16 +101,37 @@ def chunk_chars(c: Column, most: int = 4990, late: int = 4900) -> Column:
 _VOWELS = re.compile("[aeiouyàâäáãåæéèêëíìîïóòôöõøœúùûüýÿ]+")
 
 
-@F.pandas_udf(T.StructType([*(T.StructField(n, T.LongType()) for n in ("sentences", "words", "syllables")), *(T.StructField(n, T.DoubleType()) for n in ("flesch", "smog"))]))
+COUNTS = ("sentences", "words", "syllables", "letters", "long_words", "hard_words")
+#: Published readability formulas over the counts of a text, by name; `flesch` is the English reading ease, and three are its Spanish, one its Italian form.
+FORMULAS = {
+    "flesch": lambda n, w, syl, c, lw, hw: 206.835 - 1.015 * w / n - 84.6 * syl / w,
+    "kincaid": lambda n, w, syl, c, lw, hw: 0.39 * w / n + 11.8 * syl / w - 15.59,
+    "smog": lambda n, w, syl, c, lw, hw: 1.043 * (30.0 * hw / n) ** 0.5 + 3.1291,
+    "coleman_liau": lambda n, w, syl, c, lw, hw: 5.88 * c / w - 29.6 * n / w - 15.8,
+    "automated": lambda n, w, syl, c, lw, hw: 4.71 * c / w + 0.5 * w / n - 21.43,
+    "fog": lambda n, w, syl, c, lw, hw: 0.4 * (w / n + 100.0 * hw / w),
+    "linsear": lambda n, w, syl, c, lw, hw: (x := (w + 2.0 * hw) / n) / 2 - (1 if x <= 20 else 0),
+    "lix": lambda n, w, syl, c, lw, hw: w / n + 100.0 * lw / w,
+    "fernandez_huerta": lambda n, w, syl, c, lw, hw: 206.84 - 60.0 * syl / w - 1.02 * w / n,
+    "szigriszt": lambda n, w, syl, c, lw, hw: 206.835 - 62.3 * syl / w - w / n,
+    "gutierrez": lambda n, w, syl, c, lw, hw: 95.2 - 9.7 * c / w - 0.35 * w / n,
+    "crawford": lambda n, w, syl, c, lw, hw: -0.205 * 100 * n / w + 0.049 * 100 * syl / w - 3.407,
+    "gulpease": lambda n, w, syl, c, lw, hw: 89 + (300.0 * n - 10.0 * c) / w,
+}
+
+
+@F.pandas_udf(T.StructType([*(T.StructField(n, T.LongType()) for n in COUNTS), *(T.StructField(n, T.DoubleType()) for n in FORMULAS)]))
 def readability(s: pd.Series) -> pd.DataFrame:
+    """Counts and formulas; syllables are runs of vowels, hard words have three or more, long ones seven letters. Formulas are null for a text without words."""
+
     def one(x):
         w = re.findall(r"[^\W\d_]+", (x or "").lower())
         n = max(1, len(re.findall("[.!?]+", x or "")))
         syl = [max(1, len(_VOWELS.findall(y))) for y in w]
-        m = max(1, len(w))
-        return n, len(w), sum(syl), round(206.835 - 1.015 * m / n - 84.6 * sum(syl) / m, 4), round(1.043 * (30.0 * sum(k >= 3 for k in syl) / n) ** 0.5 + 3.1291, 4)
+        counts = n, len(w), sum(syl), sum(map(len, w)), sum(len(y) >= 7 for y in w), sum(k >= 3 for k in syl)
+        return *counts, *(round(f(*counts), 4) if w else None for f in FORMULAS.values())
 
-    return pd.DataFrame([one(x) for x in s], columns=["sentences", "words", "syllables", "flesch", "smog"])
+    return pd.DataFrame([one(x) for x in s], columns=[*COUNTS, *FORMULAS])
 
 
 @F.pandas_udf(T.StringType())

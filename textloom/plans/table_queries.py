@@ -150,7 +150,7 @@ def _(spark, d):
 def _(spark, d):
     n, r = load(spark, d, "nation"), load(spark, d, "region")
     rows = r.select("r_regionkey", F.lit(-1).alias("k"), F.concat(F.lit("["), "r_name", F.lit("]")).alias("line")).unionByName(n.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("k"), F.concat(F.col("n_nationkey").cast("string"), F.lit(" "), "n_name").alias("line")))
-    w = Window.orderBy("r_regionkey", "k").rowsBetween(Window.unboundedPreceding, 0)  # one small file is one sequence
+    w = Window.partitionBy("r_regionkey").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # the lines of one file, here one a region
     f = rows.withColumn("section", F.last(F.when(F.col("line").startswith("["), F.regexp_extract("line", r"^\[(.*)\]$", 1)), True).over(w))
     return f.filter(~F.col("line").startswith("[")).select("section", F.regexp_extract("line", "^[0-9]+ (.*)$", 1).alias("rule"), F.regexp_extract("line", "^([0-9]+)", 1).cast("int").alias("off"))
 
@@ -630,7 +630,10 @@ def _(spark, d):
     return detected(spark, L.words(docs(spark, d)), "doc_id")
 
 
-@query("lang_detect_line")
+LINE_WORDS = f"(SELECT doc_id, pos, unnest(list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM {LINES} WHERE length(line) >= 3)"
+
+
+@query("lang_detect_line", f"SELECT doc_id, CAST(pos AS INT) AS line_no, max((n, guess))[2] AS guess, max((n, guess))[1] AS hits FROM (SELECT doc_id, pos, {GUESS} AS guess, count(*) AS n FROM {LINE_WORDS} WHERE {GUESS} IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def _(spark, d):
     rows = all_lines(spark, d).filter("length(line) >= 3")
     return detected(spark, L.words(rows.withColumnRenamed("pos", "line_no"), "alpha", "doc_id", "line", "line_no").select("doc_id", "line_no", "word"), "doc_id", "line_no")
