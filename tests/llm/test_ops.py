@@ -251,14 +251,12 @@ def test_tokens_equal_the_library():
     model = tokens.encoder(tokens.vocabulary_path())
     alphabet = "abZ's't're ÀßİçµªΣς²½0123 9\t\n\x0b\x0c\r\x1c\x85\xa0_-'\"!?.|<>~ſ中😀"
     texts = [None, "", "<|endoftext|> a", *("".join(RNG.choice(alphabet) for _ in range(RNG.randrange(40))) for _ in range(300))]
-    total = np.zeros(model.size, np.int64)
     k = 0
     for i, j, ids, count in model.column(pa.array(texts, pa.string())):
         for t, part in zip(texts[i:j], np.split(ids, np.cumsum(count)[:-1]), strict=True):
             assert part.tolist() == plain_ids(model, t).tolist(), t
-            total += np.bincount(part, minlength=model.size)
             k += 1
-    assert k == len(texts) and (model.counts(pa.array(texts, pa.string())) == total).all()
+    assert k == len(texts)
 
 
 def best_fit_decreasing(sizes, capacity):

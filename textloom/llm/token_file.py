@@ -1,13 +1,15 @@
 """Token-id output: shards of rANS blocks under one shared frequency table, written in doc_id order and read back.
 
-A first scan counts every id of every document; the table of at most one entry per vocabulary id is all the driver
-holds. A range exchange by doc_id then deals documents into shards, each task tokenises and encodes its own, and
-Spark's writer commits the blocks, so a lost executor only repeats its shard. A block is one row of the container:
+A first scan tokenises every document and keeps its ids, two bytes each where the vocabulary allows, in the shared folder; a second one counts
+them. The table of at most one entry per vocabulary id is all the driver holds. A range exchange by doc_id then deals the ids, not the
+texts, into shards, each task encodes its own, and Spark's writer commits the blocks, so a lost executor only repeats its
+shard. A block is one row of the container:
 (shard, block, start, doc_ids, lengths, n_tokens, payload, crc); payload is the self-describing block of `rans`, with checkpoints and
 checksums of its own, and crc covers the row's other columns. Readers need only the table, the block's row and the shard totals.
 
-Cases: a null or empty text is its end id alone. A very long text is a block of its own, of as many ids as it has. Documents of one doc_id stand side by side in text order; null
-doc_ids come first. An empty table makes no block and reads back as no rows. Other columns are not read.
+Cases: a null or empty text is its end id alone. A very long text is a block of its own, of as many ids as it has. Documents of one doc_id
+stand side by side in the order of their ids' bytes; null doc_ids come first. An empty table makes no block and reads back as no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import rans, tokens
-from textloom.llm.common import new_path, partitions, table
+from textloom.llm import textscan as ts
+from textloom.llm.common import new_path, partitions, passing, stage, table
 
 BLOCK_TOKENS = 1 << 20
 BLOCKS = "shard int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary, crc long"
@@ -35,29 +38,58 @@ def _crc(shard: int, block: int, start: int, names: list, lengths: list) -> int:
     return zlib.crc32(b"".join(x.tobytes() for x in (head, ids, null, np.array(lengths, np.int64))))
 
 
-def count_ids(documents: DataFrame, vocabulary: str, text: str = "text") -> rans.Table:
+def _kind(vocabulary: str) -> np.dtype:
+    return np.dtype("<u2" if tokens.encoder(vocabulary).size <= 1 << 16 else "<u4")
+
+
+def _rows(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of (ids, ...), and where each row's begin and end."""
+    data, offsets = ts.string_buffers(batch.column(0))
+    return data.view(kind) if len(data) else np.zeros(0, kind), offsets // kind.itemsize
+
+
+def tokenised(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ids, doc_id): every document's ids with the end id, packed."""
+
+    def run(batches):
+        model, kind = tokens.encoder(vocabulary), _kind(vocabulary)
+        for batch in batches:
+            for i, j, ids, count in model.column(batch.column(0)):
+                at = (np.concatenate([[0], np.cumsum(count)]) * kind.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([packed, batch.column(1).slice(i, j - i)], names=["ids", "doc_id"])
+
+    return documents.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id")).mapInArrow(run, "ids binary, doc_id long")
+
+
+def count_ids(ids: DataFrame, vocabulary: str) -> rans.Table:
     """Frequency table over all ids of all documents, with end ids."""
 
     def count(batches):
-        model = tokens.encoder(vocabulary)
-        total = np.zeros(model.size, np.int64)
+        total, kind = np.zeros(tokens.encoder(vocabulary).size, np.int64), _kind(vocabulary)
         for batch in batches:
-            total += model.counts(batch.column(0))
+            total += np.bincount(_rows(batch, kind)[0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     return rans.Table(rows.column("id").to_numpy(), rows.column("n").to_numpy())
 
 
 def write(documents: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, block_tokens: int = BLOCK_TOKENS) -> rans.Table:
     """Writes the documents' ids to path and returns the table that decodes them; it is also kept in path/table."""
     spark = documents.sparkSession
-    freq = count_ids(documents, vocabulary, text)
+    with passing(spark):
+        return _write(stage(spark, tokenised(documents, vocabulary, doc_id, text), "ids"), path, vocabulary, shards or partitions(spark), block_tokens)
+
+
+def _write(every: DataFrame, path: str, vocabulary: str, shards: int, block_tokens: int) -> rans.Table:
+    spark = every.sparkSession
+    freq = count_ids(every, vocabulary)
     shared = spark.sparkContext.broadcast(freq)
 
     def pack(batches):
-        model, codec, shard = tokens.encoder(vocabulary), shared.value, TaskContext.get().partitionId()
+        kind, codec, shard = _kind(vocabulary), shared.value, TaskContext.get().partitionId()
         block, start = 0, 0
         ids, lengths, names = [], [], []
 
@@ -69,32 +101,28 @@ def write(documents: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_i
             ), len(flat)
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            done = 0
-            for i, j, part, count in model.column(batch.column(1)):
-                done += j - i
-                at = np.concatenate([[0], np.cumsum(count)])
-                k = 0
-                while k < j - i:
-                    room = block_tokens - sum(map(len, ids))
-                    m = max(k + (not ids), int(np.searchsorted(at, at[k] + room, side="right")) - 1)
-                    if m > k:
-                        ids.append(part[at[k] : at[m]])
-                        lengths += count[k:m].tolist()
-                        names += doc_ids[i + k : i + m]
-                    if m < j - i:  # the next document doesn't fit
-                        out, n = row()
-                        yield out
-                        block, start = block + 1, start + n
-                        ids, lengths, names = [], [], []
-                    k = m
+            doc_ids, (part, at) = batch.column(1).to_pylist(), _rows(batch, kind)
+            count, k = np.diff(at), 0
+            while k < len(doc_ids):
+                room = block_tokens - sum(map(len, ids))
+                m = max(k + (not ids), int(np.searchsorted(at, at[k] + room, side="right")) - 1)
+                if m > k:
+                    ids.append(part[at[k] : at[m]].astype(np.uint32))
+                    lengths += count[k:m].tolist()
+                    names += doc_ids[k:m]
+                if m < len(doc_ids):  # the next document doesn't fit
+                    out, n = row()
+                    yield out
+                    block, start = block + 1, start + n
+                    ids, lengths, names = [], [], []
+                k = m
         if ids:
             yield row()[0]
 
     (
-        documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .repartitionByRange(shards or partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        every.repartitionByRange(shards, "doc_id")
+        .sortWithinPartitions("doc_id", "ids")
+        .select("ids", "doc_id")
         .mapInArrow(pack, BLOCKS)
         .write.option("compression", "none")
         .parquet(f"{path}/blocks")

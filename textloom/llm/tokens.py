@@ -179,23 +179,6 @@ class Encoder:
             out[np.arange(len(ids)) + np.repeat(np.arange(j - i), count)] = ids
             yield i, j, out, count + 1
 
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """How often each id occurs in a column, END_ID after each text included."""
-        total = np.zeros(self.size, np.int64)
-        for i, j, text, bounds, own in self._parts(column):
-            if text:
-                _, sure, place, back = self._places(text, bounds)
-                if sure:
-                    length = self.length[place]
-                    weight = np.repeat(np.bincount(back, minlength=len(place)), length)
-                    total += np.bincount(self._flatten(place, length), weights=weight, minlength=self.size).astype(np.int64)
-                else:
-                    total += np.bincount(self._simple(text, bounds)[0], minlength=self.size)
-            for ids in own.values():
-                total += np.bincount(ids, minlength=self.size)
-            total[END_ID] += j - i
-        return total
-
     def _parts(self, column: pa.Array):
         """Yields (first, last, simple texts end to end, where each begins and the last ends, ids of the other texts)."""
         data, offsets = ts.string_buffers(column)
