@@ -290,7 +290,14 @@ def _(spark, d):
     return c.join(F.broadcast(c.agg(F.sum("n").alias("t")))).select("source", "n", F.round(F.col("n") * 100.0 / F.col("t"), 6).alias("pct"))
 
 
-@query("win_chunk_pack")
+PACKED = f"""WITH p AS (SELECT doc_id, list_transform(range(1, len(a) + 1), lambda i: struct_pack(done := CAST([] AS STRUCT(first INT, last INT, size INT)[]), first := CAST(i AS INT), last := CAST(i AS INT), size := CAST(length(a[i]) AS INT))) AS l FROM (SELECT doc_id, {ARR} AS a FROM documents) WHERE len(a) > 0),
+r AS (SELECT doc_id, list_reduce(l, lambda x, y: CASE WHEN x.size + y.size + 1 <= 500 THEN struct_pack(done := x.done, first := x.first, last := y.last, size := x.size + y.size + 1)
+  ELSE struct_pack(done := list_append(x.done, struct_pack(first := x.first, last := x.last, size := x.size)), first := y.first, last := y.last, size := y.size) END) AS z FROM p),
+c AS (SELECT doc_id, list_append(z.done, struct_pack(first := z.first, last := z.last, size := z.size)) AS c FROM r)
+SELECT doc_id, CAST(k AS INT) AS chunk, c[k].first AS first, c[k].last AS last, c[k].size AS size FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS k FROM c)"""
+
+
+@query("win_chunk_pack", PACKED)
 def _(spark, d):
     return L.chunk_pack(docs(spark, d), 500)
 
