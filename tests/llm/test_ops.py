@@ -204,6 +204,14 @@ def test_zip64_directory_and_walk(tmp_path):
     assert sorted(gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x for x in found) == sorted(raw * 2)
 
 
+def test_very_long_and_tied_pages(spark):
+    """Pages beyond a range, equal ones, and equal rows."""
+    big = "".join(RNG.choice("abcdefghij<>") for _ in range(50_000)) * 120
+    df = spark.createDataFrame([(1, "u", big), (2, "u", big), (2, "u", big), (3, "v", "x"), (4, "v", "x")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc_zip.read(warc_zip.write(df, new_path(spark, "w"))).collect())
+    assert got == [(1, 6_000_000, "revisit", 2), (2, 6_000_000, "response", None), (2, 6_000_000, "response", None), (3, 1, "revisit", 4), (4, 1, "response", None)]
+
+
 def test_foreign_archives(spark, tmp_path):
     """Records of other writers: warcinfo, request, urn:uuid, no digest; classic and JSON indexes, compressed ones, and none."""
     import gzip

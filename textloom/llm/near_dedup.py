@@ -49,7 +49,7 @@ STEP = 1.34
 BLOCK = 64
 PIVOTS = 8
 COLUMNS = 1 << 16
-SHINGLES = 1 << 20
+SHINGLES = 1 << 19
 
 
 def signatures(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
