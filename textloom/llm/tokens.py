@@ -19,7 +19,9 @@ import pyarrow as pa
 from textloom.llm import textscan as ts
 
 END_ID = 1
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
+#: Bytes of texts that are cut at once.
+CHUNK = 1 << 19
 LIMIT = 0x300
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -65,6 +67,15 @@ def cut(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, stops[np.searchsorted(stops, start, side="right")]
 
 
+def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array with room for more behind what is used; it grows by halves, so that learning doesn't copy everything each time."""
+    if used + more <= len(a):
+        return a
+    out = np.empty(used + more + len(a) // 2, a.dtype)
+    out[:used] = a[:used]
+    return out
+
+
 class Encoder:
     """One vocabulary file; a worker keeps one, with a cache of at most CACHE_PIECES pieces."""
 
@@ -84,13 +95,10 @@ class Encoder:
 
     def _clear(self) -> None:
         # sorted hashes with, for each, its place among the learnt pieces: most in one run, the latest in another
-        self.old = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.young = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.learnt = 0
-        self.check = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.old = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.young = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.learnt = self.used = 0
+        self.check, self.at, self.length, self.flat = (np.zeros(0, t) for t in (np.uint64, np.int32, np.int32, np.uint32))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each of these sorted hashes, or -1."""
@@ -111,18 +119,18 @@ class Encoder:
             each = [self.whole(p) for p in pieces]
             ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
         starts = np.concatenate([[0], stops[:-1]])
-        keys, places = np.concatenate([self.young[0], hashes]), np.concatenate([self.young[1], np.arange(self.learnt, self.learnt + len(hashes))])
+        keys, places = np.concatenate([self.young[0], hashes]), np.concatenate([self.young[1], np.arange(self.learnt, self.learnt + len(hashes), dtype=np.int32)])
         order = np.argsort(keys, kind="stable")
         self.young = (keys[order], places[order])
         if len(keys) > 20_000 + len(self.old[0]) // 4:
             keys, places = np.concatenate([self.old[0], self.young[0]]), np.concatenate([self.old[1], self.young[1]])
             order = np.argsort(keys, kind="stable")
             self.old, self.young = (keys[order], places[order]), (keys[:0], places[:0])
-        self.learnt += len(hashes)
-        self.check = np.concatenate([self.check, sums])
-        self.at = np.concatenate([self.at, starts + len(self.flat)])
-        self.length = np.concatenate([self.length, stops - starts])
-        self.flat = np.concatenate([self.flat, ids])
+        self.check, self.at, self.length = (_room(x, self.learnt, len(hashes)) for x in (self.check, self.at, self.length))
+        own, self.flat = slice(self.learnt, self.learnt + len(hashes)), _room(self.flat, self.used, len(ids))
+        self.check[own], self.at[own], self.length[own] = sums, starts + self.used, stops - starts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.learnt, self.used = self.learnt + len(hashes), self.used + len(ids)
 
     def _places(self, text: str, bounds: np.ndarray):
         """Of texts below U+0300 that stand end to end: starts of pieces, their sums, distinct pieces' places, and which each piece is."""
@@ -153,7 +161,7 @@ class Encoder:
         return start, np.array_equal(self.check[place][back], sums), place, back
 
     def _flatten(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
-        upto = np.cumsum(length)
+        upto = np.cumsum(length, dtype=np.int64)
         return self.flat[np.repeat(self.at[place] - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
 
     def _simple(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +171,7 @@ class Encoder:
             each = [self.whole(text[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
             return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         by_piece = place[back]
-        length = self.length[by_piece]
+        length = self.length[by_piece].astype(np.int64)
         edge = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, bounds)]
         return self._flatten(by_piece, length), np.diff(edge)
 
@@ -182,7 +190,7 @@ class Encoder:
     def _parts(self, column: pa.Array):
         """Yields (first, last, simple texts end to end, where each begins and the last ends, ids of the other texts)."""
         data, offsets = ts.string_buffers(column)
-        for i, j in ts.chunks(offsets):
+        for i, j in ts.chunks(offsets, CHUNK):
             part = data[offsets[i] : offsets[j]]
             at = offsets[i : j + 1] - offsets[i]
             raw = part.tobytes()
