@@ -98,19 +98,18 @@ def chunk_chars(c: Column, most: int = 4990, late: int = 4900) -> Column:
     return F.regexp_extract_all(c, F.lit(shapes), F.lit(0))
 
 
-_VOWELS = re.compile("[aeiouyàâäáãåæéèêëíìîïóòôöõøœúùûüýÿ]+")
-
-
+VOWELS = "[aeiouyàâäáãåæéèêëíìîïóòôöõøœúùûüýÿ]+"
+LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 COUNTS = ("sentences", "words", "syllables", "letters", "long_words", "hard_words")
 #: Published readability formulas over the counts of a text, by name; `flesch` is the English reading ease, and three are its Spanish, one its Italian form.
 FORMULAS = {
     "flesch": lambda n, w, syl, c, lw, hw: 206.835 - 1.015 * w / n - 84.6 * syl / w,
     "kincaid": lambda n, w, syl, c, lw, hw: 0.39 * w / n + 11.8 * syl / w - 15.59,
-    "smog": lambda n, w, syl, c, lw, hw: 1.043 * (30.0 * hw / n) ** 0.5 + 3.1291,
+    "smog": lambda n, w, syl, c, lw, hw: 1.043 * F.sqrt(30.0 * hw / n) + 3.1291,
     "coleman_liau": lambda n, w, syl, c, lw, hw: 5.88 * c / w - 29.6 * n / w - 15.8,
     "automated": lambda n, w, syl, c, lw, hw: 4.71 * c / w + 0.5 * w / n - 21.43,
     "fog": lambda n, w, syl, c, lw, hw: 0.4 * (w / n + 100.0 * hw / w),
-    "linsear": lambda n, w, syl, c, lw, hw: (x := (w + 2.0 * hw) / n) / 2 - (1 if x <= 20 else 0),
+    "linsear": lambda n, w, syl, c, lw, hw: (w + 2.0 * hw) / n / 2 - F.when((w + 2.0 * hw) / n <= 20, 1).otherwise(0),
     "lix": lambda n, w, syl, c, lw, hw: w / n + 100.0 * lw / w,
     "fernandez_huerta": lambda n, w, syl, c, lw, hw: 206.84 - 60.0 * syl / w - 1.02 * w / n,
     "szigriszt": lambda n, w, syl, c, lw, hw: 206.835 - 62.3 * syl / w - w / n,
@@ -120,18 +119,22 @@ FORMULAS = {
 }
 
 
-@F.pandas_udf(T.StructType([*(T.StructField(n, T.LongType()) for n in COUNTS), *(T.StructField(n, T.DoubleType()) for n in FORMULAS)]))
-def readability(s: pd.Series) -> pd.DataFrame:
-    """Counts and formulas; syllables are runs of vowels, hard words have three or more, long ones seven letters. Formulas are null for a text without words."""
+def readability(c: Column) -> Column:
+    """Counts and formulas; syllables are runs of vowels, hard words have three or more, long ones seven letters. Formulas are rounded to four places, half up, and null for a text without words."""
 
-    def one(x):
-        w = re.findall(r"[^\W\d_]+", (x or "").lower())
-        n = max(1, len(re.findall("[.!?]+", x or "")))
-        syl = [max(1, len(_VOWELS.findall(y))) for y in w]
-        counts = n, len(w), sum(syl), sum(map(len, w)), sum(len(y) >= 7 for y in w), sum(k >= 3 for k in syl)
-        return *counts, *(round(f(*counts), 4) if w else None for f in FORMULAS.values())
+    def measured(words: Column) -> Column:
+        return F.transform(F.array(F.transform(words, lambda x: F.greatest(F.lit(1), F.regexp_count(x, F.lit(VOWELS))))), lambda syl: counted(words, syl))[0]
+
+    def counted(words: Column, syl: Column) -> Column:
+        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+        letters = F.transform(words, F.char_length)
+        values = F.greatest(F.lit(1), F.regexp_count(c, F.lit("[.!?]+"))), F.size(words), total(syl), total(letters), F.size(F.filter(letters, lambda x: x >= 7)), F.size(F.filter(syl, lambda x: x >= 3))
+        return F.struct(*(v.cast("long").alias(k) for k, v in zip(COUNTS, values, strict=True)))
 
-    return pd.DataFrame([one(x) for x in s], columns=[*COUNTS, *FORMULAS])
+    # an array of one holds what several expressions read
+    counts = F.transform(F.array(F.regexp_extract_all(F.lower(c), F.lit(LETTERS), F.lit(0))), measured)
+    scored = lambda x: F.struct(*(x[k].alias(k) for k in COUNTS), *(F.when(x["words"] > 0, F.floor(f(*(x[k].cast("double") for k in COUNTS)) * 10000 + 0.5) / 10000).alias(k) for k, f in FORMULAS.items()))
+    return F.transform(counts, scored)[0]
 
 
 @F.pandas_udf(T.StringType())

@@ -38,7 +38,6 @@ over_text("str_decode_fallback", TX, lambda c: F.when(F.is_valid_utf8(F.decode(F
 over_text("str_normalize_line", "", S.normalize_line)
 over_text("str_wrap_sentence", "", S.wrap_sentences)
 over_text("str_chunk_chars", "", S.chunk_chars)
-over_text("str_readability", "", S.readability)
 over_text("str_comment_strip", "", S.strip_hash_comments)
 over_text("str_code_strip", "", S.strip_python)
 over_text("sink_html_md", "", S.markdown_html)
@@ -50,6 +49,23 @@ over_text("json_blob_encode", f"'{{\"__blob_base64\":\"' || base64(encode({TX}))
 over_text("math_hex", f"lower(hex(length({TX}))) || '/' || CAST(length({TX}) % 256 AS VARCHAR)", lambda c: F.concat_ws("/", F.lower(F.hex(F.char_length(c))), F.pmod(F.conv(F.hex(F.char_length(c)), 16, 10).cast("int"), F.lit(256)).cast("string")))
 
 
+
+
+READABLE = f"""WITH d AS (SELECT doc_id, {TX} AS t, regexp_extract_all(lower({TX}), '{S.LETTERS}') AS a FROM documents),
+s AS (SELECT *, list_transform(a, lambda x: greatest(1, len(regexp_extract_all(x, '{S.VOWELS}')))) AS v FROM d),
+k AS (SELECT doc_id, greatest(1, len(regexp_extract_all(t, '[.!?]+'))) AS sentences, len(a) AS words, CAST(coalesce(list_sum(v), 0) AS BIGINT) AS syllables, CAST(coalesce(list_sum(list_transform(a, lambda x: length(x))), 0) AS BIGINT) AS letters, len(list_filter(a, lambda x: length(x) >= 7)) AS long_words, len(list_filter(v, lambda x: x >= 3)) AS hard_words FROM s),
+f AS (SELECT *, sentences::DOUBLE AS n, nullif(words, 0)::DOUBLE AS w, syllables::DOUBLE AS y, letters::DOUBLE AS c, long_words::DOUBLE AS lw, CASE WHEN words > 0 THEN hard_words::DOUBLE END AS hw FROM k)
+SELECT doc_id, sentences, words, syllables, letters, long_words, hard_words, floor((206.835::DOUBLE - 1.015::DOUBLE * w / n - 84.6::DOUBLE * y / w) * 10000 + 0.5) / 10000 AS flesch, floor((0.39::DOUBLE * w / n + 11.8::DOUBLE * y / w - 15.59::DOUBLE) * 10000 + 0.5) / 10000 AS kincaid,
+floor((1.043::DOUBLE * sqrt(30 * hw / n) + 3.1291::DOUBLE) * 10000 + 0.5) / 10000 AS smog, floor((5.88::DOUBLE * c / w - 29.6::DOUBLE * n / w - 15.8::DOUBLE) * 10000 + 0.5) / 10000 AS coleman_liau, floor((4.71::DOUBLE * c / w + 0.5::DOUBLE * w / n - 21.43::DOUBLE) * 10000 + 0.5) / 10000 AS automated,
+floor((0.4::DOUBLE * (w / n + 100 * hw / w)) * 10000 + 0.5) / 10000 AS fog, floor(((w + 2 * hw) / n / 2 - CASE WHEN (w + 2 * hw) / n <= 20 THEN 1 ELSE 0 END) * 10000 + 0.5) / 10000 AS linsear, floor((w / n + 100 * lw / w) * 10000 + 0.5) / 10000 AS lix, floor((206.84::DOUBLE - 60 * y / w - 1.02::DOUBLE * w / n) * 10000 + 0.5) / 10000 AS fernandez_huerta,
+floor((206.835::DOUBLE - 62.3::DOUBLE * y / w - w / n) * 10000 + 0.5) / 10000 AS szigriszt, floor((95.2::DOUBLE - 9.7::DOUBLE * c / w - 0.35::DOUBLE * w / n) * 10000 + 0.5) / 10000 AS gutierrez, floor(({-0.205 * 100!r}::DOUBLE * n / w + {0.049 * 100!r}::DOUBLE * y / w - 3.407::DOUBLE) * 10000 + 0.5) / 10000 AS crawford, floor((89 + (300 * n - 10 * c) / w) * 10000 + 0.5) / 10000 AS gulpease FROM f"""
+
+
+@query("str_readability", READABLE)
+def _(spark, d):
+    return docs(spark, d).select("doc_id", S.readability(text()).alias("r")).select("doc_id", "r.*")
+
+
 @query("str_clean_stem", "SELECT p_partkey, replace(trim(regexp_replace(regexp_replace(s, '_[0-9]+$', ''), ' ?\\([0-9]+\\)$', '')), ' ', '_') AS value FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '_' || p_size ELSE p_name || ' (' || p_size || ')' END AS s FROM part)")
 def _(spark, d):
     s = F.when(F.col("p_size") % 2 == 0, F.concat_ws("_", "p_name", F.col("p_size").cast("string"))).otherwise(F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")))
