@@ -195,11 +195,12 @@ def _(spark, d):
     return p.select("p_partkey", F.from_xml("x", "type string, glob array<string>").alias("m")).select("p_partkey", F.col("m.type").alias("mime"), F.explode("m.glob").alias("ext"))
 
 
-@query("scan_html_entry")
+@query("scan_html_entry", "SELECT p_name AS word, 'n.' AS part_of_speech, p_type || chr(10) || p_brand AS senses, CAST(p_size AS VARCHAR) AS quotes FROM part")
 def _(spark, d):
+    """Senses and quotes are given with a line each."""
     entry = F.concat(F.lit("<h1>"), "p_name", F.lit("</h1><pos>n.</pos><def>"), "p_type", F.lit("</def><def>"), "p_brand", F.lit("</def><q>"), F.col("p_size").cast("string"), F.lit("</q>"))
     grab = lambda tag: F.regexp_extract_all("e", F.lit(f"<{tag}>(.*?)</{tag}>"), F.lit(1))
-    return load(spark, d, "part").select(entry.alias("e")).select(F.get(grab("h1"), F.lit(0)).alias("word"), F.get(grab("pos"), F.lit(0)).alias("part_of_speech"), grab("def").alias("senses"), grab("q").alias("quotes"))
+    return load(spark, d, "part").select(entry.alias("e")).select(F.get(grab("h1"), F.lit(0)).alias("word"), F.get(grab("pos"), F.lit(0)).alias("part_of_speech"), F.array_join(grab("def"), "\n").alias("senses"), F.array_join(grab("q"), "\n").alias("quotes"))
 
 
 @query("scan_archive_members", f"SELECT 'src' || (doc_id % 8) AS path, doc_id || '.txt' AS member, strlen({TX}) AS size FROM documents")
@@ -568,17 +569,21 @@ def _(spark, d):
     return x.groupBy("kind", "name", "digest").agg(F.count("*").alias("cnt"), F.min("p_partkey").alias("first")).filter("cnt > 1")
 
 
-@query("udtf_extract_entities")
+@query("udtf_extract_entities", "SELECT p_partkey, unnest(['f' || k, 'C' || k, 'LIMIT']) AS name, unnest(['function', 'class', 'constant']) AS kind, CAST(unnest([1, 5, 9]) AS INT) AS first, CAST(unnest([3, 6, 9]) AS INT) AS last FROM (SELECT p_partkey, p_partkey % 7 AS k FROM part)")
 def _(spark, d):
     return sources(spark, d).select("p_partkey", F.inline(ST.definitions("src"))).select("p_partkey", "name", "kind", "first", "last")
 
 
-@query("udtf_imports")
+@query("udtf_imports", "SELECT module, count(*) AS cnt FROM (SELECT unnest(['os', 'json']) AS module FROM part) GROUP BY module")
 def _(spark, d):
     return sources(spark, d).select("p_partkey", F.explode(ST.imported_modules("src")).alias("module")).groupBy("module").agg(F.count("*").alias("cnt"))
 
 
-@query("udf_map_files")
+#: What splits words in Python: the white space of Unicode and four separators of ASCII.
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query("udf_map_files", f"SELECT doc_id, len(regexp_extract_all(text, '[^{WHITE}]+')) AS value, CASE WHEN text IS NULL THEN 'AttributeError' END AS error FROM documents")
 def _(spark, d):
     """The extension point: any function of a text, with its error as a column instead of a failed task."""
 
