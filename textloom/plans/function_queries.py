@@ -37,7 +37,6 @@ over_text("str_base64_find", f"CAST(len(regexp_extract_all({TX}, '[A-Za-z0-9+/]{
 over_text("str_decode_fallback", TX, lambda c: F.when(F.is_valid_utf8(F.decode(F.encode(c, "UTF-8"), "UTF-8")), F.decode(F.encode(c, "UTF-8"), "UTF-8")).otherwise(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")))
 over_text("str_normalize_line", "", S.normalize_line)
 over_text("str_wrap_sentence", "", S.wrap_sentences)
-over_text("str_chunk_chars", "", S.chunk_chars)
 over_text("str_comment_strip", "", S.strip_hash_comments)
 over_text("str_code_strip", "", S.strip_python)
 over_text("sink_html_md", "", S.markdown_html)
@@ -66,6 +65,18 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", S.readability(text()).alias("r")).select("doc_id", "r.*")
 
 
+CHUNKS = f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS n, 0 AS num, '' AS chunk, {TX} AS rest FROM documents UNION ALL
+SELECT doc_id, k, num + 1, substr(rest, 1, k), substr(rest, k + 1) FROM (SELECT doc_id, num, rest, CASE WHEN length(rest) <= 4990 THEN length(rest)
+WHEN regexp_matches(substr(rest, 4901, 90), '[.!?]') THEN 4990 - length(regexp_extract(substr(rest, 4901, 90), '[^.!?]*$'))
+WHEN contains(substr(rest, 2, 4989), ' ') THEN 4990 - length(regexp_extract(substr(rest, 2, 4989), '[^ ]*$')) ELSE 4990 END AS k FROM c WHERE rest <> ''))
+SELECT doc_id, CAST(num - 1 AS INT) AS num, chunk FROM c WHERE num > 0"""
+
+
+@query("str_chunk_chars", CHUNKS)
+def _(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(S.chunk_chars(text())).alias("num", "chunk"))
+
+
 @query("str_clean_stem", "SELECT p_partkey, replace(trim(regexp_replace(regexp_replace(s, '_[0-9]+$', ''), ' ?\\([0-9]+\\)$', '')), ' ', '_') AS value FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '_' || p_size ELSE p_name || ' (' || p_size || ')' END AS s FROM part)")
 def _(spark, d):
     s = F.when(F.col("p_size") % 2 == 0, F.concat_ws("_", "p_name", F.col("p_size").cast("string"))).otherwise(F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")))
