@@ -356,3 +356,17 @@ def test_staged_tables_go_with_their_scope(spark):
         spark.read.parquet(a.staged_at)
     staging.drop(spark, b)
     assert b.staged_at not in staging._all
+
+
+def test_pickles_run_nothing(spark):
+    """Plain values come as JSON; what names a function, is broken or null gives null."""
+    import pickle
+
+    class Call:
+        def __reduce__(self):
+            return print, ("ran",)
+
+    raw = [pickle.dumps({"a": [1, 2.5, None, "é"], "b": (True, {"c": 1})}), pickle.dumps(Call()), b"no", b"", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "i int, x binary")
+    got = [r[0] for r in df.orderBy("i").select(ST.pickle_json("x")).collect()]
+    assert got == ['{"a":[1,2.5,null,"é"],"b":[true,{"c":1}]}', None, None, None, None]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import pickle
 
 
 def break_line(s: str, width: int) -> list[str]:
@@ -27,3 +29,18 @@ def repeated_keys(text: str) -> list[str]:
 
     json.loads(text, object_pairs_hook=pairs)
     return sorted(twice)
+
+
+class PlainUnpickler(pickle.Unpickler):
+    """Loads lists, maps, strings, numbers and the like; a pickle that names a class or a function is refused, so nothing of it runs."""
+
+    def find_class(self, module, name):
+        raise pickle.UnpicklingError(f"{module}.{name}")
+
+
+def pickle_json(raw: bytes) -> str | None:
+    """The value of a pickle as JSON; null for one that is broken, names a class or has no JSON form."""
+    try:
+        return json.dumps(PlainUnpickler(io.BytesIO(raw)).load(), ensure_ascii=False, separators=(",", ":"), default=str)
+    except Exception:  # noqa: BLE001, a broken pickle can raise anything
+        return None

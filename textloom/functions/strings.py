@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions import documents, fuzzy, signatures
+from textloom.functions import breaks, documents, fuzzy, signatures
 from textloom.functions.breaks import break_line, repeated_keys
 
 
@@ -366,6 +366,21 @@ def flat_json(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else documents.flatten(json.loads(x)))
 
 
+@F.pandas_udf(T.StringType())
+def pickle_json(s: pd.Series) -> pd.Series:
+    """Pickles of plain values as JSON; null for others."""
+    return s.map(lambda x: None if x is None else breaks.pickle_json(x))
+
+
+@F.pandas_udf(T.BinaryType())
+def json_pickle(s: pd.Series) -> pd.Series:
+    """JSON as a pickle of its value."""
+    import json
+    import pickle
+
+    return s.map(lambda x: None if x is None else pickle.dumps(json.loads(x)))
+
+
 @F.pandas_udf(T.StringType())
 def nested_json(s: pd.Series) -> pd.Series:
     """The JSON that a flat list of parts stands for."""

@@ -610,6 +610,14 @@ def _(spark, d):
     return p.select("p_partkey", "whole", ST.flat_json("whole").alias("flat")).select("p_partkey", "flat", (ST.nested_json("flat") == F.col("whole")).alias("back"))
 
 
+@query("scan_pickle", "SELECT p_partkey, '{\"name\":\"' || p_name || '\",\"size\":' || p_size || '}' AS value FROM part")
+def _(spark, d):
+    """Pickles, here a column; of files it is the column `content`."""
+    p = load(spark, d, "part")
+    raw = p.select("p_partkey", ST.json_pickle(F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")))).alias("content"))
+    return staged(spark, raw, "pickles").select("p_partkey", ST.pickle_json("content").alias("value"))
+
+
 # ---- languages ----
 
 #: Frequent words of each language; words that two of them share are in neither list.
