@@ -3,7 +3,7 @@
 numpy cuts texts into pre-tokens and hashes each by prefix sums. A minimal perfect hash of the vocabulary (hash, displace: every token has a
 slot of its own among as many slots as there are tokens) names the one token that a pre-token can be, and their bytes are compared, so a hit is exact. What is in no
 slot is merged byte by byte: pairs wait in a heap by rank and place, links join what is left, and out-dated pairs are passed over. A worker
-keeps at most CACHE_PIECES merged pre-tokens.
+keeps at most CACHE_PIECES merged pre-tokens, and those of the slice at hand.
 
 The driver reads the vocabulary, makes the tables (a few MB, by the size of the vocabulary file and of Unicode) and broadcasts them; executors need no file. Which characters are letters, numbers and
 spaces is what the tiktoken library's own expressions say.
@@ -15,6 +15,7 @@ empty table gives no rows. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import hashlib
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from textloom.llm import textscan as ts
 from textloom.llm.common import table
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 CACHED_BYTES = 64
 SLICE = 1 << 19
 BLOCK = 1 << 18
@@ -100,8 +101,11 @@ class Tables:
         return {raw[b : b + s]: i for b, s, i in zip(self.begin.tolist(), self.size.tolist(), self.ids.tolist(), strict=True)}
 
     @functools.cached_property
-    def longest(self) -> int:
-        return int(self.size.max(initial=0))
+    def single(self) -> np.ndarray:
+        """The id of every byte."""
+        out, one = np.zeros(256, np.int64), np.flatnonzero(self.size == 1)
+        out[self.flat[self.begin[one]]] = self.ids[one]
+        return out
 
     @functools.cached_property
     def places(self) -> np.ndarray:
@@ -111,7 +115,17 @@ class Tables:
         return out
 
     @functools.cached_property
-    def cache(self) -> dict[bytes, list[int]]:
+    def pairs(self) -> np.ndarray:
+        """The rank of every two bytes, or -1."""
+        out = np.full(1 << 16, -1, np.int64)
+        two = np.flatnonzero(self.size == 2)
+        at = self.begin[two]
+        out[self.flat[at].astype(np.int64) << 8 | self.flat[at + 1]] = self.ids[two]
+        return out
+
+    @functools.cached_property
+    def cache(self) -> dict[bytes, bytes]:
+        """Packed ids of pre-tokens; of at most CACHE_PIECES and those of one slice."""
         return {}
 
     def __getstate__(self):
@@ -178,28 +192,64 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Ids of a pre-token: while some neighbours are a token together, those of the least rank become one, the first of them where ranks are equal."""
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part reaches from its place to the next one's; 0 in `after`: it is gone
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+def merged(piece: bytes, ids: list[int], pairs: list[int], ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a pre-token: while some neighbours are a token together, those of the least rank become one, the first of them where ranks are equal.
+
+    ids: of the single bytes. pairs: for every place rank << 32 | place of the pair that begins there, or -1; the heap holds the same, and what differs from it by now is out of date.
+    """
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part reaches from its place to the next one's
+    heap = [x for x in pairs if x >= 0]
     heapq.heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
+        x = heapq.heappop(heap)
+        i = x & 0xFFFFFFFF
+        if pairs[i] != x:
+            continue
         k = after[i]
-        if not k or k >= n or after[k] != end:
-            continue  # one of the two has changed
-        after[i], after[k] = end, 0
+        after[i] = end = after[k]
+        ids[i], ids[k], pairs[i], pairs[k] = x >> 32, -1, -1, -1
         if end < n:
             before[end] = i
-            if after[end] - i <= longest and (r := ranks.get(piece[i : after[end]])) is not None:
-                heapq.heappush(heap, (r, i, after[end]))
-        if (p := before[i]) >= 0 and end - p <= longest and (r := ranks.get(piece[p:end])) is not None:
-            heapq.heappush(heap, (r, p, end))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+            if (rank := get(piece[i : after[end]])) is not None:
+                pairs[i] = rank << 32 | i
+                heapq.heappush(heap, pairs[i])
+        if i:
+            p = before[i]
+            pairs[p] = -1
+            if (rank := get(piece[p:end])) is not None:
+                pairs[p] = rank << 32 | p
+                heapq.heappush(heap, pairs[p])
+    return [i for i in ids if i >= 0]
+
+
+def learn(own: Tables, pieces: list[bytes]) -> list[bytes]:
+    """Packed ids of pre-tokens; bytes and pairs of bytes are looked up all at once."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(size)
+    pairs = np.full(len(data), -1, np.int64)
+    pairs[:-1] = own.pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
+    pairs[ends - 1] = -1
+    pairs = np.where(pairs < 0, -1, pairs << 32 | _spread(np.zeros(len(pieces), np.int64), size)).tolist()
+    ids, ranks, at, out = own.single[data].tolist(), own.ranks, 0, []
+    for piece, end in zip(pieces, ends.tolist(), strict=True):
+        out.append(array.array("I", merged(piece, ids[at:end], pairs[at:end], ranks)).tobytes())
+        at = end
+    return out
+
+
+def looked_up(own: Tables, pieces: list[bytes]) -> list[bytes]:
+    """Packed ids of pre-tokens, from the worker's cache or merged."""
+    cache = own.cache
+    if len(cache) > CACHE_PIECES:
+        cache.clear()
+    out = list(map(cache.get, pieces))
+    new = dict.fromkeys(p for p, x in zip(pieces, out, strict=True) if x is None)
+    if new:
+        new.update(zip(new, learn(own, list(new)), strict=True))
+        out = [new[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
+        cache.update((p, x) for p, x in new.items() if len(p) <= CACHED_BYTES)
     return out
 
 
@@ -233,21 +283,11 @@ def encode_texts(own: Tables, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarra
     ids, count = own.ids[token], np.ones(len(start), np.int64)
     missed = np.flatnonzero(~hit)
     if len(missed):
-        found, cache, ranks, longest = [], own.cache, own.ranks, own.longest
-        for s, e in zip(start[missed].tolist(), end[missed].tolist(), strict=True):
-            piece = raw[s:e]
-            one = cache.get(piece)
-            if one is None:
-                one = merged(piece, ranks, longest)
-                if e - s <= CACHED_BYTES:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    cache[piece] = one
-            found.append(one)
-        count[missed] = np.fromiter(map(len, found), np.int64, len(found))
+        found = looked_up(own, [raw[s:e] for s, e in zip(start[missed].tolist(), end[missed].tolist(), strict=True)])
+        count[missed] = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         upto = np.cumsum(count)
         out = np.repeat(ids, count)
-        out[_spread(upto[missed] - count[missed], count[missed])] = np.fromiter(itertools.chain.from_iterable(found), np.int64)
+        out[_spread(upto[missed] - count[missed], count[missed])] = np.frombuffer(b"".join(found), np.uint32)
         ids = out
     edge = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, bounds)]
     return ids.astype(np.uint32), np.diff(edge)
