@@ -102,13 +102,6 @@ def _(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(S.parse_size(s), 4).alias("value"))
 
 
-@query("str_spell_unknown", f"SELECT w.doc_id, CAST(w.pos AS INT) AS pos, w.word FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS word FROM (SELECT doc_id, regexp_extract_all(lower({TX}), '[a-z]{{3,}}') AS a FROM documents)) w WHERE w.word NOT IN (SELECT word FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower({TX}), '[a-z]{{3,}}')) AS word FROM documents) GROUP BY word HAVING count(*) >= 5)")
-def _(spark, d):
-    w = L.words(docs(spark, d), "alpha3")
-    known = w.select("doc_id", "word").distinct().groupBy("word").agg(F.count("*").alias("n")).filter("n >= 5").select("word")
-    return w.join(known, "word", "left_anti").select("doc_id", "pos", "word")
-
-
 #: English function words, which don't count.
 STOP = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
