@@ -1,11 +1,16 @@
 """Near strings, leaders, languages and merges against brute force."""
 
+import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from textloom.operators import edits
+from textloom.functions import times
+from textloom.operators import edits, languages
+from textloom.operators import lines as L
 from textloom.staging import stage
+from textloom.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +70,94 @@ def test_misspellings(spark, cut):
     known = spark.createDataFrame([("the", 9), ("house", 5), ("horse", 7)], "word string, n long")
     got = sorted(tuple(r) for r in edits.misspellings(docs, known, cut).collect())
     assert got == [(1, "HAUSE", 20, 25, "house", ["house"]), (1, "Hose", 35, 39, "horse", ["horse", "house"]), (1, "hause", 4, 9, "house", ["house"])]
+
+
+# ---- languages ----
+
+
+def test_grams():
+    """Every letter with its neighbours in the text's runs of letters between single blanks."""
+    rng = random.Random(4)
+    texts = [None, "", "  ", "a", "Éa-b", *("".join(rng.choice("aB ,\né1ßК") for _ in range(rng.randrange(40))) for _ in range(60))]
+    code, of = languages.grams(texts)
+    got = sorted((int(k), "".join(chr(int(c) >> s & 0x1FFFFF) for s in (42, 21, 0))) for c, k in zip(code, of, strict=True))
+    want = []
+    for k, t in enumerate(texts):
+        low = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t or "").split()) + " "
+        want += [(k, low[i - 1 : i + 2]) for i in range(1, len(low) - 1) if low[i] != " "]
+    assert got == sorted(want)
+
+
+def test_held_out_languages(spark, sf):
+    """Trained on four fifths of the documents: right on the rest, also on its lines where it is sure; unsure lines are wrong more often than sure ones."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
+    rest = docs.filter("fold = 0")
+    lines = L.lines(rest, "doc_id", "text", "lang").filter("length(line) >= 3").withColumn("a.b", F.lit(1))
+    model = languages.calibrated(languages.train(docs.filter("fold <> 0")), lines, "line")
+    whole = languages.detect(rest, model, "text", "doc_id", "lang").toPandas()
+    assert len(whole) == rest.count() and (whole.guess == whole.lang).mean() > 0.95
+    each = languages.detect(lines, model, "line", "a.b", "lang").toPandas()
+    each = each[each.guess != "und"]
+    sure = each[each.confidence >= 0.6]
+    assert list(each.columns) == ["a.b", "lang", "guess", "confidence", "cost"] and len(sure) > 0.9 * len(each) and (sure.guess == sure.lang).mean() > 0.97
+    assert abs((each.guess == each.lang).mean() - each.confidence.mean()) < 0.03  # what it says of itself is so
+
+
+def test_languages_of_nothing(spark):
+    model = languages.train(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string"))
+    assert model.languages == [] and model.detect(["abc"])[0] == ["und"]
+    model = languages.train(spark.createDataFrame([("der die das", "de"), ("the of and", "en")], "text string, lang string"))
+    got = languages.detect(spark.createDataFrame([(1, None), (2, ""), (3, "12 -"), (4, "the and"), (5, "die")], "id long, t string"), model, "t", "id")
+    assert [(r.id, r.guess) for r in got.orderBy("id").collect()] == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de")]
+
+
+# ---- streams ----
+
+
+def test_marked_batches(spark, tmp_path):
+    """A batch that is killed between its rows and its mark is written once in the end; a run without a checkpoint goes on above the mark."""
+    src, sink = f"file://{tmp_path}/src", f"file://{tmp_path}/sink"
+    write = lambda a, b: spark.range(a, b).selectExpr("id", "id * 10 AS at").repartition(3).write.mode("append").parquet(src)
+    run = lambda apply, mark: streams.upsert_batches(streams.watch(spark, src, "id long, at long", per_trigger=1), apply, f"file://{tmp_path}/{mark}")
+    write(0, 30)
+    good, seen = streams.mark_batches(sink, "a", "at"), []
+
+    def dying(batch, n):
+        seen.append(n)
+        if n == 1:
+            batch.limit(2).write.mode("overwrite").parquet(f"{sink}/rows/run=a/batch=1")  # some rows, no mark
+            raise RuntimeError("killed")
+        good(batch, n)
+
+    with pytest.raises(Exception, match="killed"):
+        run(dying, "one")
+    assert streams.marked(spark, sink, "id long, at long").count() == 10
+    run(good, "one")
+    good(spark.createDataFrame([(999, 9990)], "id long, at long"), 2)  # a repeated batch changes nothing
+    assert sorted(r.id for r in streams.marked(spark, sink, "id long, at long").collect()) == list(range(30))
+    write(25, 50)
+    run(streams.mark_batches(sink, "b", "at"), "two")
+    rows = sorted((r.id, r.run) for r in streams.marked(spark, sink, "id long, at long").collect())
+    assert rows == [(i, "a") for i in range(30)] + [(i, "b") for i in range(30, 50)]
+
+
+def test_runs_over_batches(spark, tmp_path):
+    """Runs that go on over several batches, out of order within the delay; all come out, as the batch operator has them."""
+    rng, src = random.Random(6), f"file://{tmp_path}/src"
+    rows = [(k % 3, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=5 * k + rng.randrange(4)), rng.choice("aab")) for k in range(150)]
+    schema = "k long, ts timestamp, v string"
+    full = lambda df: df.withColumn("s", F.unix_micros("ts") / 1e6).withColumn("t", F.col("s") + 2)
+    seen = []
+    for n in range(3):
+        part = rows[n * 50 : n * 50 + 50]
+        rng.shuffle(part)
+        df = full(spark.createDataFrame(part, schema))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = streams.runs(streams.watch(spark, src, df.schema), "k", "ts", "s", "t", "v", 14.0, "10 seconds")
+        streams.drain(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/mark")
+        seen.append(spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/out").count())
+    streams.flush(spark, src, df.schema, "ts")
+    streams.drain(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/mark")
+    got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/out").collect())
+    want = times.merge_gaps(full(spark.createDataFrame(rows, schema)), "k", "s", "t", "v", 14.0).select("k", "v", "s", "t", "n").collect()
+    assert got == sorted(tuple(r) for r in want) and 0 < seen[0] < seen[1] < seen[2] < len(got)

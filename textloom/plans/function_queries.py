@@ -310,13 +310,6 @@ def _(spark, d):
     return T.merge_gaps(e, "user_id", "s", "t", "event_type", 600.0)
 
 
-@query("stream_resume_max_end", "SELECT event_id FROM events WHERE ts > (SELECT quantile_disc(ts, 0.9) FROM events)")
-def _(spark, d):
-    e = load(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
-    mark = e.agg(F.expr("percentile_disc(0.9) within group (order by ts)").alias("mark"))
-    return e.join(F.broadcast(mark)).filter("ts > mark").select("event_id")
-
-
 # ---- maps and json ----
 
 
@@ -385,13 +378,3 @@ def _(spark, d):
     color = F.format_string("#%06x", F.pmod(F.col("p_partkey") * 7919, F.lit(16777216)))
     p = load(spark, d, "part").select("p_partkey", color.alias("color")).filter(F.col("color").rlike("^#[0-9a-f]{6}$"))
     return L.sort_all(p.withColumn("hsv", S.hsv(F.col("color"))), "hsv", "p_partkey").select("p_partkey", "color", "hsv.*")
-
-
-# ---- languages ----
-
-
-@query("lang_vote", "SELECT doc_id, CASE WHEN v >= 2 OR (v = 1 AND k = 1) THEN 'other' ELSE 'english' END AS verdict FROM (SELECT doc_id, CAST(lang <> 'en' AS INT) + CAST(regexp_matches(coalesce(text, ''), '[éèêàçñßüöä]') AS INT) + CAST(NOT contains(coalesce(text, ''), ' the ') AS INT) AS v, 3 AS k FROM documents)")
-def _(spark, d):
-    votes = F.array(F.col("lang") != "en", text().rlike("[éèêàçñßüöä]"), ~text().contains(" the "))
-    v, k = F.size(F.filter(votes, lambda x: x)), F.size(F.filter(votes, lambda x: x.isNotNull()))
-    return docs(spark, d).select("doc_id", F.when((v >= 2) | ((v == 1) & (k == 1)), "other").otherwise("english").alias("verdict"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.plans.catalog import load, query
+from textloom.plans.function_queries import GAP
 from textloom.staging import new_path as scratch
 from textloom.streaming import streams as S
 
@@ -69,13 +70,29 @@ def _(spark, d):
     return drained(spark, S.first_seen(S.watch(spark, *fed(spark, d)), "user_id", "ts", "3650 days").select("user_id"))
 
 
-SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE FROM events)"""
+@query("stream_session_merge", GAP)
+def _(spark, d):
+    """Runs of equal events of a user, those still open at the end as well: the stream twin of win_gap_merge."""
+    src = scratch(spark, "feed")
+    second = F.unix_micros("ts") / 1e6
+    events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_type", "ts", second.alias("s"), (second + 30).alias("t"))
+    events.repartition(4).write.parquet(src)
+    df = S.runs(S.watch(spark, src, events.schema), "user_id", "ts", "s", "t", "event_type", 600.0, "1 minute")  # one trigger takes all files, so that none is late
+    out, mark = scratch(spark, "sink"), scratch(spark, "checkpoint")
+    S.drain(df, out, mark)
+    S.flush(spark, src, events.schema, "ts")
+    S.drain(df, out, mark)
+    return spark.read.schema(df.schema).parquet(out).filter("user_id is not null")
 
 
-@query("stream_session_merge", SESSIONS)
+@query("stream_resume_max_end", "SELECT event_id, CASE WHEN epoch_us(ts) <= (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events) THEN 'first' ELSE 'second' END AS run FROM events")
 def _(spark, d):
-    # one trigger takes all files, so that none is late
-    out = drained(spark, S.sessions(S.watch(spark, *fed(spark, d)), "user_id", "ts", "10 minutes", "1 minute"))
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    """Two runs over a folder that grows; the second starts without the first one's checkpoint and takes what lies above the mark that was written with its rows."""
+    src, sink = scratch(spark, "feed"), scratch(spark, "marked")
+    events = load(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    half = events.agg(F.expr("(min(at) + max(at)) div 2").alias("half"))
+    dealt = events.join(F.broadcast(half))  # one row
+    for run, part in (("first", dealt.filter("at <= half")), ("second", dealt.filter("at > half"))):
+        part.select("event_id", "at").repartition(3).write.mode("append").parquet(src)
+        S.upsert_batches(S.watch(spark, src, events.schema, per_trigger=2), S.mark_batches(sink, run, "at"), scratch(spark, "checkpoint"))
+    return S.marked(spark, sink, "event_id long, at long").select("event_id", "run")

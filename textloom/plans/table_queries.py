@@ -12,7 +12,7 @@ from textloom.operators import similarity as S
 from textloom.sources import files as FI
 from textloom.sources import tables as TB
 from textloom.plans.catalog import load, query
-from textloom.plans.text_queries import ARR, LINES, WORDS, all_lines, docs
+from textloom.plans.text_queries import LINES, all_lines, docs
 from textloom.staging import new_path as scratch
 from textloom.staging import stage as staged
 
@@ -616,50 +616,3 @@ def _(spark, d):
     p = load(spark, d, "part")
     raw = p.select("p_partkey", ST.json_pickle(F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")))).alias("content"))
     return staged(spark, raw, "pickles").select("p_partkey", ST.pickle_json("content").alias("value"))
-
-
-# ---- languages ----
-
-#: Frequent words of each language; words that two of them share are in neither list.
-PROFILES = {
-    "en": "the and that with for this have from they will would there their what about which when your them been has were who".split(),
-    "de": "der und die das nicht ist mit auf sich dem auch wie wird bei einer eine einen sind noch werden durch aber oder nach".split(),
-    "fr": "les une des pour dans qui sur pas plus avec est sont cette vous nous ils leur aux mais ont comme par tout fait".split(),
-    "es": "que los las una del por para con como pero sus este esta entre cuando muy sin sobre ser tiene desde todo hay donde".split(),
-}
-
-
-def detected(spark, words, *keys):
-    prof = spark.createDataFrame([(w, lang) for lang, ws in PROFILES.items() for w in ws], "word string, guess string")  # a fixed list
-    n = words.join(F.broadcast(prof), "word").groupBy(*keys, "guess").agg(F.count("*").alias("n"))
-    return n.groupBy(*keys).agg(F.max(F.struct("n", "guess")).alias("m")).select(*keys, F.col("m.guess").alias("guess"), F.col("m.n").alias("hits"))
-
-
-GUESS = "CASE " + " ".join(f"WHEN word IN ({', '.join(repr(w) for w in ws)}) THEN '{g}'" for g, ws in PROFILES.items()) + " END"
-
-
-@query("lang_detect_doc", f"SELECT doc_id, max((n, guess))[2] AS guess, max((n, guess))[1] AS hits FROM (SELECT doc_id, {GUESS} AS guess, count(*) AS n FROM {WORDS} WHERE {GUESS} IS NOT NULL GROUP BY 1, 2) GROUP BY doc_id")
-def _(spark, d):
-    return detected(spark, L.words(docs(spark, d)), "doc_id")
-
-
-LINE_WORDS = f"(SELECT doc_id, pos, unnest(list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM {LINES} WHERE length(line) >= 3)"
-
-
-@query("lang_detect_line", f"SELECT doc_id, CAST(pos AS INT) AS line_no, max((n, guess))[2] AS guess, max((n, guess))[1] AS hits FROM (SELECT doc_id, pos, {GUESS} AS guess, count(*) AS n FROM {LINE_WORDS} WHERE {GUESS} IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2")
-def _(spark, d):
-    rows = all_lines(spark, d).filter("length(line) >= 3")
-    return detected(spark, L.words(rows.withColumnRenamed("pos", "line_no"), "alpha", "doc_id", "line", "line_no").select("doc_id", "line_no", "word"), "doc_id", "line_no")
-
-
-@query("lang_strict_english", f"SELECT w.doc_id, avg(CAST(word IN ({', '.join(repr(w) for w in PROFILES['en'])}) AS INT)) >= 0.05 AS english FROM {WORDS} w GROUP BY w.doc_id")
-def _(spark, d):
-    known = F.col("word").isin(*PROFILES["en"])
-    return L.words(docs(spark, d)).groupBy("doc_id").agg((F.count_if(known) / F.count("*") >= 0.05).alias("english"))
-
-
-@query("lang_partition_files", "SELECT lang, count(*) AS cnt FROM documents GROUP BY lang")
-def _(spark, d):
-    path = scratch(spark, "lang")
-    docs(spark, d).select("doc_id", "text", "lang").write.partitionBy("lang").parquet(path)
-    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("cnt"))
