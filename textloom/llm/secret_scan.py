@@ -6,7 +6,8 @@ WINDOW characters slides over each: of the counts, packed in a few 64-bit number
 and the one of the character that leaves change, and with them the sum of c*log2(c), kept in fixed point so that it never
 drifts; entropy is log2(w) - sum/w. The class of the candidate (hexadecimal, base-64, letters) sets the threshold.
 Windows above it merge into `entropy` spans. The allow-list suppresses candidates of a harmless shape, and windows that
-overlap a placeholder; the patterns' own spans always stay. Time is linear in a text, however long its candidates are.
+overlap a placeholder; the patterns' own spans always stay. Blocks of a candidate are
+scanned each on its own, WINDOW places early, and spans that touch are joined, so time is linear in a text, however long its candidates and however many their spans are.
 All of it is projection: no shuffle, no Python, so hot sources can't skew it.
 
 Cases: a null or empty text has no spans. A very long text, or one that is a single candidate, costs time and memory in
@@ -23,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, text_or_empty
+from textloom.llm.common import table
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: Fixed patterns: what matches, the group that must be long enough, and how long.
@@ -50,6 +51,8 @@ PLACEHOLDERS = ("example", "sample", "placeholder", "dummy", "changeme", "redact
 UNIT = 40
 #: Matches whose places are summed up together.
 BLOCK = 512
+#: Places over which a window slides in one go.
+STEPS = 256
 
 _SPAN = "array<struct<a:int,k:int,b:int>>"
 
@@ -82,12 +85,12 @@ def _placed(text: Column, pattern: str, group: int, keep, make, kind: str) -> Co
     def blocks(m):
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda j: F.aggregate(F.slice(m, j * BLOCK + 1, BLOCK), F.struct(F.lit(0).alias("p"), none.alias("s")), step))
 
-    def follow(acc, x):
-        moved = F.transform(x["s"], lambda y: make(y["a"] + acc["p"], y["b"] + acc["p"], y["m"]))
-        return F.struct((acc["p"] + x["p"]).alias("p"), F.concat(acc["s"], F.array(moved)).alias("s"))
+    def moved(r):
+        # where each block starts; an accumulator is copied at each step, so it holds no more than a number a block
+        starts = F.aggregate(r, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["p"])))
+        return _let(starts, lambda at: F.flatten(F.transform(r, lambda x, j: F.transform(x["s"], lambda y: make(y["a"] + F.get(at, j), y["b"] + F.get(at, j), y["m"])))))
 
-    start = F.struct(F.lit(0).alias("p"), F.from_json(F.lit("[]"), f"array<array<{kind}>>").alias("s"))
-    return F.aggregate(_let(matches, blocks), start, follow, lambda acc: F.flatten(acc["s"]))
+    return _let(_let(matches, blocks), moved)
 
 
 def _spans(kind: str, text: Column) -> Column:
@@ -134,10 +137,13 @@ def _entropy_expression(window: int, thresholds: dict[str, float], placeholders:
     most = f"case when y.v rlike '^[0-9a-fA-F]+$' then {_most(thresholds['hex'], window)}L when y.v rlike '[0-9]' then {_most(thresholds['base64'], window)}L else {_most(thresholds['letters'], window)}L end"
     ready = f"transform(candidates, y -> named_struct('a', y.a, 'h', {most}, 'c', {codes}))"
     chars = f"transform(transform(t.c, (k, i) -> named_struct('i', i, 'k', k, 'g', if(i >= {window}, t.c[i - {window}], -1))), x -> named_struct('i', x.i, 'k', x.k, 'g', x.g, 'kw', if(x.k < 0, -1, x.k div {held}), 'kq', {bits} * (x.k % {held}), 'gw', if(x.g < 0, -1, x.g div {held}), 'gq', {bits} * (x.g % {held})))"
+    # A block of STEPS places starts WINDOW places early, with nothing counted, so it needs nothing of the one before it; an accumulator is copied at each step, so it holds one block's spans.
     # acc: n packed counts and s the sum, of the window that ends before x; z the last masked place; spans d, and the span a to b that is open
+    low = f"greatest(0, j * {STEPS} - {window})"
+    leaves = f"(x.g >= 0 and x.i - {window} >= {low})"
     count = lambda w, q: f"cast(shiftright(acc.n[{w}], {q}) & {(1 << bits) - 1} as int)"
-    counted = "if(x.k = x.g, acc.n, transform(acc.n, (v, j) -> v + if(j = x.kw, shiftleft(1L, x.kq), 0L) - if(j = x.gw, shiftleft(1L, x.gq), 0L)))"
-    summed = f"if(x.k = x.g, acc.s, acc.s + if(x.k < 0, 0L, {gains}[{count('x.kw', 'x.kq')}]) - if(x.g < 0, 0L, {gains}[{count('x.gw', 'x.gq')} - 1]))"
+    counted = f"if({leaves} and x.k = x.g, acc.n, transform(acc.n, (v, k) -> v + if(k = x.kw, shiftleft(1L, x.kq), 0L) - if({leaves} and k = x.gw, shiftleft(1L, x.gq), 0L)))"
+    summed = f"if({leaves} and x.k = x.g, acc.s, acc.s + if(x.k < 0, 0L, {gains}[{count('x.kw', 'x.kq')}]) - if({leaves}, {gains}[{count('x.gw', 'x.gq')} - 1], 0L))"
     high = f"(acc.s <= t.h and x.i - {window} >= acc.z)"
     start, end = f"(t.a + x.i - {window})", "(t.a + x.i)"
     span = "array(named_struct('a', acc.a, 'k', 3, 'b', acc.b))"
@@ -146,14 +152,19 @@ def _entropy_expression(window: int, thresholds: dict[str, float], placeholders:
         f"'d', if({high} and acc.b >= 0 and acc.b < {start}, concat(acc.d, {span}), acc.d), "
         f"'a', if({high} and acc.b < {start}, {start}, acc.a), 'b', if({high}, {end}, acc.b))"
     )
-    zero = f"named_struct('n', array_repeat(0L, {words}), 's', 0L, 'z', 0, 'd', cast(array() as {_SPAN}), 'a', -1, 'b', -1)"
+    zero = f"named_struct('n', array_repeat(0L, {words}), 's', 0L, 'z', {low}, 'd', cast(array() as {_SPAN}), 'a', -1, 'b', -1)"
     finish = f"acc -> if(acc.b >= 0, concat(acc.d, {span}), acc.d)"
-    return f"flatten(transform({ready}, t -> aggregate({chars}, {zero}, (acc, x) -> {step}, {finish})))"
+    block = f"aggregate(slice(r, {low} + 1, (j + 1) * {STEPS} - {low}), {zero}, (acc, x) -> {step}, {finish})"
+    cut = f"transform(array({chars}), r -> flatten(transform(sequence(0, (size(r) - 1) div {STEPS}), j -> {block})))[0]"
+    # spans of neighbouring blocks that touch are one
+    firsts, lasts = "filter(d, (y, i) -> i = 0 or get(d, i - 1).b < y.a)", "filter(d, (y, i) -> i = size(d) - 1 or y.b < get(d, i + 1).a)"
+    whole = f"transform(array({cut}), d -> zip_with({firsts}, {lasts}, (y, z) -> named_struct('a', y.a, 'k', 3, 'b', z.b)))[0]"
+    return f"flatten(transform({ready}, t -> {whole}))"
 
 
 def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, thresholds: dict = THRESHOLDS, shapes: tuple = SHAPES, placeholders: tuple = PLACEHOLDERS) -> DataFrame:
     """(doc_id, assign, access, hex, entropy): arrays of (a, k, b), a span's start, kind and end in code points."""
-    source = documents.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).cast("string").alias("text"))
+    source = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
     found = source.select("doc_id", *(_spans(k, t).alias(k) for k in KINDS[:3]), candidates(t, shapes).alias("candidates"))
     return found.select("doc_id", *KINDS[:3], F.expr(f"if(size(candidates) = 0, cast(array() as {_SPAN}), {_entropy_expression(window, thresholds, placeholders)})").alias("entropy"))
