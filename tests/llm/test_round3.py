@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from textloom.llm import byte_bpe, source_audit, spelling
+from textloom.llm import byte_bpe, decontaminate, exact_dedup, html_extract, near_dedup, packing, quality_knn, repeated_spans, secret_scan, source_audit, spelling, token_file, tokens, warc_zip
+from textloom.llm.common import new_path
 
 AUDIT = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -235,3 +236,48 @@ def test_spelling_words(spark):
     out = spelling.variants(spelling.words(frame(spark, rows), dropped=7))
     assert sorted(map(tuple, out.collect()), key=repr) == varied({w: n for w, n in want.items() if n >= 5})
     assert spelling.variants(spelling.words(frame(spark, rows).limit(0))).collect() == []
+
+
+# ---- all: names of columns ----
+
+
+def test_names_with_dots(spark):
+    """Text and id columns, and others beside them, whose names have a dot."""
+    texts = ["some words of a text that goes on for a while so that it is one, token=abcdef123", "some words of a text that goes on for a while so that it is one, token=abcdef123", None, "other"]
+    docs = spark.createDataFrame([(k, t, 1.5, "x", 7) for k, t in enumerate(texts)], "`my.id` long, `my.text` string, `a.b` double, c1 string, text long")
+    plain = docs.select(docs["`my.id`"].alias("doc_id"), docs["`my.text`"].alias("text"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    names = {"doc_id": "my.id", "text": "my.text"}
+    for one in (repeated_spans.remove, exact_dedup.mark, near_dedup.groups, lambda d, **k: secret_scan.report(secret_scan.scan(d, **k))):
+        assert rows(one(docs, **names)) == rows(one(plain))
+    for one in (exact_dedup.keep, near_dedup.keep):
+        assert one(docs, **names).columns == docs.columns and one(docs, **names).count() == 3
+    path = tokens.vocabulary_path()
+    assert rows(packing.pack(docs, path, **names).drop("sequence_id", "offset")) == rows(packing.pack(plain, path).drop("sequence_id", "offset"))
+    for place, df, more in (("x", docs, names), ("y", plain, {})):
+        token_file.write(df, f"{new_path(spark, 'dots')}/{place}", path, **more)
+    bench = spark.createDataFrame([(1, "a text that goes on for a while so that it is one")], "item_id long, text string")
+    assert rows(decontaminate.scan(docs, bench, "my.text", ("my.id", "a.b"))) == [(r[0], 1.5, *r[1:]) for r in rows(decontaminate.scan(plain, bench))]
+    assert rows(decontaminate.remove_documents(docs, bench, "my.text")) == [(2, None, 1.5, "x", 7), (3, "other", 1.5, "x", 7)]
+    assert rows(decontaminate.remove_spans(docs, bench, **names)) == rows(decontaminate.remove_spans(plain, bench))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int")
+    good = quality_knn.keep_good(plain.withColumns({"a.b": plain.doc_id, "score": plain.doc_id, "c0": plain.text}), labels)
+    assert good.columns == ["doc_id", "text", "a.b", "score", "c0"] and good.count() <= 4
+    pages = spark.createDataFrame([(1, "http://x", "<p>Hello.</p>", 2)], "`p.id` long, `u.rl` string, `ht.ml` string, page_id int")
+    assert html_extract.extract(pages, "p.id", "u.rl", "ht.ml").count() == 1
+    assert warc_zip.read(warc_zip.write(pages, new_path(spark, "warc"), "p.id", "u.rl", "ht.ml")).count() == 1
+    got = source_audit.audit(docs.withColumnRenamed("c1", "la.ng"), "my.text", "la.ng", "a.b", min_docs=1)
+    assert got.count() == 0  # one source, whose words are its language's
+    assert spelling.words(docs, "my.id", "my.text", least_count=1, dropped=1 << 40).count() > 0
+    assert rows(byte_bpe.encode(docs, byte_bpe.vocabulary_path(), "my.id", "my.text")) == rows(byte_bpe.encode(plain, byte_bpe.vocabulary_path()))
+
+
+def test_pipeline_with_other_columns(spark, sf, tmp_path):
+    """Extra columns with dots, and of names that the stages use, are dropped."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs.withColumns({"a.b": docs.doc_id, "score": docs.lang, "c0": docs.text}).write.parquet(f"file://{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 0

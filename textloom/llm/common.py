@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.staging import clear_staged, drop, new_path, passing, shared_dir, stage
 
-__all__ = ["clear_staged", "drop", "fresh", "new_path", "partitions", "passing", "shared_dir", "stage", "table", "text_or_empty"]
+__all__ = ["clear_staged", "column", "drop", "fresh", "new_path", "partitions", "passing", "shared_dir", "stage", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in either case."""
     have = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textscan as ts
-from textloom.llm.common import fresh, stage, table
+from textloom.llm.common import column, stage, table
 
 N = 10
 BLOCK_WINDOWS = 500_000
@@ -111,7 +111,7 @@ def broadcast_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     """Broadcast blocks of the benchmark's windows, each of about block_windows rows (window, item). Equal hashes are in one block."""
     spark = benchmark.sparkSession
     windows = (
-        benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
+        benchmark.select(column(item_id).cast("long").alias("item_id"), column(text).cast("string").alias("text"))
         .mapInArrow(lambda b: item_windows(b, n), "hash long, size int, words binary, item_id long")
         .distinct()
     )
@@ -178,9 +178,8 @@ def _scan_chunks(chunks: list, blocks) -> list:
 def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple = ("doc_id",), n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Adds n_words, n_hit, items and spans (byte ranges of the UTF-8 text that hits cover) to the columns in keep."""
     shared = broadcast_windows(benchmark, n=n, block_windows=block_windows)
-    hidden = fresh(documents, "scanned")
-    source = documents.select(F.col(f"`{text}`").cast("string").alias(hidden), *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + [SCHEMA])
+    source = documents.select(column(text).cast("string").alias("text"), *[column(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + [SCHEMA])
     arrow_items, arrow_spans = pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -202,7 +201,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
                 names=[*batch.schema.names[1:], "n_words", "n_hit", "items", "spans"],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, "n_words", "n_hit", "items", "spans")
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -214,15 +213,15 @@ def report(scanned: DataFrame) -> DataFrame:
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
     """The documents without any hit, with their own columns, whatever their names."""
-    own = {c: f"c{i}" for i, c in enumerate(documents.columns)}
-    inner = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    own = {c: f"c{i}" for i, c in enumerate(documents.columns)}  # other than the columns that a scan adds
+    inner = documents.select(*[column(c).alias(x) for c, x in own.items()])
     left = scan(inner, benchmark, own[text], tuple(own.values()), n).filter("n_hit = 0")
     return left.select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """(doc_id, text) with the hit spans cut out of the text."""
-    scanned = scan(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, "text", ("doc_id", "text"), n)
+    scanned = scan(documents.select(column(doc_id).alias("doc_id"), column(text).alias("text")), benchmark, "text", ("doc_id", "text"), n)
 
     def cut(batches):
         for batch in batches:

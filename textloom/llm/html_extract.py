@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import column, table
 
 # Element names and words of class, id and role attributes.
 BLOCKS = frozenset(
@@ -398,7 +398,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
-    source = pages.select(F.col(page).cast("string").alias("__html"), F.col(page_id).alias("page_id"), F.col(url).alias("url"))
+    source = pages.select(column(page).cast("string").alias("__html"), column(page_id).alias("page_id"), column(url).alias("url"))
 
     def run(batches):
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import tokens
-from textloom.llm.common import stage, table
+from textloom.llm.common import column, stage, table
 
 CAPACITY = 4096
 #: (groups, capacity over the largest small length) that are tried; the plan of the fewest sequences is taken.
@@ -35,7 +35,7 @@ PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long
 
 def pieces(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece with its place among the pieces of its length in the same task."""
-    source = documents.select(F.col(text).cast("string").alias("__text"), F.col(doc_id).alias("doc_id"))
+    source = documents.select(column(text).cast("string").alias("__text"), column(doc_id).alias("doc_id"))
 
     def cut(batches):
         model, seen = tokens.encoder(vocabulary), np.zeros(capacity + 1, np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textscan as ts
-from textloom.llm.common import fresh, table
+from textloom.llm.common import column, fresh, table
 
 SAMPLE = 3000
 DIMS = 48
@@ -155,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text: s
     """Learns from the labelled sample; at most `sample` rows reach the driver, as term shares of fixed width."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = usable.select("doc_id", F.col(label).cast("double").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = documents.select(F.col("doc_id").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id")
+    rows = documents.select(F.col("doc_id").alias("doc_id"), column(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id")
 
     def run(batches):
         for batch in batches:
@@ -173,7 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", text: s
 def score(documents: DataFrame, model: Model | None, text: str = "text", keep: tuple = ("doc_id",), name: str = "score") -> DataFrame:
     """Adds the score, by that name, to the columns in keep."""
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    source = documents.select(F.col(f"`{text}`").cast("string").alias(fresh(documents, "scored")), *[F.col(f"`{c}`") for c in keep])
+    source = documents.select(column(text).cast("string").alias("text"), *[column(c).alias(f"c{i}") for i, c in enumerate(keep)])
 
     def run(batches):
         own = pickle.loads(shared.value)
@@ -182,10 +182,10 @@ def score(documents: DataFrame, model: Model | None, text: str = "text", keep: t
             for i in range(0, batch.num_rows, 256):
                 column = batch.column(0).slice(i, 256)
                 parts.append(own.score(terms(column)) if own else np.full(len(column), 0.5))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*batch.schema.names[1:], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*batch.schema.names[1:], "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{kinds}, `{name}` double")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    return source.mapInArrow(run, f"{kinds}, score double").toDF(*keep, name)
 
 
 def report(scored: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def report(scored: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not rejected, with all their columns, whatever their names."""
     name = fresh(documents, "score")
-    return score(documents, fit(documents, labels, text=text), text, tuple(documents.columns), name).filter(F.col(name) >= CUT).drop(name)
+    return score(documents, fit(documents, labels, text=text), text, tuple(documents.columns), name).filter(column(name) >= CUT).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

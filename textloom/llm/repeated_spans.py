@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textscan as ts
-from textloom.llm.common import partitions, passing, stage, table
+from textloom.llm.common import column, partitions, passing, stage, table
 
 LENGTH = 100
 GRAM = 32
@@ -461,7 +461,7 @@ def _cut(with_text: bool):
 def remove(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes if asked for, of every row."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = documents.select(column(doc_id).cast("long").alias("doc_id"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if odd:
         distinct = rows.distinct().repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.xxhash64("text"))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import new_path, partitions, stage, table
+from textloom.llm.common import column, new_path, partitions, stage, table
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
@@ -231,7 +231,7 @@ class _Stream:
 
 
 def with_originals(pages: DataFrame, page_id: str, url: str, page: str, revisit_bytes: int) -> DataFrame:
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(page).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(column(page_id).cast("long").alias("page_id"), column(url).cast("string").alias("url"), F.encode(F.coalesce(column(page).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     largest = rows.groupBy("digest").agg(F.max("page_id").alias("original"))
     out = rows.join(largest, "digest")
