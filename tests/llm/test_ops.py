@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,20 @@ GOLD = [
     (f"<header><nav><a href=a>Menu</a></nav><p>Claim</p></header><main><h1>T</h1><p>{LONG}</p><aside><p>{LONG}</p></aside><p>{LONG}</p><form><p>{LONG}</p></form></main><footer><p>{LONG}</p></footer>", f"T\n{LONG}\n{LONG}"),
     (f"<article><header><h1>T</h1></header><p>{LONG}</p><table><tr><td>a<td>b c<tr><td>d</table><footer>by me</footer></article><div role=alert>{LONG}</div>", f"T\n{LONG}\na\nb c\nd"),
     (f"<article><script>if (a < b) document.write('<p>no</p>')</script><style>p {{}}</style><!-- <p>no</p> --><p>{LONG}<br>&eacute;&#233;&nbsp;x</p><![CDATA[1 < 2]]></article>", f"{LONG} éé x\n1 < 2"),
+    # names and headings that the text is about
+    (f"<article><section class='legal'><p>{LONG}</p><p>{LONG}</p></section></article>", f"{LONG}\n{LONG}"),
+    (f"<article><section class='search'><p>{LONG}</p><p>{LONG}</p></section></article>", f"{LONG}\n{LONG}"),
+    (f"<main><div class='discussion'><h2>Discussion</h2><p>{LONG}</p></div><p>{LONG}</p><p>{LONG}</p></main>", f"Discussion\n{LONG}\n{LONG}\n{LONG}"),
+    (f"<article><h2>Tags</h2><p>{LONG}</p></article>", f"Tags\n{LONG}"),
+    *((f"<article><h1>T</h1><p>{LONG}</p><h2>{h}</h2><p>{LONG}</p></article>", f"T\n{LONG}\n{h}\n{LONG}") for h in ("Recommended dosage", "More from nature", "Newsletter")),
+    (f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><h2>Tags</h2><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></article>", f"T\n{LONG}\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p><section class=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section></article>", f"T\n{LONG}"),
+    # short paragraphs, without an article around them
+    ("<p>Hello.</p>", "Hello."),
+    ("<h1>Title</h1><p>Short.</p>", "Title\nShort."),
+    (f"<div><p>Short intro</p><p>{LONG}</p><p>OK.</p></div>", f"Short intro\n{LONG}\nOK."),
+    (f"<h1>T</h1><p>{LONG}</p><p>No.</p><p>{LONG}</p>", f"T\n{LONG}\nNo.\n{LONG}"),
+    (f"<div><a href=a>Home</a> <a href=b>News</a></div><div><h1>Of bees</h1><p>By me</p><p>{LONG}</p><h2>How</h2><p>{LONG}</p><p>Well.</p></div><div><a href=c>Imprint</a> <a href=d>Contact</a></div>", f"Of bees\nBy me\n{LONG}\nHow\n{LONG}\nWell."),
 ]
 
 
@@ -121,6 +136,29 @@ def test_main_text_of_odd_pages():
         assert isinstance(html_extract.main_text(page), str)
 
 
+@pytest.mark.parametrize("page", ["<svg>{}", "<head>{}", "<div class=ad>{}<p>x", "<div>{}</p>", "<li>{}<ul>"])
+def test_time_is_linear(page):
+    """Unclosed raw elements, marks within marks, stray closing tags: sixteen times the page is no more than some forty times the time."""
+    head, tail = page.split("{}")
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.main_text(head * n + tail * n)
+        return time.perf_counter() - began
+
+    html_extract.tree()
+    assert seconds(48_000) < 40 * max(min(seconds(3000) for _ in range(3)), 0.005)
+
+
+def test_tree_asks_for_words_first():
+    """The first two questions are about words and links; pages of other lengths than those it grew on are told as well."""
+    tree = html_extract.tree()
+    assert all(node[0] in html_extract.ASKED_FIRST for node in (tree, tree[2], tree[3]))
+    x, y = html_extract.labelled_table(99)
+    right = [(html_extract.share(tree, row) >= 0.5) == bool(label) for row, label in zip(x.tolist(), y, strict=True)]
+    assert sum(right) > 0.96 * len(right)
+
+
 def test_extract_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", 0), (1, None, None, 0), (None, "u", "<p", 0)], "page_id long, url string, html string, text int")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(df).collect()), key=str)
