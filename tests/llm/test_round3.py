@@ -281,3 +281,19 @@ def test_pipeline_with_other_columns(spark, sf, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 0
+
+
+def test_near_copies_of_very_long_texts(spark):
+    """A family whose sets fill many blocks, with shorter texts that are linked among themselves only."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(3000)}" for _ in range(12_000)]
+
+    def copy(words, edits):
+        words = list(words)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = [(k, copy(base, 300)) for k in range(12)] + [(20 + k, copy(base, 900)) for k in range(6)] + [(40 + k, copy(base[:400], 10)) for k in range(6)] + [(60, " ".join(base[:9000]))]
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.groups(frame(spark, [(i, t, "en", "s") for i, t in rows]), weight=1 << 13).collect()}
+    assert got == near_dedup.brute_force(rows)

@@ -5,7 +5,7 @@
 2. Bands of registers are keys. A key's members are tied to one of them, chosen afresh per key: linear in the members.
    Ties whose collision-corrected estimate is far below the threshold go; what stays connected is a family. Members of one key
    that are left in several families are compared with each other by their registers, in blocks, all pairs whose sizes can fit.
-3. Families are cut into blocks of about BLOCK classes. Within a block all pairs are compared exactly, as products of
+3. Families are cut into blocks of about BLOCK classes, or fewer whose sets hold about BLOCK_SHINGLES shingles together. Within a block all pairs are compared exactly, as products of
    incidence matrices of the full shingle sets. That settles every family of one block.
 4. Larger families: the most central classes of their blocks, PIVOTS a family at most, meet every block and are compared exactly.
    Where that leaves several components, the family's sets meet in cells of two chunks of about SHINGLES shingles. Of a pair of two components
@@ -20,7 +20,7 @@ one are compared, whoever else is in it; at 0.75 58 or more of 128 independent r
 measure how many pairs at the threshold both steps keep, by size.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing. Fewer words than a shingle are one
-shingle. A very long text costs what its set does. Rows that repeat a doc_id are members like any other, each by its own text, and name the
+shingle. A very long text costs what its set does, and is a block with few others. Rows that repeat a doc_id are members like any other, each by its own text, and name the
 same component where their texts are linked; a null doc_id is in no class, its component is null and it is kept.
 An empty table gives no rows. Other columns are not read; `keep` passes them through, whatever their names.
 """
@@ -50,6 +50,8 @@ BLOCK = 64
 PIVOTS = 8
 COLUMNS = 1 << 16
 SHINGLES = 1 << 19
+#: Shingles of a block's classes together, about; a longer text is a block with few others.
+BLOCK_SHINGLES = 1 << 18
 
 
 def signatures(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -328,13 +330,11 @@ def across(labelled: DataFrame, classes: DataFrame, cell: int = SHINGLES) -> Dat
     return cells.compare(rows, _across, "a long, b long", cell, "n_shingles")
 
 
-def link_families(family: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(id, label) of the classes in families: the least id of the component of exact links."""
+def link_families(family: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str, block: int = BLOCK, pivots: int = PIVOTS, weight: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, label) of the classes in families: the least id of the component of exact links. A block has about `block` classes, or fewer that have about `weight` shingles."""
     spark = documents.sparkSession
-    sizes = family.groupBy("label").agg(F.count("*").alias("n"))
-    dealt = family.join(sizes, "label").select(
-        F.col("label").alias("family"), "id", F.ceil(F.col("n") / block).alias("blocks"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).alias("block")
-    )
+    sizes = family.join(classes.select("id", "n_shingles"), "id").groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / weight)).alias("blocks"))
+    dealt = family.join(sizes, "label").select(F.col("label").alias("family"), "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     dealt = stage(spark, dealt.join(classes.select("id", F.col("doc_id").alias("row"), "name"), "id"), "dealt")
     own = F.col(f"`{text}`").cast("string")
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("row"), own.alias("text"))
@@ -361,7 +361,7 @@ def link_families(family: DataFrame, classes: DataFrame, documents: DataFrame, d
     return single.join(final.withColumnRenamed("label", "whole"), "id", "left").select("id", F.coalesce("whole", "label").alias("label"))
 
 
-def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, pivots: int = PIVOTS, weight: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = documents.sparkSession
     with passing(spark) as kept:
@@ -370,7 +370,7 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
         shared = stage(spark, keyed(band_rows(classes)), "shared")
         candidates = stage(spark, likely(ties(shared), classes), "candidates")
         family = families(candidates, shared, classes)
-        linked = stage(spark, link_families(family, classes, documents, doc_id, text, block, pivots), "linked")
+        linked = stage(spark, link_families(family, classes, documents, doc_id, text, block, pivots, weight), "linked")
         kept += [marked, classes, linked]
     # a component is named by the smallest doc_id of its classes
     label = classes.select("set_id", "id", "doc_id").join(linked, "id", "left").select("set_id", "doc_id", F.coalesce("label", "id").alias("label"))
