@@ -1,14 +1,19 @@
 """Near strings, leaders, languages and merges against brute force."""
 
 import datetime
+import difflib
+import json
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import times
-from textloom.operators import edits, languages
+from textloom.functions import perceptual, strings, times, urls
+from textloom.operators import edits, joins, languages, similarity
 from textloom.operators import lines as L
+from textloom.sources import tables
 from textloom.staging import stage
 from textloom.streaming import streams
 
@@ -161,3 +166,99 @@ def test_runs_over_batches(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/out").collect())
     want = times.merge_gaps(full(spark.createDataFrame(rows, schema)), "k", "s", "t", "v", 14.0).select("k", "v", "s", "t", "n").collect()
     assert got == sorted(tuple(r) for r in want) and 0 < seen[0] < seen[1] < seen[2] < len(got)
+
+
+# ---- leaders, ratios, hashes, merges ----
+
+
+def sequential(nodes, pairs):
+    """The loop itself: the first unassigned node leads and takes all unassigned ones that it is paired with."""
+    leader = {}
+    for a in sorted(nodes):
+        if a not in leader:
+            leader[a] = a
+            for b in sorted(nodes):
+                if b > a and b not in leader and (a, b) in pairs:
+                    leader[b] = a
+    return {b: a for b, a in leader.items() if a != b}
+
+
+@pytest.mark.parametrize("n, m", [(40, 0), (40, 60), (60, 500), (30, -1)])
+def test_leaders(spark, cut, n, m):
+    """Random pairs, and a row of nodes each paired with the next."""
+    rng = random.Random(n + m)
+    pairs = {(k, k + 1) for k in range(n - 1)} if m < 0 else {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+    got = similarity.leaders(spark.createDataFrame([*pairs, *list(pairs)[:3]], "a long, b long"), cut).collect()
+    assert {r.id: r.leader for r in got} == sequential(range(n), pairs) and len({r.id for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("least", [70.0, 90.0, 100.0])
+def test_ratio_pairs(spark, cut, least):
+    rng = random.Random(int(least))
+    seeds = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(3, 25))) for _ in range(15)]
+    strings = sorted({"", "a", "b", "ab", "ba", "aab", *(edited(rng, rng.choice(seeds), 4) for _ in range(90))})
+    ratio = lambda x, y: 100 * difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    want = {(i, j): r for i, x in enumerate(strings) for j, y in enumerate(strings) if i < j and (r := ratio(x, y)) >= least}
+    rows = edits.ratio_pairs(spark.createDataFrame(list(enumerate(strings)), "id long, s string"), least, cut).collect()
+    assert {(r.a, r.b): r.score for r in rows} == want and len(rows) == len(want) and (want or least == 100)
+
+
+def test_perceptual_hashes(spark):
+    """By sums written out; odd sizes, constants, nulls."""
+    rng = random.Random(8)
+    squares = [[rng.random() for _ in range(n * n)] for n in (8, 8, 4, 3, 10)] + [[1.0] * 16, [2.0], [1.0] * 5, [], None, [1.0, None, 2.0, 3.0]]
+    got = {r.id: r.h for r in spark.createDataFrame(list(enumerate(squares)), "id long, v array<double>").select("id", perceptual.hashes("v").alias("h")).collect()}
+    text = lambda values, least: "".join("1" if v > least else "0" for v in values)
+    for k, v in enumerate(squares[:5]):
+        n = int(len(v) ** 0.5)
+        x = [v[r * n : r * n + n] for r in range(n)]
+        assert got[k].average == text(v, sum(v) / len(v))
+        assert got[k].gradient == "".join("1" if x[r][c + 1] > x[r][c] else "0" for r in range(n) for c in range(n - 1))
+        scale = lambda a: (1 / n if a == 0 else 2 / n) ** 0.5  # noqa: E731, B023
+        wave = lambda a, r: math.cos(math.pi * a * (2 * r + 1) / (2 * n))  # noqa: E731, B023
+        low = [scale(a) * scale(b) * sum(x[r][c] * wave(a, r) * wave(b, c) for r in range(n) for c in range(n)) for a in range(min(n, 8)) for b in range(min(n, 8))]
+        assert got[k].cosine == text(low, statistics.median(low))
+        mean = sum(v) / len(v)  # without its first coefficient a square has lost its mean
+        assert got[k].haar == (text([y - mean for y in v], statistics.median(y - mean for y in v)) if n & (n - 1) == 0 else None)
+    assert got[5].average == "0" * 16 and got[6].gradient == "" and all(got[k].average is None for k in (7, 8, 9, 10))
+
+
+def test_deep_merge(spark):
+    def merge(a, b):
+        return {**a, **{k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
+
+    rng = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([1, "x", None, True, [1, {"a": 2}], {}, 2.5])
+        return {rng.choice("abcde"): tree(depth - 1) for _ in range(rng.randrange(4))}
+
+    both = [({**{"k": 1}, **(x if isinstance(x := tree(5), dict) else {})}, y if isinstance(y := tree(5), dict) else {}) for _ in range(200)]
+    a = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(both)] + [(900, '{"only":1}'), (901, "[1]"), (902, "[1]"), (903, "{"), (904, None)], "k long, j string")
+    b = spark.createDataFrame([(i, json.dumps(y)) for i, (_, y) in enumerate(both)] + [(901, "[2,{}]"), (902, "{}"), (903, "{}"), (904, '{"r":1}'), (905, '{"right":1}')], "k long, j string")
+    got = {r.k: r.j for r in joins.merge_deep(a, b, "k", "j").collect()}
+    assert len(got) == 206 and all(json.loads(got[i]) == merge(x, y) for i, (x, y) in enumerate(both))
+    assert [got[k] for k in range(900, 906)] == ['{"only":1}', "[1,2,{}]", None, None, '{"r":1}', '{"right":1}']
+
+
+def test_urls_keep_what_they_say():
+    cases = {
+        "HTTP://User:Pw@Example.COM:80/a//b/../c/?b=2&a=1&b=1&&x=#Frag%7E": "http://User:Pw@example.com/a/c/?b=2&a=1&b=1&x#Frag~",
+        "example.com/%7euser/ä?q=ü&": "https://example.com/~user/%C3%A4?q=%C3%BC",
+        "//bücher.de:0443": "https://xn--bcher-kva.de/", "http://x/#!a": "http://x/?_escaped_fragment_=a", "/just/a/path": "/just/a/path", "": "", None: None, "http://[bad": "http://[bad", "ws://x:81/.": "ws://x:81/",
+    }
+    assert {u: urls.normal_url(u) for u in cases} == cases
+    assert urls.normal_url("https://www.google.com/search?utm=1&q=a+b&ie=utf&q=c", only=urls.PARAMETERS) == "https://www.google.com/search?q=a+b&ie=utf&q=c"
+    assert urls.normal_url("https://x.org/?q=1", only=urls.PARAMETERS) == "https://x.org/"
+
+
+def test_quotes_of_dumps():
+    got = list(tables.tokens_of('(1, "x, y", \'it\'\'s \\n\', "say ""a\\b""", NULL)'))
+    assert [v for kind, v in got if kind == "value"] == [1, "x, y", "it's \n", 'say "a\\b"', None]
+
+
+def test_repeated_keys_of_long_and_broken_objects(spark):
+    long = '{"a":1,"b":"' + "x" * 50_000 + '","a":2}'
+    got = spark.createDataFrame([(long,), ("{",), (None,), ("{}",)], "j string").select(strings.json_repeated_keys("j").alias("r")).collect()
+    assert [r.r for r in got] == [["a"], None, None, []]

@@ -201,8 +201,53 @@ def markdown_html(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def json_repeated_keys(s: pd.Series) -> pd.Series:
-    """Keys that occur twice in one JSON object."""
-    return s.map(lambda x: None if x is None else repeated_keys(x))
+    """Keys that occur twice in one JSON object; null where it isn't JSON."""
+
+    def one(x):
+        try:
+            return None if x is None else repeated_keys(x)
+        except (ValueError, RecursionError):
+            return None
+
+    return s.map(one)
+
+
+def merged_objects(left: dict, right: dict) -> dict:
+    """Both objects in one, at every depth: of two values that aren't both objects the right one stays."""
+    out = dict(left)
+    todo = [(out, right)]
+    while todo:
+        into, more = todo.pop()
+        for k, v in more.items():
+            if isinstance(v, dict) and isinstance(into.get(k), dict):
+                into[k] = dict(into[k])
+                todo.append((into[k], v))
+            else:
+                into[k] = v
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def deep_merge(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Two JSON texts in one: objects at every depth, lists one after the other, of a null the other one; null where one isn't JSON or they are of two types."""
+    import json
+
+    def one(a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        try:
+            x, y = json.loads(a), json.loads(b)
+            if isinstance(x, dict) and isinstance(y, dict):
+                both = merged_objects(x, y)
+            elif isinstance(x, list) and isinstance(y, list):
+                both = x + y
+            else:
+                return None
+            return json.dumps(both, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("digest", T.StringType())])))

@@ -36,30 +36,63 @@ def classify(url: Column) -> Column:
     )
 
 
+#: Characters that stay as they are in paths, in parameters and in fragments.
+PATH_SAFE, QUERY_SAFE, FRAGMENT_SAFE = "~:/#[]@!$&'()*+,;=", "~:/?[]@!$'()*+,;", "~="
+PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
+#: The parameters that say what a page is, by host without www.
+PARAMETERS = {"google.com": ("q", "ie"), "baidu.com": ("wd", "ie"), "bing.com": ("q",), "youtube.com": ("v", "search_query")}
+
+
+def normal_url(url: str | None, scheme: str = "https", only: dict | None = None) -> str | None:
+    """One URL normalised: scheme and host lower-cased, IDNA, default port, dot segments and repeated slashes gone, percent-encoding only where it is needed.
+
+    User names stay, and so do the order of parameters and their repeats. only: by host without www., the parameters that stay; all others go. What can't be read stays as it is.
+    """
+    import unicodedata
+    from urllib.parse import quote, unquote, urlsplit, urlunsplit
+
+    text = (url or "").strip()
+    if not text or text == "-" or (text[0] == "/" and text[:2] != "//"):
+        return url
+    if text[:2] == "//":
+        text = f"{scheme}:{text}"
+    elif ":" not in text[:7]:
+        text = f"{scheme}://{text}"
+    again = lambda s, safe: quote(unicodedata.normalize("NFC", unquote(s)), safe)
+    try:
+        u = urlsplit(text.replace("#!", "?_escaped_fragment_=").rstrip("&? "))
+        user, at, place = u.netloc.rpartition("@")
+        name, colon, port = place.partition(":") if not place.startswith("[") else (place, "", "")
+        name = ".".join(p.encode("idna").decode() for p in name.lower().strip(".").split(".") if p)
+    except (ValueError, UnicodeError):
+        return url
+    if port.isdigit():
+        port = "" if int(port) == PORTS.get(u.scheme) else str(int(port))
+    kept: list[str] = []
+    parts = again(u.path, PATH_SAFE).split("/")
+    for p in parts:
+        if p == "..":
+            kept = kept[:-1]
+        elif p not in ("", "."):
+            kept.append(p)
+    path = "/" + "/".join(kept) + ("/" if kept and parts[-1] in ("", ".", "..") else "")
+    params = [[again(x, QUERY_SAFE) for x in p.split("=", 1)] for p in u.query.split("&") if p]
+    if only is not None:
+        params = [p for p in params if p[0] in only.get(name.removeprefix("www."), ())]
+    query = "&".join("=".join(p) if p[1:] != [""] else p[0] for p in params)
+    who = user + at if user not in ("", ":") else ""
+    return urlunsplit((u.scheme, f"{who}{name}:{port}" if port else who + name, path, query, again(u.fragment, FRAGMENT_SAFE)))
+
+
 @F.pandas_udf(T.StringType())
 def normal_full(s: pd.Series) -> pd.Series:
-    """RFC 3986: IDNA host, dot segments, percent-encoding; the query's parameters are sorted."""
-    from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
+    return s.map(normal_url)
 
-    def one(x):
-        if not x:
-            return x
-        try:
-            u = urlsplit(x if "://" in x else f"https://{x}")
-            name = (u.hostname or "").encode("idna").decode()
-            port = f":{u.port}" if u.port and u.port != {"http": 80, "https": 443}.get(u.scheme) else ""
-        except (ValueError, UnicodeError):
-            return x
-        out: list[str] = []
-        for seg in u.path.split("/"):
-            if seg == "..":
-                out = out[:-1] or [""]
-            elif seg != ".":
-                out.append(quote(unquote(seg), safe="~:@!$&'()*+,;="))
-        path = "/".join(out) or "/"
-        return urlunsplit((u.scheme.lower(), name + port, path if path.startswith("/") else f"/{path}", urlencode(sorted(parse_qsl(u.query, True))), u.fragment))
 
-    return s.map(one)
+@F.pandas_udf(T.StringType())
+def normal_filtered(s: pd.Series) -> pd.Series:
+    """Normal URLs with only the parameters that say what a page is."""
+    return s.map(lambda x: normal_url(x, only=PARAMETERS))
 
 
 @F.pandas_udf(T.StringType())

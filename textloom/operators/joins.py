@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import strings as ST
+
 
 def minus_bag(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Rows of a whose keys b lacks; a's repeats stay. The right side is made distinct before its shuffle."""
@@ -35,6 +37,13 @@ def merge_right(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return left.join(right, key, "full_outer").select(key, F.when(F.col("has"), F.col("r")).otherwise(F.col("l")).alias(value))
 
 
+def merge_deep(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """Key-value merge of JSON objects in which b wins at every depth. Only values of both sides leave the JVM."""
+    left, right = a.select(key, F.col(value).alias("l")), b.select(key, F.col(value).alias("r"))
+    both = left.join(right, key).select(key, ST.deep_merge("l", "r").alias(value))
+    return both.unionByName(a.select(key, value).join(b.select(key), key, "left_anti")).unionByName(b.select(key, value).join(a.select(key), key, "left_anti"))
+
+
 def conflicts(frames: dict[str, DataFrame], key: str, value: str) -> DataFrame:
     """Keys that several origins hold: how often, with how many values, and the first origin's value."""
     out = None

@@ -146,13 +146,17 @@ def _(spark, d):
     return J.merge_right(*maps(spark, d), "k", "v")
 
 
-@query("join_merge_deep", f"WITH {MAPS} SELECT coalesce(a.k, b.k) AS k, a.v AS name, b.v AS segment, coalesce(b.v, a.v) AS shared FROM a FULL JOIN b ON a.k = b.k")
+DEEP = f"""WITH {MAPS}, l AS (SELECT k, '{{"id":' || k || ',"name":"' || v || '","in":{{"at":{{"left":' || k || ',"both":"l"}},"tags":["a"]}},"flat":{{"x":1}}}}' AS j FROM a),
+r AS (SELECT k, '{{"name":"' || v || '","in":{{"at":{{"both":"r","right":[1,{{"y":2}}],"more":{{"z":{{}}}}}},"tags":["b","c"]}},"flat":7}}' AS j FROM b)
+SELECT coalesce(l.k, r.k) AS k, CASE WHEN l.k IS NOT NULL AND r.k IS NOT NULL THEN CAST(json_merge_patch(l.j, r.j) AS VARCHAR) ELSE coalesce(l.j, r.j) END AS j FROM l FULL JOIN r ON l.k = r.k"""
+
+
+@query("join_merge_deep", DEEP)
 def _(spark, d):
-    # each leaf of a fixed schema is merged on its own
     a, b = maps(spark, d)
-    x = a.select("k", F.struct(F.col("v").alias("name"), F.lit(None).cast("string").alias("segment"), F.col("v").alias("shared")).alias("x"))
-    y = b.select("k", F.struct(F.lit(None).cast("string").alias("name"), F.col("v").alias("segment"), F.col("v").alias("shared")).alias("y"))
-    return x.join(y, "k", "full_outer").select("k", *(F.coalesce(f"y.{c}", f"x.{c}").alias(c) for c in ("name", "segment", "shared")))
+    left = F.concat(F.lit('{"id":'), F.col("k").cast("string"), F.lit(',"name":"'), "v", F.lit('","in":{"at":{"left":'), F.col("k").cast("string"), F.lit(',"both":"l"},"tags":["a"]},"flat":{"x":1}}'))
+    right = F.concat(F.lit('{"name":"'), "v", F.lit('","in":{"at":{"both":"r","right":[1,{"y":2}],"more":{"z":{}}},"tags":["b","c"]},"flat":7}'))
+    return J.merge_deep(a.select("k", left.alias("j")), b.select("k", right.alias("j")), "k", "j")
 
 
 @query("join_merge_conflicts", f"WITH {MAPS}, u AS (SELECT k, v, 0 AS n FROM a UNION ALL SELECT k, v, 1 FROM b) SELECT k AS key, count(*) AS cnt, count(DISTINCT v) AS vals, arg_min(v, n) AS first FROM u GROUP BY k HAVING count(*) > 1")

@@ -185,9 +185,13 @@ def _(spark, d):
     return pages(spark, d).select("page_id", U.root(F.col("url")).alias("u"))
 
 
-@query("url_normalize_full")
+QUERY, FRAGMENT = "regexp_extract(url, '([?][^#]*)', 1)", "regexp_extract(url, '(#.*)$', 1)"
+
+
+@query("url_normalize_full", f"SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || {HOST} || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || {QUERY} || {FRAGMENT} AS u, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || {HOST} || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || {FRAGMENT} AS filtered FROM pages")
 def _(spark, d):
-    return pages(spark, d).select("page_id", U.normal_full("url").alias("u"))
+    """The whole normal form, and the same with only the parameters that say what a page is; the pages' hosts have none such."""
+    return pages(spark, d).select("page_id", U.normal_full("url").alias("u"), U.normal_filtered("url").alias("filtered"))
 
 
 @query("url_humanize")
@@ -340,9 +344,10 @@ def _(spark, d):
     return load(spark, d, "events").select("event_id", (F.schema_of_variant(F.try_parse_json(F.get_json_object("props", "$.k"))) == "BIGINT").alias("valid"))
 
 
-@query("validate_json_dup_keys")
+@query("validate_json_dup_keys", "SELECT event_id, list_filter(['k'], lambda x: list_contains(json_keys(props), 'k')) AS repeated FROM events")
 def _(spark, d):
-    twice = F.concat(F.lit('{"k": 0, '), F.substring("props", 2, 10_000))
+    """Keys that objects have twice, here each with a `k` put before its own keys."""
+    twice = F.concat(F.lit('{"k": 0, '), F.expr("substring(props, 2)"))
     return load(spark, d, "events").select("event_id", S.json_repeated_keys(twice).alias("repeated"))
 
 
@@ -355,8 +360,7 @@ def _(spark, d):
 
 @query("agg_json_dup_values", "SELECT user_id, CAST(count(*) AS INT) AS before, CAST(count(DISTINCT event_type) AS INT) AS after FROM events GROUP BY user_id")
 def _(spark, d):
-    m = load(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("v"))
-    return m.select("user_id", F.size("v").alias("before"), F.size(F.array_distinct("v")).alias("after"))
+    return load(spark, d, "events").groupBy("user_id").agg(F.count("event_type").cast("int").alias("before"), F.count_distinct("event_type").cast("int").alias("after"))
 
 
 @query("sort_map_by_value", "SELECT source, string_agg(lang || '=' || n, ',' ORDER BY n, lang) AS sorted FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")

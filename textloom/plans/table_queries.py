@@ -106,8 +106,9 @@ def _(spark, d):
 @query("scan_sql_dump", "SELECT 'part' AS \"table\", p_partkey, p_name || ' it''s; (x)' AS p_name FROM part")
 def _(spark, d):
     p = load(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" it's; (x)")).alias("p_name"))
-    # one dump text a group of rows
-    texts = TB.insert_lines(p, "part").withColumn("g", F.pmod(F.xxhash64("value"), F.lit(16))).groupBy("g").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
+    # a dump text of about a hundred statements, as many as that takes
+    groups = F.lit(p.count() // 100 + 1)
+    texts = TB.insert_lines(p, "part").withColumn("g", F.pmod(F.xxhash64("value"), groups)).groupBy("g").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
     r = TB.parse_dumps(texts)
     return r.select("table", F.from_json("row", "p_partkey long, p_name string").alias("r")).select("table", "r.*")
 
@@ -528,27 +529,6 @@ def _(spark, d):
     return S.connected(pairs, checkpoint=lambda df: staged(spark, df, "labels"))
 
 
-@query("cluster_greedy_leader")
-def _(spark, d):
-    """Leader clusters of equal brands by price: the first unassigned leads, those within 5 % join. Groups are dealt by (brand, size)."""
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        pdf = pdf.sort_values("p_partkey")
-        prices, leaders, out = [], {}, []  # leaders by price; an older one wins among those that are near enough
-        for i, x in zip(pdf.p_partkey, pdf.p_retailprice, strict=True):
-            near = prices[bisect.bisect_left(prices, x / 1.0500001) : bisect.bisect_right(prices, x / 0.9499999)]
-            hit = min((leaders[y] for y in near if abs(x - y) <= 0.05 * y), default=None)
-            if hit is None:
-                bisect.insort(prices, x)
-                leaders[x] = hit = i
-            out.append((i, hit))
-        return pd.DataFrame(out, columns=["p_partkey", "leader"])
-
-    return load(spark, d, "part").select("p_brand", "p_size", "p_partkey", "p_retailprice").groupBy("p_brand", "p_size").applyInPandas(lead, "p_partkey long, leader long")
-
-
 SOURCE = "def f{n}(x):\n    # one\n    return x + {n}\n\nclass C{n}:\n    pass\n\nimport os, json\nLIMIT = {n}\n"
 
 

@@ -63,16 +63,16 @@ def tokens_of(statement: str) -> Iterator[tuple[str, object]]:
         if c in "(),":
             yield c, None
             i += 1
-        elif c == "'":
+        elif c in "'\"":
             out, i = [], i + 1
             while i < n:
-                if statement[i] == "\\" and i + 1 < n:
+                if statement[i] == "\\" and c == "'" and i + 1 < n:
                     out.append({"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(statement[i + 1], statement[i + 1]))
                     i += 2
-                elif statement[i] == "'" and statement[i + 1 : i + 2] == "'":
-                    out.append("'")
+                elif statement[i] == c and statement[i + 1 : i + 2] == c:
+                    out.append(c)
                     i += 2
-                elif statement[i] == "'":
+                elif statement[i] == c:
                     i += 1
                     break
                 else:
