@@ -10,7 +10,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import perceptual, strings, times, urls
+from textloom.functions import lexing, perceptual, strings, times, urls
 from textloom.operators import edits, joins, languages, similarity
 from textloom.operators import lines as L
 from textloom.sources import tables
@@ -262,3 +262,51 @@ def test_repeated_keys_of_long_and_broken_objects(spark):
     long = '{"a":1,"b":"' + "x" * 50_000 + '","a":2}'
     got = spark.createDataFrame([(long,), ("{",), (None,), ("{}",)], "j string").select(strings.json_repeated_keys("j").alias("r")).collect()
     assert [r.r for r in got] == [["a"], None, None, []]
+
+
+# ---- source texts ----
+
+SOURCES = [
+    ("python", "x = '#no' # yes\n'''a # b\n# c''' # d\ns = \"it's # in\" #", "x = '#no' \n'''a # b\n# c''' \ns = \"it's # in\" "),
+    ("python", "don't # stop\nx # y", "don't # stop\nx "),
+    ("python", "a = 'q\\' # in' # out\n\"\"\"open # to the end", "a = 'q\\' # in' \n\"\"\"open # to the end"),
+    ("c", 'char *s = "// no /* no */"; // yes\nint a; /* b\n"c" */ int d; \'"\' // e', 'char *s = "// no /* no */"; \nint a;  int d; \'"\' '),
+    ("c", "a /* /* */ b */ c /* open", "a  b */ c "),
+    ("javascript", "f(`// ${x}\n// no`) // yes", "f(`// ${x}\n// no`) "),
+    ("sql", "SELECT 'it''s -- in', \"a--b\" -- out\n/* c */ FROM t", "SELECT 'it''s -- in', \"a--b\" \n FROM t"),
+    ("sql", "SELECT 'a\\' -- out", "SELECT 'a\\' "),
+    ("html", "<p>a<!-- b\n--c --></p><!-- d", "<p>a</p>"),
+    ("lua", "x = [[ -- in\n]] -- out\n--[[ all\nof it ]] y", "x = [[ -- in\n]] \n y"),
+    ("css", "a{b:'/*'}/* c */d{}", "a{b:'/*'}d{}"),
+    ("rust", 'let s = "/* no"; /* a /* b */ c */ let t = 1; // d /* e\nfn f() {} /* /* open */', 'let s = "/* no"; '[:-1] + "  let t = 1; \nfn f() {} "),
+    ("haskell", "f x = {- a {- b -} -- c -} x -- d\ng = \"-- e\"", "f x =  x \ng = \"-- e\""),
+    ("ini", "a=1 ; b\n# c\nd='e'", "a=1 \n\nd='e'"),
+]
+
+
+@pytest.mark.parametrize("name, source, want", SOURCES)
+def test_comments(spark, name, source, want):
+    assert lexing.stripped(source, name) == want
+    got = spark.createDataFrame([(source,), (None,), ("",)], "s string").select(lexing.without_comments(F.col("s"), name).alias("t")).collect()
+    assert [r.t for r in got] == [want, None, ""]
+
+
+def test_comments_by_either_way(spark):
+    """The expression and the scan agree on any mixture of marks, quotes and lines, long strings too."""
+    rng = random.Random(10)
+    bits = ["'", '"', '"""', "'''", "`", "\\", "#", "//", "/*", "*/", "--", "--[[", "[[", "]]", "<!--", "-->", ";", "\n", " ", "a", "é", "{-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(1500)] + ["x = '" + "y" * 200_000 + "' # z", '"""' + "a b\n" * 50_000, "/*" + "*" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string").cache()
+    for name, own in lexing.LANGUAGES.items():
+        if not own.nested:
+            got = {r.id: r.t for r in df.select("id", lexing.without_comments(F.col("s"), name).alias("t")).collect()}
+            bad = [(texts[i], t, lexing.stripped(texts[i], name)) for i, t in got.items() if t != lexing.stripped(texts[i], name)]
+            assert not bad, (name, bad[0])
+
+
+def test_names_of_sources():
+    assert lexing.named("import a\n# def no():\ndef f(x):\n    def g(): pass\n'''\nclass No:\n'''\nclass C(D):\n  pass\nasync def h(): 1\nLIMIT = 3\nLIMIT == 4\n", "python") == [("f", "function", 3), ("C", "class", 8), ("h", "function", 10), ("LIMIT", "constant", 11)]
+    assert lexing.named("export async function f() {}\n/* class No {}\n*/\nexport default class A {}\nconst MAX = 1, b = `\nfunction no() {}`\n", "javascript") == [("f", "function", 1), ("A", "class", 4), ("MAX", "constant", 5)]
+    assert lexing.named("/* a /* fn no() */\nfn no() {} */\npub(crate) async fn f() {}\npub struct S;\nconst N: u8 = 1;\n", "rust") == [("f", "function", 3), ("S", "class", 4), ("N", "constant", 5)]
+    assert lexing.named("#define MAX 3\nstatic int f(int a,\n  int b) {\nstruct s {\nint g;\n", "c") == [("MAX", "constant", 1), ("f", "function", 2), ("s", "class", 4)]
+    assert lexing.named("func (r *T) Do() {\ntype T struct {\n", "go") == [("Do", "function", 1), ("T", "class", 2)]

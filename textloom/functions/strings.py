@@ -137,24 +137,6 @@ def readability(c: Column) -> Column:
     return F.transform(counts, scored)[0]
 
 
-@F.pandas_udf(T.StringType())
-def strip_hash_comments(s: pd.Series) -> pd.Series:
-    """Each line without what follows a # outside quotes."""
-
-    def line(x):
-        quote = ""
-        for k, c in enumerate(x):
-            if quote:
-                quote = "" if c == quote and x[k - 1] != "\\" else quote
-            elif c in "'\"":
-                quote = c
-            elif c == "#":
-                return x[:k].rstrip()
-        return x
-
-    return s.map(lambda x: None if x is None else "\n".join(map(line, x.split("\n"))))
-
-
 @F.pandas_udf(T.StringType())
 def strip_python(s: pd.Series) -> pd.Series:
     """Python source without comments and docstrings; what doesn't parse stays as it is."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import lexing as X
 from textloom.functions import strings as S
 from textloom.functions import times as T
 from textloom.functions import urls as U
@@ -37,7 +38,17 @@ over_text("str_base64_find", f"CAST(len(regexp_extract_all({TX}, '[A-Za-z0-9+/]{
 over_text("str_decode_fallback", TX, lambda c: F.when(F.is_valid_utf8(F.decode(F.encode(c, "UTF-8"), "UTF-8")), F.decode(F.encode(c, "UTF-8"), "UTF-8")).otherwise(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")))
 over_text("str_normalize_line", "", S.normalize_line)
 over_text("str_wrap_sentence", "", S.wrap_sentences)
-over_text("str_comment_strip", "", S.strip_hash_comments)
+
+
+def comments_sql(text: str, name: str) -> str:
+    """SQL that takes out a language's comments; the other engine's expressions never go back, so they have no marks for that."""
+    pattern = f"({X.strings_pattern(name)})|{X.comments_pattern(name)}".replace("++", "+").replace("*+", "*").replace("'", "''")
+    return rf"regexp_replace({text}, '{pattern}', '\1', 'g')"
+
+
+over_text("str_comment_strip", comments_sql(TX, "shell"), lambda c: X.without_comments(c, "shell"))
+query("str_comment_strip_c", f"SELECT page_id, {comments_sql('html', 'c')} AS value FROM pages")(lambda spark, d: load(spark, d, "pages").select("page_id", X.without_comments(F.col("html"), "c").alias("value")))
+query("str_comment_strip_nested")(lambda spark, d: docs(spark, d).select("doc_id", X.without_comments(text(), "rust").alias("value")))
 over_text("str_code_strip", "", S.strip_python)
 over_text("sink_html_md", "", S.markdown_html)
 over_text("hash_sha256", f"sha256({TX})", lambda c: F.sha2(c, 256))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions import lexing as X
 from textloom.functions import strings as ST
 from textloom.operators import lines as L
 from textloom.operators import similarity as S
@@ -409,7 +410,7 @@ SELECT a, b, round(k * 100.0 / (x.n + y.n - k), 2) AS score FROM p JOIN n x ON x
 
 @query("sim_jaccard_tokens", SHARED)
 def _(spark, d):
-    return S.token_pairs(token_sets(spark, d), "doc_id", "t", 0.6)
+    return S.token_pairs(token_sets(spark, d), "doc_id", "t", 0.6, lambda df: staged(spark, df, "tokens"))
 
 
 @query("join_pairwise_theta", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 2")
@@ -554,6 +555,28 @@ def _(spark, d):
     return sources(spark, d).select("p_partkey", F.inline(ST.definitions("src"))).select("p_partkey", "name", "kind", "first", "last")
 
 
+#: A source text of each language for the part of that number; what is commented or quoted isn't defined.
+BY_LANGUAGE = {
+    "python": "# def no():\ndef f{n}(x):\n    return '''\nclass No:\n'''\nclass C{n}:\n    pass\n",
+    "javascript": "/* function no() {\n} */\nexport function f{n}() {}\nvar s = `\nclass No {}`\nclass C{n} {}\n",
+    "rust": "/* a /* fn no() */\nfn no() {} */\npub fn f{n}() {}\n\n\npub struct C{n};\n",
+    "go": "// func no()\n/*\nfunc no() */\nfunc f{n}() {}\n\ntype C{n} struct {\n",
+}
+ENTITIES = """SELECT p_partkey, language, unnest(['f' || p_partkey, 'C' || p_partkey]) AS name, unnest(['function', 'class']) AS kind, CAST(unnest(lines) AS INT) AS line
+FROM (SELECT p_partkey, ['python', 'javascript', 'rust', 'go'][1 + p_partkey % 4] AS language, [[2, 6], [3, 6], [3, 6], [4, 6]][1 + p_partkey % 4] AS lines FROM part)"""
+
+
+@query("udtf_entities_by_language", ENTITIES)
+def _(spark, d):
+    """What source texts of four languages define, with its line."""
+    p, out = load(spark, d, "part").select("p_partkey"), None
+    for k, (name, template) in enumerate(BY_LANGUAGE.items()):
+        mine = p.filter(F.pmod("p_partkey", F.lit(len(BY_LANGUAGE))) == k).select("p_partkey", F.lit(name).alias("language"), F.replace(F.lit(template), F.lit("{n}"), F.col("p_partkey").cast("string")).alias("s"))
+        rows = mine.select("p_partkey", "language", F.inline(X.names(name)("s")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("udtf_imports", "SELECT module, count(*) AS cnt FROM (SELECT unnest(['os', 'json']) AS module FROM part) GROUP BY module")
 def _(spark, d):
     return sources(spark, d).select("p_partkey", F.explode(ST.imported_modules("src")).alias("module")).groupBy("module").agg(F.count("*").alias("cnt"))
