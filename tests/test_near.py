@@ -5,12 +5,15 @@ import difflib
 import json
 import math
 import random
+import re
 import statistics
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import lexing, perceptual, strings, times, urls
+from textloom.functions import documents, lexing, perceptual, strings, times, urls
 from textloom.operators import edits, joins, languages, similarity
 from textloom.operators import lines as L
 from textloom.sources import tables
@@ -310,3 +313,117 @@ def test_names_of_sources():
     assert lexing.named("/* a /* fn no() */\nfn no() {} */\npub(crate) async fn f() {}\npub struct S;\nconst N: u8 = 1;\n", "rust") == [("f", "function", 3), ("S", "class", 4), ("N", "constant", 5)]
     assert lexing.named("#define MAX 3\nstatic int f(int a,\n  int b) {\nstruct s {\nint g;\n", "c") == [("MAX", "constant", 1), ("f", "function", 2), ("s", "class", 4)]
     assert lexing.named("func (r *T) Do() {\ntype T struct {\n", "go") == [("Do", "function", 1), ("T", "class", 2)]
+
+
+# ---- summaries ----
+
+
+def made_text(rng, n):
+    words = [f"w{k}" for k in range(40)]
+    return [" ".join(rng.choice(words[: rng.randrange(5, 40)]) for _ in range(rng.randrange(3, 12))) + "." for _ in range(n)]
+
+
+def dense(found):
+    """The matrix of words and sentences, counts."""
+    words = [re.findall(r"[^\W_]+", s.lower()) for s in found]
+    names = sorted(set().union(*words))
+    return np.array([[w.count(x) for x in names] for w in words], float)
+
+
+def stationary(edges):
+    n = len(edges)
+    p = np.full(n, 1 / n)
+    for _ in range(1000):
+        step = 0.15 / n + 0.85 * (p @ edges)
+        step += (1 - step.sum()) / n
+        if abs(step - p).max() < 1e-6 / n:
+            break
+        p = step
+    return step
+
+
+@pytest.mark.parametrize("cells, words", [(1 << 23, 1 << 22), (300, 50)])
+def test_sentence_ranks(monkeypatch, cells, words):
+    """By matrices of all sentences, in one block and in many."""
+    monkeypatch.setattr(documents, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(documents, "BLOCK_WORDS", words)
+    rng = random.Random(11)
+    for n in (2, 7, 60):
+        found = made_text(rng, n) + ["... -- ???"]
+        c = dense(found)
+        n = len(found)
+        x = c / np.maximum(1, c.max(1, keepdims=True)) * np.log(1 + n / (c > 0).sum(0))
+        x /= np.maximum(1e-12, np.sqrt((x**2).sum(1, keepdims=True)))
+        edges = (x @ x.T > documents.THRESHOLD).astype(float)
+        assert np.allclose(documents.ranks(found), stationary(edges / np.maximum(1, edges.sum(1, keepdims=True))), atol=1e-6)
+        length = np.log(np.maximum(1, c.sum(1)))
+        both = length[:, None] + length[None, :]
+        share = np.where(both > 0, ((c > 0).astype(float) @ (c > 0).T) / np.maximum(both, 1e-12), 0)
+        np.fill_diagonal(share, 0)
+        assert np.allclose(documents.overlaps(found), stationary(share / np.where(share.sum(1) > 0, share.sum(1), 1)[:, None]), atol=1e-6)
+        _, s, v = np.linalg.svd((c * np.log(1 + n / (c > 0).sum(0))).T, full_matrices=False)
+        assert np.allclose(documents.topics(found), np.sqrt(((v[: documents.TOPICS].T * s[: documents.TOPICS]) ** 2).sum(1)), atol=1e-3)
+
+
+def test_summaries_of_long_texts():
+    """Memory doesn't hold all sentences by all others."""
+    rng = random.Random(12)
+    text = " ".join(made_text(rng, 6000))
+    tracemalloc.start()
+    for make in (documents.lexrank, documents.lsa):
+        assert make(text).count(".") == 5
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # one matrix of all pairs would have 144 MB in single precision
+    for make in (documents.lexrank, documents.lsa, documents.textrank):
+        assert make(None) == "" and make("one two three.") == "one two three." and make("a b c. " * 6).count("a b c.") == 5
+
+
+def test_decoding_falls_back(spark):
+    raw = [("é ß".encode(),), ("é ß".encode("iso-8859-1"),), (b"plain",), (b"",), (None,), (bytes([0xFF, 0xFE, 65]),)]
+    got = [r.t for r in spark.createDataFrame(raw, "b binary").select(strings.decoded(F.col("b")).alias("t")).collect()]
+    assert got == ["é ß", "é ß", "plain", "", None, "ÿþA"]
+
+
+# ---- functions without SQL ----
+
+
+def one(spark, function, *values):
+    return [r.v for r in spark.createDataFrame(list(enumerate(values)), "id int, s string").select("id", function(F.col("s")).alias("v")).orderBy("id").collect()]
+
+
+def test_human_urls():
+    cases = {
+        "https://xn--bcher-kva.de/%C3%A4/a%2Fb%20c?q=%C3%BC&x%3Dy=%26#%C3%B6": "https://bücher.de/ä/a/b c?q=ü&x%3Dy=%26#ö",
+        "HTTP://Example.com:80": "http://example.com/", "http://u%40:p@h:81/%FF?%FF=1": "http://u%40:p@h:81/%FF?%FF=1", "": "", None: None, "/path%20": "/path%20",
+    }
+    got = {u: urls.human_url(u) for u in cases}
+    assert all(urls.normal_url(v) == urls.normal_url(u) for u, v in got.items())
+    assert got["HTTP://Example.com:80"] == "http://example.com/" and got[None] is None and got["/path%20"] == "/path%20"
+    assert got["https://xn--bcher-kva.de/%C3%A4/a%2Fb%20c?q=%C3%BC&x%3Dy=%26#%C3%B6"].startswith("https://bücher.de/ä/") and "q=ü" in got["https://xn--bcher-kva.de/%C3%A4/a%2Fb%20c?q=%C3%BC&x%3Dy=%26#%C3%B6"]
+
+
+def test_lines_and_sentences(spark):
+    assert one(spark, strings.normalize_line, "  Straße,  ﬁn!​ Ⅳ x_y ", "", None, "a.b") == ["strasse_fin_iv_x_y", "", None, "a_b"]
+    long = "word " * 20 + "end, " + "more " * 20 + "done."
+    short, none, wrapped = one(spark, strings.wrap_sentences, "One. Two! Three", None, long)
+    assert short == ["One.", "Two!", "Three"] and none == [] and len(wrapped) == 2 and wrapped[0].endswith("end,") and " ".join(wrapped) == long
+
+
+def test_elements_go(spark):
+    got = one(spark, strings.remove_elements, "<p>a<nav>b<nav>c</nav>d</nav>e</p><meta x=1><script>f</script>g<style>h", None)
+    assert got[0].replace("</meta>", "") == "<p>ae</p>g" and got[1] in (None, "")
+
+
+def test_shuffled_rows(spark, sf):
+    """Every row once, in an order that isn't the old one and is the same again."""
+    from textloom.plans.all_queries import QUERIES
+
+    rows = [[r.doc_id for r in QUERIES["sample_shuffle"](spark, sf).collect()] for _ in range(2)]
+    assert rows[0] == rows[1] and sorted(rows[0]) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()) and rows[0] != sorted(rows[0])
+
+
+def test_definitions_are_compared_without_layout(spark):
+    same = ["def f(x):\n    return x+1\n", "def f(x): # note\n\n    return x + 1\n"]
+    a, b, c, broken = one(spark, strings.definitions, *same, "def f(x):\n    return x + 2\n", "def (")
+    assert a[0].digest == b[0].digest != c[0].digest and (a[0].name, a[0].kind) == ("f", "function") and broken == []

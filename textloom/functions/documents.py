@@ -8,7 +8,10 @@ import re
 import numpy as np
 
 THRESHOLD, DAMPING, TOLERANCE = 0.1, 0.85, 1e-6
-COLUMNS = 2048
+#: Cells of a block of the sentence graph, and common words that are gathered for it.
+BLOCK_CELLS, BLOCK_WORDS = 1 << 21, 1 << 20
+#: Topics of a text, dimensions that are followed beside them, and rounds.
+TOPICS, BESIDE, ROUNDS = 8, 8, 40
 
 
 def sentences(text: str | None) -> list[str]:
@@ -17,38 +20,48 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?]) ", plain) if len(s.split(" ")) > 2]
 
 
-def ranks(found: list[str]) -> np.ndarray:
-    """Stationary shares of a walk over sentences that are alike: edges where the cosine of tf-idf vectors is above THRESHOLD. Time and memory grow with the square of the sentences."""
-    words = [re.findall(r"[^\W_]+", s.lower()) for s in found]
-    number: dict[str, int] = {}
-    cells: dict[tuple[int, int], int] = {}
-    for i, ws in enumerate(words):
-        for w in ws:
-            key = i, number.setdefault(w, len(number))
-            cells[key] = cells.get(key, 0) + 1
-    n = len(found)
-    if not cells:
-        return np.full(n, 1 / max(1, n))
-    row, column = (np.array(x) for x in zip(*cells, strict=True))
-    count = np.array(list(cells.values()), np.float64)
-    most = np.zeros(n)
-    np.maximum.at(most, row, count)
-    weight = count / most[row] * np.log(1 + n / np.bincount(column))[column]
-    norm = np.sqrt(np.bincount(row, weight**2, n))
-    weight /= np.maximum(1e-12, norm)[row]
-    order = np.argsort(column, kind="stable")
-    row, column, weight = row[order], column[order], weight[order]
-    cosine = np.zeros((n, n), np.float32)
-    for c in range(0, len(number), COLUMNS):
-        lo, hi = np.searchsorted(column, [c, c + COLUMNS])
-        part = np.zeros((n, min(COLUMNS, len(number) - c)), np.float32)
-        part[row[lo:hi], column[lo:hi] - c] = weight[lo:hi]
-        cosine += part @ part.T
-    edges = (cosine > THRESHOLD).astype(np.float32)
-    edges /= np.maximum(1, edges.sum(1, keepdims=True))
-    p = np.full(n, 1 / n)
+class Words:
+    """The words of sentences, sparse: (row, column, count), by row and by column."""
+
+    def __init__(self, found: list[str]):
+        number: dict[str, int] = {}
+        cells: dict[tuple[int, int], int] = {}
+        for i, s in enumerate(found):
+            for w in re.findall(r"[^\W_]+", s.lower()):
+                key = i, number.setdefault(w, len(number))
+                cells[key] = cells.get(key, 0) + 1
+        self.n, self.m = len(found), len(number)
+        row, column = np.array(list(cells), np.int64).reshape(-1, 2).T
+        order = np.lexsort((column, row))
+        self.row, self.column, self.count = row[order], column[order], np.array(list(cells.values()), np.float64)[order]
+        self.by_column = np.argsort(self.column, kind="stable")
+        self.have = np.bincount(self.column, minlength=self.m)  # sentences with a word
+
+    def blocks(self):
+        """(first, last) row of consecutive rows whose products with all rows stay within BLOCK_CELLS and BLOCK_WORDS, or one row."""
+        cost = np.concatenate([[0], np.cumsum(np.bincount(self.row, self.have[self.column], self.n))])
+        lo = 0
+        while lo < self.n:
+            hi = max(lo + 1, min(lo + BLOCK_CELLS // self.n, int(np.searchsorted(cost, cost[lo] + BLOCK_WORDS, side="right")) - 1, self.n))
+            yield lo, min(hi, self.n)
+            lo = hi
+
+    def products(self, weight: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Inner products of rows lo to hi with all rows, by what has each of their words."""
+        a, b = np.searchsorted(self.row, [lo, hi])
+        size = self.have[self.column[a:b]]
+        starts = (np.cumsum(self.have) - self.have)[self.column[a:b]]
+        upto = np.cumsum(size)
+        other = self.by_column[np.repeat(starts - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        at = np.repeat(self.row[a:b] - lo, size) * self.n + self.row[other]
+        return np.bincount(at, np.repeat(weight[a:b], size) * weight[other], (hi - lo) * self.n).reshape(hi - lo, self.n)
+
+
+def _walk(n: int, spread) -> np.ndarray:
+    """Stationary shares of a walk that `spread` (shares to shares) takes and that starts anew now and then."""
+    p = step = np.full(n, 1 / n)
     for _ in range(1000):
-        step = (1 - DAMPING) / n + DAMPING * (p @ edges)
+        step = (1 - DAMPING) / n + DAMPING * spread(p)
         step += (1 - step.sum()) / n
         if np.abs(step - p).max() < TOLERANCE / n:
             break
@@ -56,15 +69,95 @@ def ranks(found: list[str]) -> np.ndarray:
     return step
 
 
-def lexrank(text: str | None, count: int = 5) -> str:
-    """The `count` sentences that most others resemble, in their order; ties go to the earlier one."""
+def ranks(found: list[str]) -> np.ndarray:
+    """Shares of sentences that are alike: edges where the cosine of tf-idf vectors is above THRESHOLD. An edge is a bit; everything else is a block at a time."""
+    words = Words(found)
+    n = words.n
+    if not len(words.row):
+        return np.full(n, 1 / max(1, n))
+    most = np.zeros(n)
+    np.maximum.at(most, words.row, words.count)
+    weight = words.count / most[words.row] * np.log(1 + n / words.have)[words.column]
+    weight /= np.maximum(1e-12, np.sqrt(np.bincount(words.row, weight**2, n)))[words.row]
+    blocks = [(lo, hi, np.packbits(words.products(weight, lo, hi) > THRESHOLD, axis=1)) for lo, hi in words.blocks()]
+    edges = np.concatenate([np.bitwise_count(bits).sum(1, dtype=np.int64) for _, _, bits in blocks])
+
+    def spread(p):
+        p = p / np.maximum(1, edges)
+        return sum(p[lo:hi] @ np.unpackbits(bits, axis=1, count=n) for lo, hi, bits in blocks)
+
+    return _walk(n, spread)
+
+
+def overlaps(found: list[str]) -> np.ndarray:
+    """Shares of a walk along the words that sentences have in common, over the logarithms of their lengths. Blocks are made anew each round where they don't all fit one."""
+    words = Words(found)
+    n = words.n
+    if not len(words.row):
+        return np.full(n, 1 / max(1, n))
+    length = np.log(np.maximum(1, np.bincount(words.row, words.count, n)))
+    ones = np.ones(len(words.row))
+
+    def block(lo, hi):
+        both = length[lo:hi, None] + length[None, :]
+        out = np.where(both > 0, words.products(ones, lo, hi) / np.maximum(both, 1e-12), 0.0)
+        out[np.arange(hi - lo), np.arange(lo, hi)] = 0
+        return out
+
+    places = list(words.blocks())
+    kept = [block(*places[0])] if len(places) == 1 else None
+    total = np.concatenate([m.sum(1) for m in (kept or (block(*x) for x in places))])
+
+    def spread(p):
+        p = np.where(total > 0, p / np.maximum(total, 1e-12), 0.0)
+        return sum(p[lo:hi] @ (kept[0] if kept else block(lo, hi)) for lo, hi in places)
+
+    return _walk(n, spread)
+
+
+def topics(found: list[str]) -> np.ndarray:
+    """How much of the TOPICS strongest directions of the matrix of words and sentences each sentence holds: the root of its squared parts, each times its singular value.
+
+    The directions come by repeated products of the sparse matrix with a few vectors, so no matrix of sentences is made.
+    """
+    words = Words(found)
+    n = words.n
+    if not len(words.row):
+        return np.full(n, 1 / max(1, n))
+    weight = words.count * np.log(1 + n / words.have)[words.column]
+    most = min(TOPICS + BESIDE, n, words.m)
+    times = lambda rows, cols, x, size: np.stack([np.bincount(rows, weight * x[cols, k], size) for k in range(x.shape[1])], 1)
+    v = np.linalg.qr(np.random.default_rng(1).normal(size=(n, most)))[0]
+    for _ in range(ROUNDS):
+        v = np.linalg.qr(times(words.row, words.column, times(words.column, words.row, v, words.m), n))[0]
+    _, values, turn = np.linalg.svd(times(words.column, words.row, v, words.m), full_matrices=False)
+    return np.sqrt((((v @ turn.T)[:, :TOPICS] * values[:TOPICS]) ** 2).sum(1))
+
+
+def _best(text: str | None, rank, count: int) -> str:
+    """The `count` sentences of the highest rank, in their order; ties go to the earlier one."""
     found = sentences(text)
     if len(found) <= count:
         return " ".join(found)
-    best = sorted(np.lexsort((np.arange(len(found)), -np.round(ranks(found), 12)))[:count].tolist())
+    best = sorted(np.lexsort((np.arange(len(found)), -np.round(rank(found), 9)))[:count].tolist())
     return " ".join(found[i] for i in best)
 
 
+def lexrank(text: str | None, count: int = 5) -> str:
+    """The sentences that most others resemble."""
+    return _best(text, ranks, count)
+
+
+def textrank(text: str | None, count: int = 5) -> str:
+    """The sentences that share most words with others."""
+    return _best(text, overlaps, count)
+
+
+def lsa(text: str | None, count: int = 5) -> str:
+    """The sentences that hold most of the text's strongest topics."""
+    return _best(text, topics, count)
+
+
 def flatten(value) -> str:
     """JSON of a list of parts: strings, objects and arrays are each one part, named by its number as a string wherever it occurs. Shared and circular parts are kept."""
     parts: list = []

@@ -137,6 +137,11 @@ def readability(c: Column) -> Column:
     return F.transform(counts, scored)[0]
 
 
+def decoded(raw: Column) -> Column:
+    """Bytes as UTF-8 where they are that, else as ISO-8859-1."""
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
+
+
 @F.pandas_udf(T.StringType())
 def strip_python(s: pd.Series) -> pd.Series:
     """Python source without comments and docstrings; what doesn't parse stays as it is."""
@@ -385,6 +390,18 @@ def lexrank(s: pd.Series) -> pd.Series:
     return s.map(documents.lexrank)
 
 
+@F.pandas_udf(T.StringType())
+def textrank(s: pd.Series) -> pd.Series:
+    """The five sentences that share most words with others."""
+    return s.map(documents.textrank)
+
+
+@F.pandas_udf(T.StringType())
+def lsa(s: pd.Series) -> pd.Series:
+    """The five sentences that hold most of a text's strongest topics."""
+    return s.map(documents.lsa)
+
+
 @F.pandas_udf(T.StringType())
 def flat_json(s: pd.Series) -> pd.Series:
     """JSON as a flat list of parts, each named once."""

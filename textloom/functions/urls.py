@@ -95,20 +95,37 @@ def normal_filtered(s: pd.Series) -> pd.Series:
     return s.map(lambda x: normal_url(x, only=PARAMETERS))
 
 
+def human_url(url: str | None) -> str | None:
+    """A URL's normal form with each host label, path segment, parameter and fragment decoded that can be: where the whole still has the same normal form."""
+    from urllib.parse import unquote, urlsplit
+
+    whole = normal_url(url)
+    if not whole or "://" not in whole:
+        return whole
+    u = urlsplit(whole)
+    user, at, place = u.netloc.rpartition("@")
+    name, colon, port = place.partition(":")
+    # what can be decoded, each with what stands before it
+    pieces: list[list[str]] = [["", f"{u.scheme}://{user}{at}"]]
+    pieces += [["." * bool(k), p] for k, p in enumerate(name.split("."))] + [["", colon + port]]
+    pieces += [["/", p] for p in u.path.split("/")[1:]]
+    for k, p in enumerate(u.query.split("&") if u.query else []):
+        key, equals, value = p.partition("=")
+        pieces += [["&" if k else "?", key], [equals, value]]
+    pieces += [["#", u.fragment]] if u.fragment else []
+    labels = range(1, 1 + len(name.split(".")))
+    for k, (before, piece) in enumerate(pieces):
+        try:
+            said = piece.encode().decode("idna") if k in labels and piece.startswith("xn--") else piece if k <= labels[-1] + 1 else unquote(piece, errors="strict")
+        except (UnicodeError, ValueError):
+            continue
+        if said != piece:
+            pieces[k] = [before, said]
+            if normal_url("".join(x for p in pieces for x in p)) != whole:
+                pieces[k] = [before, piece]
+    return "".join(x for p in pieces for x in p)
+
+
 @F.pandas_udf(T.StringType())
 def humanize(s: pd.Series) -> pd.Series:
-    """Percent-encoding and IDNA undone where that can be encoded back to the same."""
-    from urllib.parse import quote, unquote, urlsplit, urlunsplit
-
-    def one(x):
-        if not x:
-            return x
-        try:
-            u = urlsplit(x)
-            name = u.netloc.encode().decode("idna") if "xn--" in u.netloc else u.netloc
-            path = unquote(u.path, errors="strict")
-            return urlunsplit((u.scheme, name, path if quote(path, safe="/~:@!$&'()*+,;=") == u.path else u.path, u.query, u.fragment))
-        except (ValueError, UnicodeError):
-            return x
-
-    return s.map(one)
+    return s.map(human_url)

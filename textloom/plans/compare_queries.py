@@ -269,16 +269,15 @@ def _(spark, d):
 
 @query(
     "dedup_dir_signature",
-    f"""WITH h AS (SELECT source, substr(sha256({T}), 1, 2) AS p, CAST(doc_id AS VARCHAR) || ':' || sha256({T}) AS h FROM documents),
-    g AS (SELECT source, p, sha256(string_agg(h, chr(10) ORDER BY h)) AS s, count(*) AS n FROM h GROUP BY source, p)
-    SELECT source, sha256(string_agg(p || s, chr(10) ORDER BY p)) AS signature, CAST(sum(n) AS BIGINT) AS files FROM g GROUP BY source""",
+    f"""WITH h AS (SELECT source, sha256(CAST(doc_id AS VARCHAR) || ':' || sha256({T})) AS h FROM documents)
+    SELECT source, sha256(concat_ws(':', count(*), {', '.join(f"sum(CAST('0x' || substr(h, {16 * k + 1}, 15) AS HUGEINT))" for k in range(4))})) AS signature, count(*) AS files FROM h GROUP BY source""",
 )
 def _(spark, d):
-    # in 256 parts first, so that a large folder isn't gathered in one task
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    x = docs(spark, d).select("source", F.substring(digest, 1, 2).alias("p"), F.concat_ws(":", F.col("doc_id").cast("string"), digest).alias("h"))
-    g = x.groupBy("source", "p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("s"), F.count("*").alias("n"))
-    return g.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "s"))), "\n"), 256).alias("signature"), F.sum("n").alias("files"))
+    """A folder's signature: sums of its files' digests, cut into four numbers, so that no folder's digests are ever together; neither order nor dealing matters."""
+    digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
+    x = docs(spark, d).select("source", digest.alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", 16 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return x.groupBy("source").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("signature"), F.count("*").alias("files"))
 
 
 @query("dedup_block", rf"WITH b AS (SELECT doc_id, a[i] || chr(10) || a[i + 1] AS block FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM (SELECT doc_id, {ARR} AS a FROM documents))) SELECT block, count(DISTINCT doc_id) AS docs FROM b WHERE length(block) >= 10 GROUP BY block HAVING count(DISTINCT doc_id) > 1")

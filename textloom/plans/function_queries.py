@@ -35,7 +35,14 @@ over_text("str_remove_info_block", rf"regexp_replace({TX}, '(?im)^(author|email|
 over_text("str_strip_timestamps", f"regexp_replace({TX}, '[0-9]{{2,4}}[-_:/ ]?[0-9]{{2}}[-_:/ ]?[0-9]{{2,4}}', '', 'g')", lambda c: F.regexp_replace(c, "[0-9]{2,4}[-_:/ ]?[0-9]{2}[-_:/ ]?[0-9]{2,4}", ""))
 over_text("str_hex_colors", f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({TX}, '[0-9a-f]{{6}}'), lambda x: '#' || x))), ',')", lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("[0-9a-f]{6}"), F.lit(0)), lambda x: F.concat(F.lit("#"), x)))), ","))
 over_text("str_base64_find", f"CAST(len(regexp_extract_all({TX}, '[A-Za-z0-9+/]{{24,}}={{0,2}}')) AS INT)", lambda c: F.size(F.regexp_extract_all(c, F.lit("[A-Za-z0-9+/]{24,}={0,2}"), F.lit(0))))
-over_text("str_decode_fallback", TX, lambda c: F.when(F.is_valid_utf8(F.decode(F.encode(c, "UTF-8"), "UTF-8")), F.decode(F.encode(c, "UTF-8"), "UTF-8")).otherwise(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")))
+
+
+def raw_bytes(c):
+    """Texts as files may hold them: in ISO-8859-1 where that has all their characters, else in UTF-8."""
+    return F.when(c.rlike(r"(?s)\A[\x00-\x{FF}]*+\z"), F.encode(c, "ISO-8859-1")).otherwise(F.encode(c, "UTF-8"))
+
+
+over_text("str_decode_fallback", TX, lambda c: S.decoded(raw_bytes(c)))
 over_text("str_normalize_line", "", S.normalize_line)
 over_text("str_wrap_sentence", "", S.wrap_sentences)
 
@@ -149,6 +156,8 @@ def _(spark, d):
 
 
 over_text("str_summarize_lexrank", "", S.lexrank)
+over_text("str_summarize_textrank", "", S.textrank)
+over_text("str_summarize_lsa", "", S.lsa)
 
 
 # ---- html and urls ----
