@@ -297,3 +297,16 @@ def test_near_copies_of_very_long_texts(spark):
     rows = [(k, copy(base, 300)) for k in range(12)] + [(20 + k, copy(base, 900)) for k in range(6)] + [(40 + k, copy(base[:400], 10)) for k in range(6)] + [(60, " ".join(base[:9000]))]
     got = {r.doc_id: tuple(r)[1:] for r in near_dedup.groups(frame(spark, [(i, t, "en", "s") for i, t in rows]), weight=1 << 13).collect()}
     assert got == near_dedup.brute_force(rows)
+
+
+def test_one_doc_id_fills_many_shards(spark):
+    """Rows without an id, or all of one, aren't one shard, and still lie without gaps."""
+    for name in (None, 7):
+        path = new_path(spark, "one-id")
+        docs = spark.createDataFrame([(name, f"text number {k} " * (k % 5)) for k in range(600)], "doc_id long, text string")
+        token_file.write(docs, path, tokens.vocabulary_path(), shards=4)
+        assert token_file.blocks(spark, path).select("shard").distinct().count() == 4
+        at = 0
+        for r in sorted(token_file.digest(spark, path).collect(), key=lambda r: r.start):
+            assert r.start == at and r.doc_id == name
+            at += r.n_tokens

@@ -8,7 +8,7 @@ shard. A block is one row of the container:
 checksums of its own, and crc covers the row's other columns. Readers need only the table, the block's row and the shard totals.
 
 Cases: a null or empty text is its end id alone. A very long text is a block of its own, of as many ids as it has. Documents of one doc_id
-stand side by side in the order of their ids' bytes; null doc_ids come first. An empty table makes no block and reads back as no
+stand side by side in the order of a hash of their ids, then of the ids' bytes, over as many shards as they fill; null doc_ids come first. An empty table makes no block and reads back as no
 rows. Other columns are not read.
 """
 
@@ -120,8 +120,9 @@ def _write(every: DataFrame, path: str, vocabulary: str, shards: int, block_toke
             yield row()[0]
 
     (
-        every.repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", "ids")
+        every.withColumn("digest", F.xxhash64("ids"))  # so that rows of one doc_id, or of none, aren't one shard
+        .repartitionByRange(shards, "doc_id", "digest")
+        .sortWithinPartitions("doc_id", "digest", "ids")
         .select("ids", "doc_id")
         .mapInArrow(pack, BLOCKS)
         .write.option("compression", "none")
