@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import documents, lexing, perceptual, strings, times, urls
+from textloom.functions import documents, fuzzy, lexing, perceptual, strings, times, urls
 from textloom.operators import edits, joins, languages, similarity
 from textloom.operators import lines as L
 from textloom.sources import tables
@@ -427,3 +427,19 @@ def test_definitions_are_compared_without_layout(spark):
     same = ["def f(x):\n    return x+1\n", "def f(x): # note\n\n    return x + 1\n"]
     a, b, c, broken = one(spark, strings.definitions, *same, "def f(x):\n    return x + 2\n", "def (")
     assert a[0].digest == b[0].digest != c[0].digest and (a[0].name, a[0].kind) == ("f", "function") and broken == []
+
+
+def test_greedy_texts(spark, tmp_path):
+    """Edited copies, equal texts and texts without a hash, against the loop over all pairs of documents."""
+    from textloom.plans.all_queries import QUERIES
+
+    rng = random.Random(17)
+    words = [f"w{rng.getrandbits(30)}" for _ in range(300)]
+    base = [rng.choices(words, k=250) for _ in range(3)]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.01 * (k % 5) else w for w in base[k % 3]) for k in range(40)] + [" ".join(base[0])] * 3 + ["", None, " ".join(base[1])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.leader for r in QUERIES["cluster_greedy_texts"](spark, f"file://{tmp_path}").collect()}
+    signs = {k: s for k, t in enumerate(texts) if (s := fuzzy.ctph(t)) is not None}
+    pairs = {(a, b) for a in signs for b in signs if a < b and (signs[a] == signs[b] or fuzzy.ctph_score(signs[a], signs[b]) >= 70)}
+    follows = sequential(signs, pairs)
+    assert got == {k: follows.get(k, k) for k in signs} and 0 < len(set(got.values())) < len(got)
