@@ -21,6 +21,7 @@ import functools
 import hashlib
 import heapq
 import itertools
+import os
 import re
 from dataclasses import dataclass
 
@@ -186,6 +187,16 @@ def tables(ranks: dict[bytes, int]) -> Tables:
     return Tables(flat, begin, size, np.array([ranks[t] for t in tokens], np.int64), *perfect(hashes), hashes, classes())
 
 
+@functools.lru_cache(2)
+def _loaded(path: str, changed: float) -> Tables:
+    return tables(read_ranks(path))
+
+
+def load(path: str) -> Tables:
+    """Tables of a rank file, made once a process for each state of the file."""
+    return _loaded(path, os.path.getmtime(path))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a token in base64 and its rank a line."""
     with open(path, "rb") as f:
@@ -331,7 +342,7 @@ def _binary(sizes: np.ndarray, raw: bytes) -> pa.Array:
 
 def encode(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): every text's ids as little-endian unsigned 32-bit integers. vocabulary: the driver's path of a rank file."""
-    shared = documents.sparkSession.sparkContext.broadcast(tables(read_ranks(vocabulary)))
+    shared = documents.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches):
         own = shared.value
@@ -356,7 +367,7 @@ def _blocks(own: Tables, value: pa.Scalar):
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, bytes) of (doc_id, ids)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tables(read_ranks(vocabulary)))
+    shared = encoded.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches):
         for batch in batches:
@@ -369,7 +380,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def digest(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids): digests of the ids as decimals between blanks, and of the bytes that they decode to."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tables(read_ranks(vocabulary)))
+    shared = encoded.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches):
         own = shared.value
