@@ -1,6 +1,6 @@
 """Source divergence audit: how far the sources of a language differ in their words, in plain relational steps.
 
-Matches of a pattern are exploded and counted by (lang, source, term); groups meet the terms that their language keeps, so that zeros stand as rows;
+Matches of a pattern, as what is left when a text is split at the rest, are exploded and counted by (lang, source, term); groups meet the terms that their language keeps, so that zeros stand as rows;
 this table meets itself on (lang, term), pairs of sources are summed, and windows rank them. Counts are added up before they are shuffled. A group's or a
 language's totals are repeated SALTS times and meet the terms by (lang, salt), so a language with most of the terms is no single task, and
 nothing is broadcast by order. Rows of the table that meets itself are as many as groups times kept terms.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import passing, stage, table
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms.
+OTHERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 MIN_DOCUMENTS = 10
 TOP = 10
@@ -38,10 +40,11 @@ def folded(c: Column) -> Column:
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of (lang, source, text): occurrences, and documents that have it."""
-    sets = rows.select("lang", "source", F.array_sort(F.regexp_extract_all(folded(F.col("text")), F.lit(TERM), F.lit(0))).alias("w"))
-    marked = F.transform("w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("w", i - 1))).alias("first")))
-    each = sets.select("lang", "source", F.explode(marked).alias("e"))
-    return each.groupBy("lang", "source", F.col("e.term").alias("term")).agg(F.count("*").alias("n"), F.count_if(F.col("e.first")).alias("docs"))
+    words = F.array_remove(F.split(folded(F.col("text")), OTHERS, -1), "")
+    # sorted, each beside the one before it: no lambda, so all of it is compiled
+    zipped = F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))
+    each = rows.select("lang", "source", F.sort_array(words).alias("w")).select("lang", "source", F.inline(zipped)).filter("term is not null")
+    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
 def share(n: Column, of: Column) -> Column:
