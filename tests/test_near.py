@@ -443,3 +443,14 @@ def test_greedy_texts(spark, tmp_path):
     pairs = {(a, b) for a in signs for b in signs if a < b and (signs[a] == signs[b] or fuzzy.ctph_score(signs[a], signs[b]) >= 70)}
     follows = sequential(signs, pairs)
     assert got == {k: follows.get(k, k) for k in signs} and 0 < len(set(got.values())) < len(got)
+
+
+def test_folder_signature_is_of_sorted_lines(spark):
+    import hashlib
+
+    from textloom.operators import dedup
+
+    rows = [("a", "10:x"), ("b", "1:y"), ("a", "9:x"), (None, "2:z"), ("a", "1:w")]
+    got = {r.source: (r.signature, r.files) for r in dedup.signatures(spark.createDataFrame(rows, "source string, h string"), "source", "h").collect()}
+    want = {k: sorted(h for s, h in rows if s == k) for k in ("a", "b", None)}
+    assert got == {k: (hashlib.sha256("\n".join(v).encode()).hexdigest(), len(v)) for k, v in want.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,25 @@ def tiered(df: DataFrame, id_col: str, text_col: str, head: int = 1024) -> DataF
     return left.join(shared, "digest", "left_semi").select(id_col, "digest")
 
 
+def signatures(df: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, signature, files): the SHA-256 of each key's sorted lines, joined by \\n, and how many these are. Spark sorts; lines stream through the digest, so that no key's lines are ever together."""
+
+    def run(batches):
+        now, total, n = None, None, 0
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if total is None or k != now:
+                    if total is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total.hexdigest()]), pa.array([n], pa.int64())], names=[key, "signature", "files"])
+                    now, total, n = k, hashlib.sha256(), 0
+                total.update(("\n" + x if n else x).encode())
+                n += 1
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total.hexdigest()]), pa.array([n], pa.int64())], names=[key, "signature", "files"])
+
+    return df.select(key, line).repartition(key).sortWithinPartitions(key, line).mapInArrow(run, f"`{key}` string, signature string, files long")
+
+
 def adjacent(rows: Column) -> Column:
     """An array without the second of each pair of equal neighbours; pairs don't chain."""
     def step(acc, x):

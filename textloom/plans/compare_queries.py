@@ -267,17 +267,11 @@ def _(spark, d):
     return x.join(cache, ["doc_id", "size"], "left").select("doc_id", F.coalesce("known", F.sha2("t", 256)).alias("digest"), F.col("known").isNotNull().alias("cached"))
 
 
-@query(
-    "dedup_dir_signature",
-    f"""WITH h AS (SELECT source, sha256(CAST(doc_id AS VARCHAR) || ':' || sha256({T})) AS h FROM documents)
-    SELECT source, sha256(concat_ws(':', count(*), {', '.join(f"sum(CAST('0x' || substr(h, {16 * k + 1}, 15) AS HUGEINT))" for k in range(4))})) AS signature, count(*) AS files FROM h GROUP BY source""",
-)
+@query("dedup_dir_signature", f"SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS signature, count(*) AS files FROM (SELECT source, CAST(doc_id AS VARCHAR) || ':' || sha256({T}) AS h FROM documents) GROUP BY source")
 def _(spark, d):
-    """A folder's signature: sums of its files' digests, cut into four numbers, so that no folder's digests are ever together; neither order nor dealing matters."""
-    digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
-    x = docs(spark, d).select("source", digest.alias("h"))
-    sums = [F.sum(F.conv(F.substring("h", 16 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
-    return x.groupBy("source").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("signature"), F.count("*").alias("files"))
+    """A folder's signature: the digest of all its files' names and digests, sorted."""
+    x = docs(spark, d).select("source", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("h"))
+    return D.signatures(x, "source", "h")
 
 
 @query("dedup_block", rf"WITH b AS (SELECT doc_id, a[i] || chr(10) || a[i + 1] AS block FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM (SELECT doc_id, {ARR} AS a FROM documents))) SELECT block, count(DISTINCT doc_id) AS docs FROM b WHERE length(block) >= 10 GROUP BY block HAVING count(DISTINCT doc_id) > 1")
