@@ -454,3 +454,20 @@ def test_folder_signature_is_of_sorted_lines(spark):
     got = {r.source: (r.signature, r.files) for r in dedup.signatures(spark.createDataFrame(rows, "source string, h string"), "source", "h").collect()}
     want = {k: sorted(h for s, h in rows if s == k) for k in ("a", "b", None)}
     assert got == {k: (hashlib.sha256("\n".join(v).encode()).hexdigest(), len(v)) for k, v in want.items()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sizes_meet_by_equality(spark, tmp_path):
+    """Sizes within two, each pair once, null and equal keys left out; the join brings no pair of other sizes."""
+    from textloom.plans.all_queries import QUERIES
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["b", None, "c"]), "t", rng.choice([None, 2**31 - 1, *range(-3, 9)])) for k in [None, *range(80), 3, 4]]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"file://{tmp_path}/part.parquet")
+    df = QUERIES["join_pairwise_theta"](spark, f"file://{tmp_path}")
+    want = sorted((a, b) for a, p, _, x in rows for b, q, _, y in rows if None not in (a, b, p, x, y) and p == q and a < b and abs(x - y) <= 2)
+    assert sorted(tuple(r) for r in df.collect()) == want and want
+    assert re.search(r"Join Inner, .*size", plan_of(df)) and "abs(" not in plan_of(df)
