@@ -471,3 +471,11 @@ def test_sizes_meet_by_equality(spark, tmp_path):
     want = sorted((a, b) for a, p, _, x in rows for b, q, _, y in rows if None not in (a, b, p, x, y) and p == q and a < b and abs(x - y) <= 2)
     assert sorted(tuple(r) for r in df.collect()) == want and want
     assert re.search(r"Join Inner, .*size", plan_of(df)) and "abs(" not in plan_of(df)
+
+
+def test_frequent_sentences_without_shuffle(spark, sf):
+    from textloom.plans.all_queries import QUERIES
+
+    plan = plan_of(QUERIES["str_summarize_freq"](spark, sf))
+    assert not re.search("Join|Aggregate|Window|Repartition", plan)
+    assert documents.frequent(["the", "b b", "a b", "", "b"], frozenset(["the"])) == [1] and documents.frequent(["a"] * 7, frozenset()) == [0, 1]

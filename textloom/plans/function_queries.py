@@ -141,18 +141,12 @@ SELECT doc_id, CASE WHEN len(a) > 1 THEN summary ELSE t END AS summary FROM a LE
 @query("str_summarize_freq", FREQ)
 def _(spark, d):
     """The three tenths of the sentences whose words, but for function words, are most frequent in the document, in their order; a text of one sentence or none stays."""
-    from pyspark.sql import Window
-
     plain = F.trim(F.regexp_replace(text(), r"[\x20\x09-\x0D]+", " "))
     found = F.filter(F.split(F.regexp_replace(plain, "([.!?]) ", "$1\x01"), "\x01"), lambda x: F.size(F.split(x, " ")) > 2)
     t = docs(spark, d).select("doc_id", plain.alias("t"), found.alias("a"))
-    s = t.filter(F.size("a") > 1).select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("pos", "sentence"))
-    w = s.select("doc_id", "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).filter(~F.col("word").isin(*STOP))
-    score = w.join(L.counts(w, "doc_id", "word"), ["doc_id", "word"]).groupBy("doc_id", "pos").agg((F.sum("cnt").cast("double") / F.count("*")).alias("score"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "pos")
-    kept = s.join(score, ["doc_id", "pos"], "left").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.3)))
-    best = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
-    return t.join(best, "doc_id", "left").select("doc_id", F.when(F.size("a") > 1, F.col("summary")).otherwise(F.col("t")).alias("summary"))
+    places = S.frequent_sentences(STOP)(F.when(F.size("a") > 1, F.transform("a", F.lower)))
+    kept = t.select("doc_id", "t", "a", places.alias("places"))
+    return kept.select("doc_id", F.when(F.size("a") > 1, F.array_join(F.transform("places", lambda k: F.get("a", k)), " ")).otherwise(F.col("t")).alias("summary"))
 
 
 over_text("str_summarize_lexrank", "", S.lexrank)
