@@ -479,3 +479,20 @@ def test_frequent_sentences_without_shuffle(spark, sf):
     plan = plan_of(QUERIES["str_summarize_freq"](spark, sf))
     assert not re.search("Join|Aggregate|Window|Repartition", plan)
     assert documents.frequent(["the", "b b", "a b", "", "b"], frozenset(["the"])) == [1] and documents.frequent(["a"] * 7, frozenset()) == [0, 1]
+
+
+def test_topics_are_exact():
+    """Also where singular values lie close to one another."""
+    rng = random.Random(8)
+    for _ in range(20):
+        found = made_text(rng, 30)
+        c = np.zeros((30, 0))
+        number: dict = {}
+        for i, s in enumerate(found):
+            for w in re.findall(r"[^\W_]+", s.lower()):
+                if w not in number:
+                    number[w] = len(number)
+                    c = np.hstack([c, np.zeros((30, 1))])
+                c[i, number[w]] += 1
+        _, s, v = np.linalg.svd((c * np.log(1 + 30 / (c > 0).sum(0))).T, full_matrices=False)
+        assert np.allclose(documents.topics(found), np.sqrt(((v[: documents.TOPICS].T * s[: documents.TOPICS]) ** 2).sum(1)), atol=1e-8)
