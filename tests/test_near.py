@@ -531,3 +531,16 @@ def test_ratio_pairs_are_sieved_in_cells(spark, cut):
     ratio = lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
     assert {(r.a, r.b) for r in df.collect()} == {(i, j) for i, x in strings for j, y in strings if i < j and ratio(x, y) >= 0.95}
     assert "Join" not in plan_of(df)
+
+
+def test_spelling_keys_are_not_broadcast(spark):
+    words, known = spark.createDataFrame([("hause",)], "word string"), spark.createDataFrame([("house", 5)], "word string, n long")
+    near = edits.near_words(words, known, 2)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 1
+
+
+def test_word_places_in_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ab c " * 70000), (2, None), (3, "é1 x")], "doc_id long, text string").coalesce(1)
+    got = edits.word_places(docs)
+    assert got.groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 140000), (3, 1)]
+    assert got.filter("doc_id = 3").collect() == [(3, "x", 3, 4)]

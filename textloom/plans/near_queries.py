@@ -29,7 +29,7 @@ SELECT doc_id, w.word, start, "end", correction, candidates FROM w JOIN u USING
 def _(spark, d):
     """Words that fewer than five documents have, with their places and the known words next to them."""
     cut = lambda df: staged(spark, df, "spelling")
-    each = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.transform(E.word_places("text"), lambda w: F.lower(w["word"])))).alias("word"))
+    each = E.word_places(docs(spark, d)).select("doc_id", F.lower("word").alias("word"))
     known = cut(each.filter(F.char_length("word") > 1).groupBy("word").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 5"))
     return E.misspellings(docs(spark, d), known, cut).withColumn("candidates", F.array_join("candidates", ","))
 
