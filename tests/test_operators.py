@@ -370,3 +370,20 @@ def test_pickles_run_nothing(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "i int, x binary")
     got = [r[0] for r in df.orderBy("i").select(ST.pickle_json("x")).collect()]
     assert got == ['{"a":[1,2.5,null,"é"],"b":[true,{"c":1}]}', None, None, None, None]
+
+
+def test_letters_follow_only_shared_keys(spark):
+    """A key of one row is never sent with its letters; bits give the same scores as the table of all prefixes."""
+    from textloom.functions import fuzzy
+
+    staged = []
+
+    def cut(df):
+        rows = df.collect()
+        staged.append(len(rows))
+        return spark.createDataFrame(rows, df.schema)
+
+    sigs = ["3:ABCDEFGHIJ:KLMNOPQ", "3:ABCDEFGHIK:RSTUVWX", "6:abcdefgh:ijklmnop", "3::A"]
+    got = S.piece_pairs(spark.createDataFrame(list(enumerate(sigs)), "cls long, sig string"), 1, cut).collect()
+    assert [(r.x, r.y, r.score) for r in got] == [(0, 1, fuzzy.ctph_score(sigs[0], sigs[1]))] and max(staged) == 6
+    assert sorted(fuzzy.gram_codes(["", "ABCDEFGH"])[0].tolist()) == [1, 1]
