@@ -70,7 +70,7 @@ def _(spark, d):
     classes, rest = S.members(s, "doc_id")
     classes = cut(classes)
     x, y = classes.select(F.col("cls").alias("x"), F.col("doc").alias("p")), classes.select(F.col("cls").alias("y"), F.col("doc").alias("q"))
-    pairs = S.piece_pairs(classes, 70).join(x, "x").join(y, "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    pairs = S.piece_pairs(classes, 70, cut).join(x, "x").join(y, "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     found = cut(S.leaders(pairs, cut))
     of_first = s.select("doc_id", "cls").join(classes.select("cls", "doc"), "cls").join(found.withColumnRenamed("id", "doc"), "doc", "left")
     return of_first.select("doc_id", F.coalesce("leader", "doc").alias("leader"))
