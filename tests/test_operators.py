@@ -387,3 +387,18 @@ def test_letters_follow_only_shared_keys(spark):
     got = S.piece_pairs(spark.createDataFrame(list(enumerate(sigs)), "cls long, sig string"), 1, cut).collect()
     assert [(r.x, r.y, r.score) for r in got] == [(0, 1, fuzzy.ctph_score(sigs[0], sigs[1]))] and max(staged) == 6
     assert sorted(fuzzy.gram_codes(["", "ABCDEFGH"])[0].tolist()) == [1, 1]
+
+
+def test_large_files_are_told_by_their_heads(spark, tmp_path):
+    """Files of more than 2 GB, odd names, and a NUL behind the head."""
+    from textloom.plans.all_queries import QUERIES
+
+    folder = tmp_path / "a b%20"
+    folder.mkdir()
+    (folder / "text").write_bytes(b"x" * 8192 + bytes(9))
+    (folder / "nul é").write_bytes(b"x" * 8191 + bytes(1))
+    (folder / "large").write_bytes(b"abc")
+    with open(folder / "large", "r+b") as f:
+        f.truncate(3 << 30)  # takes no room
+    got = {r.name: r.binary for r in QUERIES["filter_is_binary"](spark, str(tmp_path)).collect()}
+    assert got == {"text": False, "nul é": True, "large": True}

@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,37 @@ def contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "content")
 
 
+def _opened(path: str):
+    """An open file by the path that Spark lists it under."""
+    from pyarrow import fs
+
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    host, _, name = rest[2:].partition("/")
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return store.open_input_file(f"{base.rstrip('/')}/{name}")
+
+
+def heads(spark: SparkSession, path: str, first: int = 8192) -> DataFrame:
+    """(path, content) of all files below a folder, content being the first bytes of each: files may be of any size. Where Arrow can't open a file store, whole files of up to 2 GB are read."""
+    files = listing(spark, path).select("path")
+    some = files.first()
+    try:
+        if some:
+            _opened(some.path).close()
+    except (OSError, ValueError):
+        return contents(spark, path).select("path", F.substring("content", 1, first).alias("content"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                with _opened(batch.column(0)[k].as_py()) as f:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([f.read(first)], pa.binary())], names=["path", "content"])
+
+    return files.mapInArrow(run, "path string, content binary")
+
+
 def has_nul(content: Column, first: int = 8192) -> Column:
     """A NUL byte at the start marks a binary file."""
     return F.contains(F.hex(F.substring(content, 1, first)), F.lit("00")) & F.hex(F.substring(content, 1, first)).rlike("^(?:[0-9A-F]{2})*?00")
