@@ -402,3 +402,12 @@ def test_large_files_are_told_by_their_heads(spark, tmp_path):
         f.truncate(3 << 30)  # takes no room
     got = {r.name: r.binary for r in QUERIES["filter_is_binary"](spark, str(tmp_path)).collect()}
     assert got == {"text": False, "nul é": True, "large": True}
+
+
+def test_leaders_are_not_broadcast(spark):
+    from textloom.operators import similarity
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
+    got = similarity.leaders(pairs, lambda df: spark.createDataFrame(df.collect(), df.schema))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(2, 1), (4, 3)]
