@@ -142,6 +142,29 @@ def test_token_pairs_are_exact(spark):
     assert sorted((r.a, r.b) for r in S.token_pairs(df, "i", "t", 0.6).collect()) == want
 
 
+@pytest.mark.parametrize("hot", [1 << 14, 9])
+def test_token_pairs_of_families(spark, monkeypatch, hot):
+    """Also what is dealt into chunks, and copies; candidates that are shuffled don't outgrow the pairs."""
+    monkeypatch.setattr(S.cells, "HOT", hot)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    base = [rng.sample(words, k) for k in (3, 9, 40, 150, 420)]
+    sets = {i: [w for w in base[i % 5] if rng.random() > 0.05 * (i % 6)] + rng.sample(words, rng.randrange(1 + len(base[i % 5]) // 5)) for i in range(250)} | {i: base[2] for i in range(250, 270)}
+    df = spark.createDataFrame([(i, t) for i, t in sets.items()], "i long, t array<string>")
+    sets = {i: set(t) for i, t in sets.items()}
+    want = {(a, b): round(k * 100 / u, 2) for a in sets for b in sets if a < b and (k := len(sets[a] & sets[b])) >= 0.6 * (u := len(sets[a] | sets[b])) and u}
+    got = S.token_pairs(df, "i", "t", 0.6).collect()
+    assert len(got) == len(want) > 2000 and all(abs(want[r.a, r.b] - r.score) < 0.011 for r in got)
+
+
+def test_token_pairs_count_what_rounds_up(spark):
+    """2401 of 4002 tokens are 59.995 per cent, 60.0 in SQL; the tokens that aren't shared come first."""
+    shared = [f"s{k}" for k in range(2401)]
+    sets = [shared + [f"a{k}" for k in range(800)], shared + [f"b{k}" for k in range(801)], shared]
+    df = spark.createDataFrame(list(enumerate(sets)), "i long, t array<string>")
+    assert sorted((r.a, r.b, r.score) for r in S.token_pairs(df, "i", "t", 0.6).collect()) == [(0, 1, 60.0), (0, 2, 75.01), (1, 2, 74.98)]
+
+
 @pytest.mark.parametrize("bits", [3, 19])
 def test_simhash_pairs(spark, bits):
     """3 bits are a score of 95, 19 bits one of 70."""
