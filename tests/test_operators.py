@@ -188,6 +188,21 @@ def test_minhash_pairs(spark):
     assert 100 < len(want) < 6000 and sorted((r.x, r.y) for r in got.collect()) == want
 
 
+def test_minhash_keys_go_in_packs(spark, monkeypatch):
+    """No row for each of a class's 67 keys is staged; copies, and what is dealt into chunks, lose nothing."""
+    rows = []
+    monkeypatch.setattr(S.cells, "HOT", 20)
+    rng = random.Random(9)
+    base = [[rng.getrandbits(60) for _ in range(128)] for _ in range(5)]
+    sigs = {i: [v if rng.random() < 0.6 + 0.02 * (i % 20) else rng.getrandbits(60) for v in base[i % 5]] for i in range(150)}
+    same = lambda a, b: sum(v == w for v, w in zip(sigs[a], sigs[b], strict=True))
+    want = sorted((a, b, round(same(a, b) * 100 / 128, 2)) for a in sigs for b in sigs if a < b and same(a, b) >= 64)
+    got = S.minhash_pairs(spark.createDataFrame(list(sigs.items()) + [(3, sigs[3])] * 30, "cls long, sig array<long>"), 64, lambda df: (rows.append(df.count()), df)[1])
+    assert len(want) > 500 and sorted((r.x, r.y) for r in got.collect()) == [(a, b) for a, b, _ in want]
+    assert all(abs(r.score - s) < 0.011 for r, (_, _, s) in zip(sorted(got.collect()), want, strict=True))
+    assert max(rows) < 20 * 180
+
+
 @pytest.mark.parametrize(("name", "sign", "score", "least"), [
     ("sim_simhash", signatures.simhash, lambda a, b: 100 - round((a ^ b & (2**64 - 1)).bit_count() * 100 / 64), 95),
     ("sim_minhash", signatures.minhash, lambda a, b: sum(v == w for v, w in zip(a, b, strict=True)) * 100 / 128, 50),
