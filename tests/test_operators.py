@@ -449,3 +449,25 @@ def test_leaders_are_not_broadcast(spark):
     got = similarity.leaders(pairs, lambda df: spark.createDataFrame(df.collect(), df.schema))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in got.collect()) == [(2, 1), (4, 3)]
+
+
+def test_files_of_few_text_bytes_are_binary(spark, tmp_path):
+    """Over three tenths of bytes that are no text in the first 8192 make a file binary without any NUL."""
+    from textloom.plans.all_queries import QUERIES
+
+    rng = random.Random(3)
+    text = bytes(range(32, 127)) + b"\n\r\t\b"
+    files = {"text": text, "utf8": "naïve café au lait".encode(), "greek": "αβγδ".encode(), "three tenths": b"\xff" * 3 + b"a" * 7, "more": b"\xff" * 4 + b"a" * 7, "controls": b"\x01\x1b\x7f" * 9 + b"a", "nul": b"a\0" + b"a" * 50}
+    files |= {"behind": b"a" * 8192 + b"\xff" * 9000, "before": b"\xff" * 8192 + b"a" * 90000, "every byte": bytes(range(1, 256))}
+    files |= {f"dealt {k}": bytes(rng.choice(text) if rng.random() * 60 > k else rng.randrange(1, 256) for _ in range(200)) for k in range(0, 60, 3)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+
+    def rule(chunk):
+        return bool(chunk) and (0 in chunk or sum(b not in text for b in chunk) / len(chunk) > 0.3)
+
+    want = {name: rule(data[:8192]) for name, data in files.items()}
+    assert {r.name: r.binary for r in QUERIES["filter_is_binary"](spark, str(tmp_path)).collect()} == want
+    assert want["greek"] and want["more"] and want["controls"] and want["before"] and not (want["three tenths"] or want["behind"] or want["utf8"])
+    empty = spark.createDataFrame([(b"",), (b"\xff",)], "content binary")  # Spark lists no empty files
+    assert [r.b for r in empty.select(FI.is_binary(F.col("content")).alias("b")).collect()] == [False, True]

@@ -56,9 +56,11 @@ def heads(spark: SparkSession, path: str, first: int = 8192) -> DataFrame:
     return files.mapInArrow(run, "path string, content binary")
 
 
-def has_nul(content: Column, first: int = 8192) -> Column:
-    """A NUL byte at the start marks a binary file."""
-    return F.contains(F.hex(F.substring(content, 1, first)), F.lit("00")) & F.hex(F.substring(content, 1, first)).rlike("^(?:[0-9A-F]{2})*?00")
+def is_binary(content: Column, first: int = 8192, share: float = 0.3) -> Column:
+    """A NUL byte at the start marks a binary file, and so does more than a share of bytes there that are neither printable ASCII nor \\n, \\r, \\t, \\b. An empty file is none."""
+    head = F.decode(F.substring(content, 1, first), "ISO-8859-1")  # a character a byte
+    other = F.length(F.regexp_replace(head, r"[\x20-\x7E\n\r\t\x08]+", ""))
+    return F.contains(head, F.lit("\0")) | (other > F.length(head) * F.lit(share))
 
 
 def directory_sizes(df: DataFrame, path: str, size: str) -> DataFrame:
