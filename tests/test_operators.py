@@ -471,3 +471,34 @@ def test_files_of_few_text_bytes_are_binary(spark, tmp_path):
     assert want["greek"] and want["more"] and want["controls"] and want["before"] and not (want["three tenths"] or want["behind"] or want["utf8"])
     empty = spark.createDataFrame([(b"",), (b"\xff",)], "content binary")  # Spark lists no empty files
     assert [r.b for r in empty.select(FI.is_binary(F.col("content")).alias("b")).collect()] == [False, True]
+
+
+def test_texts_are_signed_once(spark, tmp_path, monkeypatch):
+    """A filter on a signature made each twice; texts without one are still left out."""
+    from textloom.plans import table_queries
+
+    plans, stage = [], staging.stage
+    monkeypatch.setattr(table_queries, "staged", lambda spark, df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), stage(spark, df, label))[1])
+    rows = [(0, "abcd"), (1, None), (2, ""), (3, "éé"), (4, "éé!"), (5, "éé!"), (6, "abcde")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in all_queries.QUERIES["sim_minhash"](spark, str(tmp_path)).collect()]
+    assert got == [(4, 5, 100.0)]
+    assert [p.count("ArrowEvalPython") for label, p in plans if label == "minhash"] == [1]
+
+
+@pytest.mark.parametrize(("few", "hot"), [(48, 1 << 14), (3, 1 << 14), (3, 20), (48, 20)])
+def test_frequent_slots_make_no_candidates(spark, monkeypatch, few, hot):
+    """All signatures agree in 42 slots; only what agrees in about 64 is compared in full, in small and in large groups, in chunks too."""
+    monkeypatch.setattr(S.cells, "FEW", few)
+    monkeypatch.setattr(S.cells, "HOT", hot)
+    monkeypatch.setattr(S.cells, "SIDE", 8)
+    rng = random.Random(11)
+    base = [[s if s < 42 else rng.getrandbits(60) for s in range(128)] for _ in range(9)]
+    own = rng.sample(range(42, 128), 86)
+    sigs = {i: [v if s < 42 or s in own[: 20 + i % 7] and i < 120 else rng.getrandbits(60) for s, v in enumerate(base[i % 9])] for i in range(300)}
+    same = lambda a, b: sum(v == w for v, w in zip(sigs[a], sigs[b], strict=True))
+    want = {(a, b): same(a, b) for a in sigs for b in sigs if a < b and same(a, b) >= 64}
+    rows = []
+    got = S.minhash_pairs(spark.createDataFrame(list(sigs.items()), "cls long, sig array<long>"), 64, lambda df: (rows.append(df.count()), df)[1])
+    assert 100 < len(want) < 1000 and {(r.x, r.y): round(r.score * 1.28) for r in got.collect()} == want
+    assert rows[0] < 4 * len(want)
